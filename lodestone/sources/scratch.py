@@ -12,11 +12,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.session import ship
+
 KEY = "spark.checkpoint.dir"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder; sets a local folder only where the session names none."""
+    ship(spark)
     root = spark.conf.get(KEY, None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")

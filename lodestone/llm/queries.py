@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import decontaminate
 from lodestone.llm.simhash import simhash_classes
+from lodestone.llm.substring import remove_repeats
 from lodestone.sources.tables import table
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -17,5 +19,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word passages that start in an earlier one."""
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op6_decontaminate": op6_decontaminate, "op9_substrings": op9_substrings}
 ORACLES: dict[str, str] = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate
+from lodestone.llm import decontaminate, pieces
 from lodestone.llm.simhash import simhash_classes
 from lodestone.llm.substring import remove_repeats
 from lodestone.sources.tables import table
@@ -19,6 +20,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Digests of every document's piece ids and of the text that they decode to."""
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), model)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 10-word window of a benchmark item."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -30,5 +37,5 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op6_decontaminate": op6_decontaminate, "op9_substrings": op9_substrings}
+QUERIES = {"op2_simhash": op2_simhash, "op5_pieces": op5_pieces, "op6_decontaminate": op6_decontaminate, "op9_substrings": op9_substrings}
 ORACLES: dict[str, str] = {}

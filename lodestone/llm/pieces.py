@@ -21,6 +21,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 RUNS = re.compile(r" *[^ ]+| +$")
-CACHE = 400_000
+CACHE = 800_000
 SCHEMA = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
 
 
@@ -132,7 +133,7 @@ class Normalizer:
 
 
 class Codec:
-    """Encodes and decodes whole texts; one a task."""
+    """Encodes and decodes whole texts; kept parts make repeated words cheap."""
 
     def __init__(self, model: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -215,6 +216,12 @@ class Codec:
         return sizes
 
 
+@lru_cache(maxsize=1)
+def codec(model: bytes) -> Codec:
+    """One a Python worker, so that later tasks find the parts of earlier ones."""
+    return Codec(model)
+
+
 def model_bytes(path: str) -> bytes:
     """The model, read where the job is planned and sent with it."""
     with open(path, "rb") as f:
@@ -226,13 +233,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     model = model_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        own = codec(model)
         for b in batches:
             out = []
             for text in b.column(1):
                 source = text.as_py() or ""
-                ids = codec.encode(source)
-                out.append((ids, *codec.spans(source, ids), codec.model.decode(ids.tolist())))
+                ids = own.encode(source)
+                out.append((ids, *own.spans(source, ids), own.model.decode(ids.tolist())))
             ids, begins, ends, decoded = zip(*out, strict=True) if out else ((),) * 4
             lists = [pa.array(c, pa.list_(pa.int32())) for c in (ids, begins, ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
@@ -248,18 +255,18 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     model = model_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
-        digits = [str(i) for i in range(codec.model.get_piece_size())]
+        own = codec(model)
+        digits = [str(i) for i in range(own.model.get_piece_size())]
         for b in batches:
             rows = []
             for text in b.column(1):
                 source = text.as_py() or ""
-                ids = codec.encode(source)
-                begins, ends = codec.spans(source, ids)
+                ids = own.encode(source)
+                begins, ends = own.spans(source, ids)
                 whole = not len(ids) or bool(begins[0] == 0 and ends[-1] == len(source.encode()) and (begins[1:] <= ends[:-1]).all())
                 listed = ids.tolist()
                 joined = ",".join([digits[i] for i in listed])
-                rows.append((len(listed), *(hashlib.sha256(x.encode()).hexdigest() for x in (joined, codec.model.decode(listed))), whole))
+                rows.append((len(listed), *(hashlib.sha256(x.encode()).hexdigest() for x in (joined, own.model.decode(listed))), whole))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_ok"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean"

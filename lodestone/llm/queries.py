@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, pieces
+from lodestone.llm import decontaminate, pieces, tokenfiles
 from lodestone.llm.simhash import simhash_classes
 from lodestone.llm.substring import remove_repeats
 from lodestone.sources.tables import table
@@ -20,6 +20,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every document's place in the token files and the CRC of the ids read back from them."""
+    tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer, end_id=1)
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Digests of every document's piece ids and of the text that they decode to."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
@@ -37,5 +43,5 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_pieces": op5_pieces, "op6_decontaminate": op6_decontaminate, "op9_substrings": op9_substrings}
+QUERIES = {"op2_simhash": op2_simhash, "op4_token_files": op4_token_files, "op5_pieces": op5_pieces, "op6_decontaminate": op6_decontaminate, "op9_substrings": op9_substrings}
 ORACLES: dict[str, str] = {}

@@ -3,23 +3,44 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, pieces, tokenfiles
+from lodestone.llm import chat, decontaminate, lines, pieces, tokenfiles, warc
+from lodestone.llm.compaction import Dataset
+from lodestone.llm.quality import MEASURES, quality
 from lodestone.llm.simhash import simhash_classes
 from lodestone.llm.substring import remove_repeats
+from lodestone.sources.scratch import scratch_path
 from lodestone.sources.tables import table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of each pair of neighbouring conversations."""
+    found = chat.format_pairs(chat.neighbours(table(spark, sf_dir, "conversations")))
+
+    def trained(side: str) -> Column:
+        parts = F.filter(f"{side}_segments", lambda s: s["train"])
+        return F.coalesce(F.length(F.array_join(F.transform(parts, lambda s: s["text"]), "")), F.lit(0)).cast("long")
+
+    return found.select(
+        "pair_id", "chosen_turns", "rejected_turns", "n_prefix", "prompt", "chosen", "rejected", trained("chosen").alias("chosen_trained"), trained("rejected").alias("rejected_trained")
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 64-bit fingerprints of 3-word shingles link at two bits."""
     found = simhash_classes(table(spark, sf_dir, "documents"), shingle=3, words=1, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Every document's place in the token files and the CRC of the ids read back from them."""
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -37,11 +58,48 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every page's record, read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), dedup_bytes=0)
+
+
+def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read from the compacted dataset, with its shard's tier and bytes.
+
+    The documents arrive in eight batches, by source, so that sizes differ.
+    """
+    docs = table(spark, sf_dir, "documents")
+    dataset = Dataset(spark, scratch_path(spark, "shards"), docs.schema)
+    dataset.append_batches(docs.withColumn("arrival", F.pmod(F.xxhash64("source"), F.lit(8))), "arrival", 8)
+    dataset.compact()
+    dataset.vacuum()
+    found = dataset.read()
+    return found.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "tier", "shard_bytes")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-word passages that start in an earlier one."""
     found = remove_repeats(table(spark, sf_dir, "documents"), window=50, digest=True)
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_token_files": op4_token_files, "op5_pieces": op5_pieces, "op6_decontaminate": op6_decontaminate, "op9_substrings": op9_substrings}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text without the lines that over a tenth of its host's pages hold."""
+    pages = table(spark, sf_dir, "pages").select("page_id", lines.host(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text"))
+    found = lines.drop_boilerplate(pages, F.col("host"))
+    return found.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_preferences": op1_preferences,
+    "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op4_token_files": op4_token_files,
+    "op5_pieces": op5_pieces,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
+    "op8_compaction": op8_compaction,
+    "op9_substrings": op9_substrings,
+    "op10_lines": op10_lines,
+}
 ORACLES: dict[str, str] = {}

@@ -189,3 +189,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs."""
+    hit = contamination(docs, benchmark, **kwargs).where(F.size("hits") > 0)
+    hit = materialize(hit.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).distinct(), "hit")
+    return docs.join(hit, F.expr("doc_id <=> _doc and xxhash64(text) = _key"), "left_anti")

@@ -41,19 +41,17 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float, min_
 
 def drop_boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """``pages`` with ``text`` rid of boilerplate lines, and the columns ``n_lines`` and ``n_dropped``."""
-    gone = boilerplate(pages, site, F.col(text), ratio, min_pages)
-    marked = pages.withColumn("_site", site).alias("p").join(gone.alias("g"), F.expr("_site <=> g.site"), "left")
-    lines = F.split(F.col(f"p.{text}"), "\n")
-    some = F.coalesce(F.col("gone"), F.array().cast("array<bigint>"))
-    left = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(some, F.xxhash64(bare(x))) | (bare(x) == "")))
-    kept = marked.select(*[F.col(f"p.{c}") for c in pages.columns if c not in {"n_lines", "n_dropped"}], lines.alias("_lines"), left.alias("_left"))
-    return kept.withColumns(
+    gone = boilerplate(pages, site, F.col(text), ratio, min_pages).withColumnsRenamed({"site": "_at", "gone": "_gone"})
+    marked = pages.withColumn("_site", site).join(gone, F.expr("_site <=> _at"), "left").withColumn("_lines", F.split(text, "\n"))
+    left = F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(bare(x))) | (bare(x) == ""))
+    marked = marked.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(left))
+    return marked.withColumns(
         {
-            text: F.array_join("_left", "\n"),
+            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_left", "\n")),
             "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
             "n_dropped": F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long"),
         }
-    ).drop("_lines", "_left")
+    ).drop("_site", "_at", "_gone", "_lines", "_left")
 
 
 def host(url: Column) -> Column:

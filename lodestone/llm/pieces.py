@@ -228,13 +228,20 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, as what comes of a text is several times as large."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """Every row's ``ids``, byte spans ``begins``/``ends`` in the source text, and ``decoded`` text."""
     model = model_bytes(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for b in batches:
+        for b in _small(batches):
             out = []
             for text in b.column(1):
                 source = text.as_py() or ""

@@ -147,13 +147,22 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.expr(f"not base_failed and {within}")).drop(*near.columns)
 
 
-def quality(docs: DataFrame, carry: list[str] | None = None, min_rows: int = 30, reach: int = 8) -> DataFrame:
-    """The ``carry`` columns of every row (all by default) with its measures, ``base_failed`` and ``kept``.
+def packed(docs: DataFrame, carry: list[str] | None = None, min_rows: int = 30, reach: int = 8) -> DataFrame:
+    """``row``, the struct of the ``carry`` columns (all by default), with the measures, ``base_failed`` and ``kept``.
 
     Rows are measured once and kept in a working table between the two passes.
     """
-    wanted = [c for c in (carry or docs.columns) if c not in {*MEASURES, "n_lines", "base_failed", "kept"}]
-    extra = [c for c in ("lang", "source") if c not in wanted]
-    rows = measured(docs).select(*wanted, *extra, *MEASURES, "n_lines", "base_failed")
-    rows = materialize(rows, "measures")
-    return judged(rows, thresholds(sketches(rows), min_rows, reach)).drop(*extra)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), "text", "lang", "source")
+    rows = materialize(measured(rows).select("row", "lang", "source", *MEASURES, "n_lines", "base_failed"), "measures")
+    return judged(rows, thresholds(sketches(rows), min_rows, reach)).drop("lang", "source")
+
+
+def quality(docs: DataFrame, carry: list[str] | None = None, min_rows: int = 30, reach: int = 8) -> DataFrame:
+    """The ``carry`` columns of every row with its measures and verdict; columns that have a measure's name give way."""
+    own = [c for c in carry or docs.columns if c not in {*MEASURES, "n_lines", "base_failed", "kept"}]
+    return packed(docs, own, min_rows, reach).select("row.*", *MEASURES, "n_lines", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, **kwargs) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, as they are."""
+    return packed(docs, **kwargs).where("kept").select("row.*")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import map_arrow
 from lodestone.sources.scratch import materialize
 
 #: Word bytes stay (A-Z lower-cased), all other ASCII parts words.
@@ -67,7 +68,7 @@ def _rarity(docs: DataFrame, shingles: dict[int, set]) -> dict[tuple, int]:
                         count[gram] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b" ".join(g) for g in count], pa.binary()), pa.array(list(count.values()), pa.int64())], ["gram", "n"])
 
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "gram binary, n long")
+    counted = map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "gram binary, n long")
     rows = counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()  # as many as the block has shingles
     return {tuple(bytes(r["gram"]).split()): r["n"] for r in rows}
 
@@ -130,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             k = min(shingle, len(words))
             shingles[k] |= set(_grams(words, k))
         index = _prefixes(windows, _rarity(docs, dict(shingles)) if shingles else {}, shingle)
-        parts.append(texts.mapInArrow(_joined(dict(windows), index), SCHEMA))
+        parts.append(map_arrow(texts, _joined(dict(windows), index), SCHEMA))
         if len(parts) > 1:
             parts[-1] = materialize(parts[-1], "contamination")
     if len(parts) == 1:
@@ -145,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         F.sum("one").alias("rows"),
     )
     each = base.select("doc_id", "row_key", "n_words", "hits", "items", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("one"))
-    return each.drop("one").mapInArrow(_merged, SCHEMA)
+    return map_arrow(each.drop("one"), _merged, SCHEMA)
 
 
 def _joined(windows: dict, index: dict):

@@ -29,6 +29,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import map_arrow
+
 SPACE = "▁"
 RUNS = re.compile(r" *[^ ]+| +$")
 CACHE = 800_000
@@ -251,7 +253,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             lists = [pa.array(c, pa.list_(pa.int32())) for c in (ids, begins, ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -277,4 +279,4 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_ok"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_ok boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import connected_components
+from lodestone.session import map_arrow
 from lodestone.sources.scratch import materialize
 
 SEED = 42
@@ -83,7 +84,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 5, words: int = 1) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(words))], ["doc_id", *names])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return map_arrow(source, run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def exact_masks(radius: int, bits: int = 64) -> list[list[int]]:
@@ -300,7 +301,7 @@ def fingerprint_links(classes: DataFrame, masks: list[list[int]], radius: int, e
             yield from compare(held[0], held[1], held[2], np.array(held[3:]).view(np.uint64))
 
     ordered = dealt.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "node", *names)
-    return ordered.mapInArrow(run, "u long, v long")
+    return map_arrow(ordered, run, "u long, v long")
 
 
 def simhash_classes(
@@ -310,12 +311,12 @@ def simhash_classes(
 
     One word: every pair within ``radius`` bits links. More words: ``radius``
     defaults to the distance expected at ``similarity`` (of the shingle sets)
-    plus one standard deviation, and pairs are sought by sampled masks.
+    plus one and a half standard deviations, and pairs are sought by sampled masks.
     """
     bits = 64 * words
     if radius is None:
         angle = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-        radius = round(bits * angle + math.sqrt(bits * angle * (1 - angle)))
+        radius = round(bits * angle + 1.5 * math.sqrt(bits * angle * (1 - angle)))
     names = [f"f{i}" for i in range(words)]
     prints = materialize(with_fingerprints(docs, shingle, words), "fingerprints")
     classes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes").where("node is not null")

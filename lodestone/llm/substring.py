@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import map_arrow
 from lodestone.sources.scratch import materialize
 
 LONGEST = 32  # windows in a segment
@@ -133,7 +134,7 @@ def removed_windows(docs: DataFrame, window: int = 50, seed_words: int = 10) ->
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
-    seeds = materialize(texts.mapInArrow(*_seed_rows(window, seed_words)), "seeds")
+    seeds = materialize(map_arrow(texts, *_seed_rows(window, seed_words)), "seeds")
     segment = ["anchor", "first", "last", "count"]
     classes = materialize(seeds.groupBy(*segment).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "segments")
     parting = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("high").alias("b"))
@@ -142,7 +143,7 @@ def removed_windows(docs: DataFrame, window: int = 50, seed_words: int = 10) ->
     met = seeds.join(repeated, segment).where("doc_id > low or parting")
     met = materialize(met.select("doc_id", "row_key", "start", "count", (F.col("doc_id") > F.col("low")).alias("whole")), "met")
     sought = met.where("not whole").distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.col("start") * 64 + F.col("count")).alias("at"))
-    windows = texts.join(sought, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "at").mapInArrow(*_window_rows(window))
+    windows = map_arrow(texts.join(sought, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "at"), *_window_rows(window))
     windows = materialize(windows, "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     single = windows.join(first, ["w1", "w2"]).where("doc_id > low").select("doc_id", "row_key", "start", F.lit(1).cast("long").alias("count"))
@@ -184,4 +185,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed_words: int = 10, dige
         return len(words), int(gone.sum()), hashlib.sha256(text).hexdigest() if digest else text.decode()
 
     joined = texts.join(at, ["doc_id", "row_key"], "left").select("doc_id", "text", "at")
-    return joined.mapInArrow(_removed(window, emit), "doc_id long, n_words long, n_removed long, kept string")
+    return map_arrow(joined, _removed(window, emit), "doc_id long, n_words long, n_removed long, kept string")

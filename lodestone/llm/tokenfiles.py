@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodestone.session import map_arrow
 from lodestone.sources.scratch import scratch_path
 
 SCHEMA = "part int, shard int, offset long, n_tokens long, vocabulary int, rules binary, lengths binary, sequence binary, doc_ids array<long>, doc_tokens array<long>"
@@ -242,7 +243,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
         spec = f.read()  # read where the job is planned and sent with it
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_shards(spec, end_id, shard_tokens), SCHEMA).write.option("compression", "zstd").parquet(path)
+    map_arrow(rows, _shards(spec, end_id, shard_tokens), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str, each: Callable[[np.ndarray], tuple] | None = None, columns: str = "ids array<int>") -> DataFrame:
@@ -272,7 +273,7 @@ def read(spark: SparkSession, path: str, each: Callable[[np.ndarray], tuple] | N
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c) for c in zip(*out, strict=True))], ["doc_id", "start", "n_tokens", *names])
 
     joined = shards.join(F.broadcast(base), "part").drop("part", "shard", "n_tokens", "lengths")  # a row a part: bounded by write()
-    return joined.mapInArrow(run, f"doc_id long, start long, n_tokens long, {columns}")
+    return map_arrow(joined, run, f"doc_id long, start long, n_tokens long, {columns}")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, **kwargs) -> DataFrame:

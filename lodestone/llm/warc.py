@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import map_arrow
 from lodestone.sources.scratch import materialize, scratch_path
 
 CHUNK = 1 << 18
@@ -109,7 +110,7 @@ def records(pages: DataFrame, dedup_bytes: int = 0, chunk_bytes: int = CHUNK) ->
 
         yield from _batched(made())
 
-    return marked.select("page_id", "url", "payload", "sha", refers.alias("first")).mapInArrow(run, SCHEMA)
+    return map_arrow(marked.select("page_id", "url", "payload", "sha", refers.alias("first")), run, SCHEMA)
 
 
 def write(pages: DataFrame, path: str, **kwargs) -> None:
@@ -174,7 +175,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], [f.split()[0] for f in FACTS.split(", ")])
 
-    return ordered.mapInArrow(run, FACTS)
+    return map_arrow(ordered, run, FACTS)
 
 
 def import_stream(stream: BinaryIO, chunk_bytes: int = CHUNK, first_record: int = 0) -> Iterator[tuple]:

@@ -127,12 +127,15 @@ def _window_rows(window: int):
     return run, ", ".join(f"{n} long" for n in names)
 
 
-def removed_windows(docs: DataFrame, window: int = 50, seed_words: int = 10) -> DataFrame:
-    """``doc_id, row_key, start, count``: runs of windows that also start in a document with a smaller doc_id.
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, row_key, text`` (bytes); row_key tells rows with one doc_id apart, and is zero where no doc_id repeats."""
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    key = F.lit(0).cast("long") if repeats.isEmpty() else F.xxhash64("text")
+    return docs.select(F.col("doc_id").cast("long"), key.alias("row_key"), F.col("text").cast("binary").alias("text"))
 
-    row_key is ``xxhash64(text)`` and tells rows with one doc_id apart.
-    """
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+
+def removed_windows(texts: DataFrame, window: int = 50, seed_words: int = 22) -> DataFrame:
+    """``doc_id, row_key, start, count``: runs of windows of ``keyed_texts`` that also start in a document with a smaller doc_id."""
     texts = texts.where("doc_id is not null and text is not null")
     seeds = materialize(map_arrow(texts, *_seed_rows(window, seed_words)), "seeds")
     segment = ["anchor", "first", "last", "count"]
@@ -171,14 +174,14 @@ def _removed(window: int, emit):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, seed_words: int = 10, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, seed_words: int = 22, digest: bool = False) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept``: the words left, joined by one space.
 
     digest: give the lowercase hex SHA-256 of the kept text in place of the text.
     """
-    runs = removed_windows(docs, window, seed_words)
+    texts = keyed_texts(docs)
+    runs = removed_windows(texts, window, seed_words)
     at = runs.distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.col("start") * 64 + F.col("count")).alias("at"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("text"))
 
     def emit(words: list[bytes], gone: np.ndarray) -> tuple:
         text = b" ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])

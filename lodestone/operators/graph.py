@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self loops, repeated and reversed edges are allowed; rows with a null end
     are ignored. Nodes that no edge names are not in the result.
     """
-    clean = edges.where("u is not null and v is not null")
+    clean = materialize(edges.where("u is not null and v is not null"), "links")
     loops = clean.where("u = v").select("u").distinct()
     current = materialize(
         clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"

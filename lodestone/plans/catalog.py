@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.plans import access, aggregates, documents, evaluation, jobs, lineage, relational, retrieval, stateful, text, validation
+from lodestone.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (access, aggregates, documents, evaluation, jobs, lineage, relational, retrieval, stateful, text, validation)
+__all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import chat, decontaminate, lines, pieces, tokenfiles, warc
 from lodestone.llm.compaction import Dataset
+from lodestone.llm.oracles import ORACLES
 from lodestone.llm.quality import MEASURES, quality
 from lodestone.llm.simhash import simhash_classes
 from lodestone.llm.substring import remove_repeats
 from lodestone.sources.scratch import scratch_path
 from lodestone.sources.tables import table
 
-WORDS = r"[^\x20\x09-\x0D]+"
-
 
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of each pair of neighbouring conversations."""
@@ -64,7 +63,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as read from the compacted dataset, with its shard's tier and bytes.
+    """Every document as read from the compacted dataset.
 
     The documents arrive in eight batches, by source, so that sizes differ.
     """
@@ -74,7 +73,7 @@ def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset.compact()
     dataset.vacuum()
     found = dataset.read()
-    return found.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "tier", "shard_bytes")
+    return found.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +89,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_preferences": op1_preferences,
     "op2_simhash": op2_simhash,
@@ -102,4 +103,3 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
 }
-ORACLES: dict[str, str] = {}

@@ -92,7 +92,7 @@ def compact(text: Column, length: int) -> Column:
 def cut_at_word(text: Column, length: int) -> Column:
     """At most ``length`` characters, cut at the last space if there is one."""
     head = F.substring(text, 1, length)
-    at_space = F.regexp_replace(head, r"\s+\S*$", "")
+    at_space = F.regexp_replace(head, r"\s+\S*\z", "")
     return F.when(F.length(text) <= length, text).when(at_space == "", head).otherwise(at_space)
 
 

@@ -28,7 +28,7 @@ def _items(spark, d):
 
 
 @query(
-    f"""with {ITEMS}, j as (select i.*, s.ref as sref, s.text as stext, row_number() over (partition by i.doc, i.ref order by i.idx) > 1 as again from items i left join source s on s.doc = i.doc and s.idx = i.idx)
+    f"""with {ITEMS}, n as (select *, row_number() over (partition by doc, ref order by idx) > 1 as again from items), j as (select n.*, s.ref as sref, s.text as stext from n left join source s on s.doc = n.doc and s.idx = n.idx)
     select doc, idx, 'invented_item' as code from j where sref is null
     union all select doc, idx, 'invented_reference' from j where sref is not null and ref <> sref
     union all select doc, idx, 'requirement_text_mismatch' from j where stext is not null and text <> stext
@@ -93,14 +93,14 @@ def answer_binding_cascade(spark, d):
     return E.bind_answers(orders.where("row_id % 2 = 0"), answers, [["a", "b"], ["a"]])
 
 
-@query("select l_orderkey as doc, l_returnflag as ref, l_linestatus as text, cast(l_quantity / 10 as int) as entry_order, min(l_linenumber) as row_id from lineitem group by 1, 2, 3, 4")
+@query("select l_orderkey as doc, l_returnflag as ref, l_linestatus as text, cast(floor(l_quantity / 10) as int) as entry_order, min(l_linenumber) as row_id from lineitem group by 1, 2, 3, 4")
 def ledger_dedupe(spark, d):
-    rows = table(spark, d, "lineitem").selectExpr("l_orderkey as doc", "l_returnflag as ref", "l_linestatus as text", "cast(round(l_quantity / 10) as int) as entry_order", "l_linenumber as row_id")
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey as doc", "l_returnflag as ref", "l_linestatus as text", "cast(floor(l_quantity / 10) as int) as entry_order", "l_linenumber as row_id")
     return E.ledger_dedupe(rows)
 
 
 @query(
-    """with recursive s as (select l_orderkey as doc, l_linenumber as i, cast(l_quantity as bigint) as z, row_number() over (partition by l_orderkey order by l_linenumber) as k from lineitem),
+    """with recursive s as (select l_orderkey as doc, l_linenumber as i, cast(floor(l_quantity) as bigint) as z, row_number() over (partition by l_orderkey order by l_linenumber, floor(l_quantity)) as k from lineitem),
     f as (select doc, i, k, 0 as batch, 1 as n, z as used from s where k = 1
       union all select s.doc, s.i, s.k, case when f.n < 3 and f.used + s.z <= 60 then f.batch else f.batch + 1 end, case when f.n < 3 and f.used + s.z <= 60 then f.n + 1 else 1 end, case when f.n < 3 and f.used + s.z <= 60 then f.used + s.z else s.z end from f join s on s.doc = f.doc and s.k = f.k + 1)
     select doc, i, batch from f"""

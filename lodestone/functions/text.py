@@ -17,10 +17,13 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "\n{4,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
-def decomposed(text: pd.Series) -> pd.Series:
+def decomposed(text: Column) -> Column:
     """Compatibility decomposition (NFKD), for which Spark has no built-in."""
-    return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+    def normalize(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+    return F.pandas_udf(normalize, "string")(text)
 
 
 def comparable(text: Column, keep_letters: bool = False) -> Column:

@@ -154,7 +154,8 @@ def packed(docs: DataFrame, carry: list[str] | None = None, min_rows: int = 30,
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), "text", "lang", "source")
     rows = materialize(measured(rows).select("row", "lang", "source", *MEASURES, "n_lines", "base_failed"), "measures")
-    return judged(rows, thresholds(sketches(rows), min_rows, reach)).drop("lang", "source")
+    limits = materialize(thresholds(sketches(rows), min_rows, reach), "thresholds")  # its size is then known to the planner
+    return judged(rows, limits).drop("lang", "source")
 
 
 def quality(docs: DataFrame, carry: list[str] | None = None, min_rows: int = 30, reach: int = 8) -> DataFrame:

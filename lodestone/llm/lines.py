@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import materialize
+
 BLANK = r"^[\x20\x09-\x0D]*|[\x20\x09-\x0D]*$"
 
 
@@ -41,7 +43,8 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float, min_
 
 def drop_boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """``pages`` with ``text`` rid of boilerplate lines, and the columns ``n_lines`` and ``n_dropped``."""
-    gone = boilerplate(pages, site, F.col(text), ratio, min_pages).withColumnsRenamed({"site": "_at", "gone": "_gone"})
+    gone = materialize(boilerplate(pages, site, F.col(text), ratio, min_pages), "boilerplate")  # its size is then known to the planner
+    gone = gone.withColumnsRenamed({"site": "_at", "gone": "_gone"})
     marked = pages.withColumn("_site", site).join(gone, F.expr("_site <=> _at"), "left").withColumn("_lines", F.split(text, "\n"))
     left = F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(bare(x))) | (bare(x) == ""))
     marked = marked.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(left))

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, lines, pieces, quality, simhash
+from lodestone.llm import decontaminate, lines, neardup, pieces, quality
 from lodestone.sources.scratch import materialize
 from lodestone.sources.tables import table
 
@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each class of shingle similarity 0.8 (five words)."""
-    return simhash.keep_one(docs, shingle=5, words=4, similarity=0.8).select(*docs.columns)
+    return neardup.keep_one(docs, shingle=5, similarity=0.8).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("piece_encoding", piece_encoding),
 ]
 
-#: SQL can't express SimHash classes over sampled masks or piece encoding; the stages are tested against brute force.
+#: SQL can't express near-duplicate classes or piece encoding; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -1,25 +1,39 @@
-"""Near-duplicate classes by exact shingle similarity.
+"""Near-duplicate classes by word-shingle similarity: bit-sliced SimHash, exact links.
 
 Two texts link if the sets of their word shingles have a Jaccard similarity of
-``similarity`` or more. Candidates share one of 24 bands of five minimum hashes
-(a pair at 0.8 shares one with probability 0.9999, whatever the number of
-rows); every link is then decided by the intersection of the two sets, in a
-Spark join. Texts with equal words are one node before that.
+``similarity`` or more. Texts with equal words are one node before that. Each
+node has a SimHash of 512 bits over its set of shingles.
 
-Only candidates between different components are met. While a large group of
-copies would give many, its nodes first meet the smallest node of a bucket
-only (one candidate a node and round); when few are left, or a round leaves
-more than half of them, all that are left are met. No candidate is skipped unless its
-ends are already connected by links that hold.
+Deal. Nodes meet in buckets: 24 bands of five minimum hashes, of which a pair
+at 0.8 shares one with probability 0.9999, whatever the number of rows. This
+takes the place of masks over fingerprint bits, of which a radius this wide
+needs more the more rows there are.
+
+Compare. A bucket's fingerprints are bit planes, and distances are added up as
+in ``simhash``. The radius is the distance expected at ``similarity`` and three
+and a half deviations more, so a pair at the threshold passes with probability
+0.9998. Nodes that are not of a bucket's largest component ask, the others are
+asked. A bucket of over ``BLOCK`` nodes is a grid of blocks of that size.
+
+Verify. What passes is decided by the intersection of the two sets, in a Spark
+join; no link is an estimate, only the candidate search is.
+
+Only nodes of different components are compared. While a large group of copies
+would give many pairs, its nodes first meet the smallest node of a bucket (one
+candidate a node and round); then each node meets the ``NEAREST`` ones of a
+bucket, and at last all that are within the radius and still apart. No
+candidate is skipped unless its ends are connected by links that hold.
 
 Shingles and nodes are 64-bit hashes. Nulls and edges: null and wordless texts
 are one node; fewer words than a shingle are one shingle; rows with a null
 doc_id link nothing; repeated rows share a class; an empty table gives an
-empty result.
+empty result; a very long text is one set, held by one task at a time; columns
+other than doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +42,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.simhash import SEED, majority, pairs_within, shingle_hashes, signed, whole_buckets
 from lodestone.operators.graph import connected_components
 from lodestone.session import map_arrow
 from lodestone.sources.scratch import materialize
 
-SEED = 42
 BANDS = 24
 DEPTH = 5
-FEW = 8  # candidates a bucket row that are met without further rounds
+WORDS = 8  # of 64 fingerprint bits
+BLOCK = 4096  # nodes of a bucket that are compared in one piece
+FEW = 512  # pairs a bucket row that are compared without further rounds
+NEAREST = 4
+PRINTS = [f"f{i}" for i in range(WORDS)]
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH, 1), np.uint64)
 TIMES, PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -45,13 +63,7 @@ def shingles(text: bytes | None, k: int) -> tuple[int, np.ndarray]:
     tokens = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
     joined = b" ".join(tokens)
     node = xxhash.xxh64_intdigest(joined, SEED + 1)
-    if not tokens:
-        return node, np.zeros(0, np.uint64)
-    k = min(k, len(tokens))
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    stops, starts = ends[k - 1 :].tolist(), [0, *(ends[: len(tokens) - k] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return node, np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops)))
+    return node, np.unique(shingle_hashes(tokens, joined, k)) if tokens else np.zeros(0, np.uint64)
 
 
 def band_keys(found: np.ndarray) -> list[int]:
@@ -62,21 +74,24 @@ def band_keys(found: np.ndarray) -> list[int]:
     for at in range(0, len(found), 4096):  # bounded memory for very long texts
         least = np.minimum(least, (found[at : at + 4096] * TIMES + PLUS).min(axis=1))
     rows = least.reshape(BANDS, DEPTH)
-    return [_signed(xxhash.xxh64_intdigest(rows[i].tobytes(), i)) for i in range(BANDS)]
+    return [signed(xxhash.xxh64_intdigest(rows[i].tobytes(), i)) for i in range(BANDS)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def radius_at(similarity: float, deviations: float = 3.5) -> int:
+    """Bits in which fingerprints of sets so similar differ, and some deviations more."""
+    bits, angle = 64 * WORDS, math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return round(bits * angle + deviations * math.sqrt(bits * angle * (1 - angle)))
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [shingles(t.as_py(), shingle) for t in b.column(1)]
-            cols = [pa.array([_signed(n) for n, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), pa.array([band_keys(s) for _, s in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "node", "n", "keys"])
+            prints = np.array([majority(s, WORDS) if len(s) else [0] * WORDS for _, s in made], np.uint64).reshape(len(made), WORDS).view(np.int64)
+            cols = [pa.array([signed(n) for n, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), pa.array([band_keys(s) for _, s in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], ["doc_id", "node", "n", "keys", *PRINTS])
 
-    return map_arrow(docs, run, "doc_id long, node long, n long, keys array<long>")
+    return map_arrow(docs, run, "doc_id long, node long, n long, keys array<long>, " + ", ".join(f"{p} long" for p in PRINTS))
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -84,7 +99,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             for t in b.column(1):
                 node, found = shingles(t.as_py(), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([_signed(node)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array([signed(node)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "found"])
 
     return map_arrow(docs, run, "node long, found array<long>")
 
@@ -101,36 +116,96 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(F.col("i") >= similarity * (F.size("a") + F.size("b") - F.col("i"))).select("u", "v")
 
 
-def _links(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+def _leads(left: DataFrame, similarity: float) -> DataFrame:
+    """One candidate (u, v) of each node: the smallest node of the bucket's smallest component, where most buckets name it."""
+    low = left.groupBy("key").agg(F.min(F.struct("comp", "node", "n")).alias("lead"))
+    met = left.join(low, "key").where(F.col("comp") > F.col("lead.comp")).where(_near_size(F.col("n"), F.col("lead.n"), similarity))
+    return met.groupBy("node", F.col("lead.node").alias("other")).agg(F.count("*").alias("c")).select("node", "other", "c")
+
+
+def _compare(radius: int, similarity: float, nearest: int | None):
+    bits = np.arange(64 * WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, block, rank, node, n, comp, *words in whole_buckets(batches):
+            prints = np.array(words).view(np.uint64)
+            bucket = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            for u, v in pairs_within(prints, bucket, rank > 0, bits, radius):
+                fits = (comp[u] != comp[v]) & (rank[u] + rank[v] < 4) & (np.minimum(n[u], n[v]) >= similarity * np.maximum(n[u], n[v]))
+                u, v = u[fits], v[fits]
+                if nearest and len(u):
+                    apart = np.bitwise_count(prints[:, u] ^ prints[:, v]).sum(0)
+                    order = np.lexsort((apart, u))
+                    u, v = u[order], v[order]
+                    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                    take = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)])) < nearest
+                    u, v = u[take], v[take]
+                if len(u):
+                    a, b = node[u], node[v]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+
+    return run
+
+
+def _cells() -> Column:
+    """The cells (block, rank) of a row of a bucket with ``s`` nodes, ``s - c`` of which ask.
+
+    A bucket of one block is one cell. A larger one is a grid: blocks of nodes by pieces of those that ask.
+    """
+    blocks, pieces = F.ceil(F.col("s") / BLOCK).cast("int"), F.greatest(F.ceil((F.col("s") - F.col("c")) / BLOCK).cast("int"), F.lit(1))
+    block, piece = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64(F.lit(1), "node"), pieces).cast("int")
+    asks = F.col("comp") != F.col("major")
+
+    def cell(at: Column, rank: Column) -> Column:
+        return F.struct(at.cast("int").alias("block"), rank.alias("rank"))
+
+    stays = F.transform(F.sequence(F.lit(0), pieces - 1), lambda j: cell(block * pieces + j, F.lit(0)))
+    visits = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: cell(i * pieces + piece, F.lit(2)))
+    return F.when(blocks == 1, F.array(cell(F.lit(0), F.when(asks, 1).otherwise(0)))).when(asks, F.concat(stays, visits)).otherwise(stays)
+
+
+def _within_blocks(left: DataFrame, sized: DataFrame, nodes: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
+    """Candidates (u, v) of different components within the radius; the ``nearest`` of each node and bucket, or all.
+
+    rank: 0 for nodes that don't ask in a cell, 1 for those that ask and are asked, 2 for those that only ask.
+    """
+    rows = left.join(sized.select("key", "s", "c", "major"), "key").join(nodes.select("node", *PRINTS), "node")
+    dealt = rows.withColumn("cell", F.explode(_cells())).select("key", "cell.block", "cell.rank", "node", "n", "comp", *PRINTS)
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rank", "node")
+    return map_arrow(dealt, _compare(radius_at(similarity), similarity, nearest), "u long, v long").distinct()
+
+
+def _links(dealt: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links (u, v) that connect what the candidates of ``dealt(key, node, n)`` connect; None without candidates."""
-    labelled, links, tested, before = dealt.withColumn("comp", F.col("node")), None, None, None
+    labelled, links, tested, before, nearest = dealt.withColumn("comp", F.col("node")), None, None, None, NEAREST
     while True:
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
         left = materialize(labelled.join(mixed, "key"), "open")
-        counts = left.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q"))
-        rows, candidates = counts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum(F.expr("(s * s - q) div 2")), F.lit(0))).first()
+        counts = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        sized = counts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q"), F.max(F.struct("c", "comp")).alias("most"))
+        sized = materialize(sized.select("key", "s", "q", "most.c", F.col("most.comp").alias("major")), "buckets")
+        rows, candidates = sized.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum(F.expr("(s * s - q) div 2")), F.lit(0))).first()
         if not candidates:
             return links
-        last = candidates <= FEW * rows or (before is not None and 2 * candidates > before)
-        if last:
-            other = left.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            pairs = left.join(other, "key").where(F.col("comp") > F.col("comp2")).where(_near_size(F.col("n"), F.col("m"), similarity))
-            pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+        crowded = candidates > FEW * rows and (before is None or 2 * candidates <= before)
+        if crowded:
+            pairs = _leads(left, similarity).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"), "node", "c")
         else:
-            leads = left.where("comp = low").groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"))
-            met = left.where("comp > low").join(leads, "key").where(_near_size(F.col("n"), F.col("lead.n"), similarity))
-            pairs = met.groupBy(F.greatest("node", "lead.node").alias("u"), F.least("node", "lead.node").alias("v"), "node").agg(F.count("*").alias("c"))
+            pairs = _within_blocks(left, sized, nodes, similarity, nearest)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        if not last:
+        if crowded:
             pairs = pairs.groupBy("node").agg(F.max(F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
         pairs = materialize(pairs, "candidates")
         found = materialize(_verified(pairs, sets, similarity), "verified")
         links = found if links is None else links.unionByName(found)
-        if last:
+        if crowded:
+            before = candidates
+        elif nearest is None:
             return links
+        else:
+            nearest = None
         tested = pairs if tested is None else tested.unionByName(pairs)
-        before = candidates
         groups = connected_components(links)
         labelled = dealt.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
 
@@ -139,15 +214,14 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """``doc_id`` and ``component_id``, the smallest doc_id that links reach, of every row with a doc_id."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
     rows = materialize(_signatures(texts, shingle), "signatures")
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "keys", *PRINTS))), "nodes")
     keys = nodes.select(F.explode("keys").alias("key"), "node", "n")
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     dealt = materialize(keys.join(shared, "key"), "bands")
-    members = nodes.join(dealt.select("node").distinct(), "node", "left_semi")
-    wanted = materialize(members.select("node", "first"), "members")
+    wanted = materialize(nodes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "first", *PRINTS), "members")
     chosen = texts.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _sets(chosen, shingle).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
-    links = _links(dealt, materialize(sets, "sets"), similarity)
+    links = _links(dealt, wanted, materialize(sets, "sets"), similarity)
     if links is None:
         named = nodes.select("node", F.col("first").alias("component_id"))
     else:

@@ -31,7 +31,7 @@ def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 64-bit fingerprints of 3-word shingles link at two bits."""
-    found = simhash_classes(table(spark, sf_dir, "documents"), shingle=3, words=1, radius=2)
+    found = simhash_classes(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -4,31 +4,30 @@ Fingerprints are made where the text is read. Distinct fingerprints are dealt
 to tables by masks over their bits; inside a bucket they are stored vertically
 (one 64-lane word per bit plane), a query's distances to 64 lanes are added up
 with carry-save bitwise counters, and words whose lanes all exceed the radius
-are abandoned. A bucket gives a spanning forest of its links, never all pairs.
+are abandoned, which is looked at every four planes. A bucket gives a spanning
+forest of its links, never all pairs.
 
-Two ways to deal: ``exact_masks`` finds every pair within the radius (pigeonhole
-over byte-sized blocks; a bucket of the 64-bit, radius-2 form holds at most
-2**16 distinct fingerprints whatever the input). ``sampled_masks`` is for wide
-fingerprints and large radii and finds a pair at the radius with the stated
-probability.
+``exact_masks`` finds every pair within the radius (pigeonhole over byte-sized
+blocks): a bucket of the radius-2 form holds at most 2**16 distinct
+fingerprints whatever the input. Word-shingle similarity, which needs wide
+fingerprints and large radii, is in ``neardup``; it compares by the same code.
 
 Nulls and edges: a null or wordless text has fingerprint zero; rows with a null
 doc_id keep their fingerprint and take the class of their text, which is null
 if only such rows have it; repeated rows share a class; an empty table gives
-an empty result.
+an empty result; columns other than doc_id and text are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import connected_components
@@ -49,45 +48,46 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> list[int]:
-    """``words`` 64-bit fingerprint words of one text, unsigned."""
-    tokens = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not tokens:
-        return [0] * words
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+def shingle_hashes(tokens: list[bytes], joined: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every ``shingle`` consecutive tokens, space-joined; of all of them if there are fewer."""
     k = min(shingle, len(tokens))
-    stops = ends[k - 1 :].tolist()
-    starts = [0, *(ends[: len(tokens) - k] + 1).tolist()]
-    n = len(stops)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    stops, starts = ends[k - 1 :].tolist(), [0, *(ends[: len(tokens) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops))
+
+
+def majority(h: np.ndarray, words: int) -> list[int]:
+    """``words`` 64-bit words, unsigned; a bit is set where over half of the hashes have it."""
     out = []
     for w in range(words):
         x = _mixed(h, w) if w else h
         total = np.zeros(64, np.int64)
-        for at in range(0, n, 1 << 15):  # bounded memory for very long texts
+        for at in range(0, len(h), 1 << 15):  # bounded memory for very long texts
             part = x[at : at + (1 << 15)]
             total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0]))
+        out.append(int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0]))
     return out
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 5, words: int = 1) -> DataFrame:
-    """``doc_id`` and the long columns ``f0 .. f{words-1}`` of every row of ``docs``."""
-    names = [f"f{i}" for i in range(words)]
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """The 64-bit fingerprint of one text, unsigned."""
+    tokens = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
+    return majority(shingle_hashes(tokens, b" ".join(tokens), shingle), 1)[0] if tokens else 0
+
+
+def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id`` and the long column ``f0`` of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(t.as_py(), shingle, words) for t in b.column(1)]
-            table = np.array(prints, np.uint64).reshape(len(prints), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(words))], ["doc_id", *names])
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "f0"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return map_arrow(source, run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, f0 long")
 
 
-def exact_masks(radius: int, bits: int = 64) -> list[list[int]]:
+def exact_masks(radius: int, bits: int = 64) -> list[int]:
     """Masks over one word such that any two words within ``radius`` agree under one of them.
 
     Bits fall into ``radius + 6`` blocks; a mask keeps all blocks but ``radius``.
@@ -95,23 +95,10 @@ def exact_masks(radius: int, bits: int = 64) -> list[list[int]]:
     n = radius + 6
     edges = [bits * i // n for i in range(n + 1)]
     blocks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(n)]
-    return [[((1 << bits) - 1) & ~sum(blocks[i] for i in gone)] for gone in combinations(range(n), radius)]
+    return [((1 << bits) - 1) & ~sum(blocks[i] for i in gone) for gone in combinations(range(n), radius)]
 
 
-def sampled_masks(rows: int, words: int, radius: int, recall: float = 0.95, seed: int = 7) -> list[list[int]]:
-    """Masks of about log2(rows / 64) sampled bits, as many as find a pair at the radius with ``recall``."""
-    bits = 64 * words
-    width = max(8, math.ceil(math.log2(max(rows, 1) / 64 + 1)))
-    hit = (1 - radius / bits) ** width
-    rng = random.Random(seed)
-    out = []
-    for _ in range(max(4, math.ceil(math.log(1 - recall) / math.log(1 - hit)))):
-        chosen = rng.sample(range(bits), width)
-        out.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(words)])
-    return out
-
-
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -163,7 +150,7 @@ def _within(query: np.ndarray, planes: np.ndarray, at: np.ndarray, lanes: np.nda
         for k in range(1, levels):
             count[k], carry = count[k] ^ carry, count[k] & carry
         over |= carry
-        if i % 16 == 14:
+        if i % 4 == 2:
             over |= exceeding()
             keep = np.flatnonzero(over != ONES)  # abandon the blocks whose lanes all exceed the radius
             if len(keep) == 0:
@@ -180,48 +167,60 @@ def _lanes_of(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
 
 
-def linked(prints: np.ndarray, bucket: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (u, v) of links that connect, within each bucket, what the radius connects.
+def sliced(prints: np.ndarray, lane: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Bit planes of the fingerprints: one 64-lane word for each run that begins at ``starts``."""
+    planes = np.zeros((64 * len(prints), len(starts)), np.uint64)
+    for p in bits.tolist():
+        planes[p] = np.bitwise_or.reduceat(((prints[p >> 6] >> np.uint64(p & 63)) & np.uint64(1)) << lane, starts)
+    return planes
+
 
-    prints: (words, n) uint64; bucket: (n,), equal values adjacent; bits: the planes to compare.
+def pairs_within(prints: np.ndarray, bucket: np.ndarray, asks: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (u, v), in pieces, of the pairs of each bucket within the radius: u asks, and v comes before it.
+
+    prints: (words, n) uint64; bucket: (n,), equal values adjacent; asks: (n,) bool; bits: the planes to compare.
+    All pairs of one u are in one piece.
     """
     n = len(bucket)
+    if not n:
+        return
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    own = np.diff(np.r_[first, n])
+    words = -(-own // 64)
+    local = np.arange(n) - np.repeat(first, own)
+    base = np.repeat(np.cumsum(words) - words, own)
+    word, lane = base + local // 64, (local % 64).astype(np.uint64)
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    planes = sliced(prints, lane, starts, bits)
+    reads = np.where(asks, local // 64 + 1, 0)  # a row reads the words up to its own, so each pair is met once
+    stop = np.cumsum(reads)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + CHUNK, "right")))
+        q = np.repeat(np.arange(lo, hi), reads[lo:hi])
+        k = np.arange(len(q)) - np.repeat(np.cumsum(reads[lo:hi]) - reads[lo:hi], reads[lo:hi])
+        at = base[q] + k
+        lanes = np.where(at == word[q], (np.uint64(1) << lane[q]) - np.uint64(1), ONES)
+        got, hits = _within(prints[:, q], planes, at, lanes, bits, radius)
+        i, j = _lanes_of(hits)
+        if len(i):
+            yield q[got[i]], starts[at[got[i]]] + j
+        lo = hi
+
+
+def linked(prints: np.ndarray, bucket: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (u, v) of links that connect, within each bucket, what the radius connects."""
+    n = len(bucket)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
     us, vs = [], []
-    some = (size >= 2) & (size <= LARGE)
-    if some.any():
-        rows = np.concatenate([np.arange(a, a + s) for a, s in zip(first[some], size[some], strict=True)])
-        own, words = size[some], -(-size[some] // 64)
-        local = np.arange(len(rows)) - np.repeat(np.cumsum(own) - own, own)
-        base = np.repeat(np.cumsum(words) - words, own)
-        word, lane = base + local // 64, (local % 64).astype(np.uint64)
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        f = prints[:, rows]
-        planes = np.zeros((64 * len(prints), int(words.sum())), np.uint64)
-        for p in bits.tolist():
-            planes[p] = np.bitwise_or.reduceat(((f[p >> 6] >> np.uint64(p & 63)) & np.uint64(1)) << lane, starts)
-        row_at = rows[starts]  # the row of lane 0 of each word
-        reads = local // 64 + 1  # a row reads the words up to its own, so each pair is met once
-        stop = np.cumsum(reads)
-        lo = 0
-        while lo < len(rows):
-            hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + CHUNK, "right")))
-            take = np.arange(lo, hi)
-            q = np.repeat(take, reads[lo:hi])
-            k = np.arange(len(q)) - np.repeat(np.cumsum(reads[lo:hi]) - reads[lo:hi], reads[lo:hi])
-            at = base[q] + k
-            lanes = np.where(at == word[q], (np.uint64(1) << lane[q]) - np.uint64(1), ONES)
-            got, hits = _within(f[:, q], planes, at, lanes, bits, radius)
-            i, j = _lanes_of(hits)
-            u, v = rows[q[got[i]]], row_at[at[got[i]]] + j
-            if len(u):
-                nodes, ends = np.unique(np.r_[u, v], return_inverse=True)
-                label = _forest(ends[: len(u)], ends[len(u) :], len(nodes))
-                moved = np.flatnonzero(label != np.arange(len(nodes)))
-                us.append(nodes[moved])
-                vs.append(nodes[label[moved]])
-            lo = hi
+    some = np.flatnonzero((np.repeat(size, size) >= 2) & (np.repeat(size, size) <= LARGE))
+    for u, v in pairs_within(prints[:, some], bucket[some], np.ones(len(some), bool), bits, radius):
+        nodes, ends = np.unique(np.r_[u, v], return_inverse=True)
+        label = _forest(ends[: len(u)], ends[len(u) :], len(nodes))
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        us.append(some[nodes[moved]])
+        vs.append(some[nodes[label[moved]]])
     for a, s in zip(first[size > LARGE], size[size > LARGE], strict=True):
         u, v = _spread(prints[:, a : a + s], bits, radius)
         us.append(a + u)
@@ -235,9 +234,7 @@ def _spread(f: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, n
     m = f.shape[1]
     lane = (np.arange(m) % 64).astype(np.uint64)
     starts = np.arange(0, m, 64)
-    planes = np.zeros((64 * len(f), len(starts)), np.uint64)
-    for p in bits.tolist():
-        planes[p] = np.bitwise_or.reduceat(((f[p >> 6] >> np.uint64(p & 63)) & np.uint64(1)) << lane, starts)
+    planes = sliced(f, lane, starts, bits)
     left = np.bitwise_or.reduceat(np.uint64(1) << lane, starts)
     us, vs, front, seed = [], [], [], 0
     while True:
@@ -265,74 +262,48 @@ def _spread(f: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def fingerprint_links(classes: DataFrame, masks: list[list[int]], radius: int, exact: bool) -> DataFrame:
-    """Links (u, v) between the ``node`` values of ``classes(node, f0, ...)`` that the radius connects.
-
-    exact: the masks' own bits need no comparison, as equal keys mean equal bits.
-    """
-    words = len(masks[0])
-    names = [f"f{i}" for i in range(words)]
-
-    def masked(t: int) -> list[Column]:
-        return [F.col(n).bitwiseAND(F.lit(_signed(m))) for n, m in zip(names, masks[t], strict=True) if m]
-
-    keys = F.array(*(masked(t)[0] if exact else F.xxhash64(F.lit(t), *masked(t)) for t in range(len(masks))))
-    dealt = classes.select("node", *names, F.posexplode(keys).alias("t", "key"))
-    free = [np.array([b for b in range(64 * words) if not (exact and masks[t][b >> 6] >> (b & 63) & 1)]) for t in range(len(masks))]
-
-    def compare(t, key, node, prints):
-        for table in np.unique(t):
-            a, b = np.searchsorted(t, [table, table + 1])
-            u, v = linked(prints[:, a:b], key[a:b], free[table], radius)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][u]), pa.array(node[a:b][v])], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            t, key = cols[0], cols[1]
-            cut = int(np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])[-1]) if len(t) else 0
-            held = [x[cut:] for x in cols]  # the last bucket may go on in the next batch
-            yield from compare(t[:cut], key[:cut], cols[2][:cut], np.array([x[:cut] for x in cols[3:]]).view(np.uint64))
+def whole_buckets(batches: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[list[np.ndarray]]:
+    """The columns of the batches, cut where the first ``keys`` columns change, so that no bucket is parted."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
         if held is not None:
-            yield from compare(held[0], held[1], held[2], np.array(held[3:]).view(np.uint64))
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        fresh = np.zeros(max(len(cols[0]) - 1, 0), bool)
+        for c in cols[:keys]:
+            fresh |= c[1:] != c[:-1]
+        cut = int(np.flatnonzero(np.r_[True, fresh])[-1]) if len(cols[0]) else 0
+        held = [x[cut:] for x in cols]  # the last bucket may go on in the next batch
+        if cut:
+            yield [x[:cut] for x in cols]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def fingerprint_links(classes: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) between the ``node`` values of ``classes(node, f0)`` that the radius connects."""
+    masks = exact_masks(radius)
+    keys = F.array(*(F.col("f0").bitwiseAND(F.lit(signed(m))) for m in masks))
+    dealt = classes.select("node", "f0", F.posexplode(keys).alias("t", "key"))
+    free = [np.array([b for b in range(64) if not m >> b & 1]) for m in masks]  # equal keys mean equal bits under the mask
 
-    ordered = dealt.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "node", *names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, key, node, f0 in whole_buckets(batches):
+            prints = f0.view(np.uint64).reshape(1, -1)
+            for table in np.unique(t):
+                a, b = np.searchsorted(t, [table, table + 1])
+                u, v = linked(prints[:, a:b], key[a:b], free[table], radius)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a:b][u]), pa.array(node[a:b][v])], ["u", "v"])
+
+    ordered = dealt.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "node", "f0")
     return map_arrow(ordered, run, "u long, v long")
 
 
-def simhash_classes(
-    docs: DataFrame, shingle: int = 5, words: int = 4, radius: int | None = None, similarity: float = 0.8, recall: float = 0.95
-) -> DataFrame:
-    """``doc_id``, ``f0 ..``, and ``component_id``: the smallest doc_id that links reach.
-
-    One word: every pair within ``radius`` bits links. More words: ``radius``
-    defaults to the distance expected at ``similarity`` (of the shingle sets)
-    plus one and a half standard deviations, and pairs are sought by sampled masks.
-    """
-    bits = 64 * words
-    if radius is None:
-        angle = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-        radius = round(bits * angle + 1.5 * math.sqrt(bits * angle * (1 - angle)))
-    names = [f"f{i}" for i in range(words)]
-    prints = materialize(with_fingerprints(docs, shingle, words), "fingerprints")
-    classes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes").where("node is not null")
-    if words == 1:
-        links = fingerprint_links(classes, exact_masks(radius), radius, exact=True)
-    else:
-        links = fingerprint_links(classes, sampled_masks(classes.count(), words, radius, recall), radius, exact=False)
-    groups = connected_components(links)
-    named = classes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names, "left")
-
-
-def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
-    """``docs`` without the rows whose near-duplicate class has a smaller doc_id.
-
-    Rows with a null doc_id stay. Of rows that repeat the smallest doc_id all stay.
-    """
-    drop = simhash_classes(docs, **kwargs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``doc_id``, ``f0``, and ``component_id``: the smallest doc_id that links of ``radius`` bits or fewer reach."""
+    prints = materialize(with_fingerprints(docs, shingle), "fingerprints")
+    classes = materialize(prints.groupBy("f0").agg(F.min("doc_id").alias("node")), "classes").where("node is not null")
+    groups = connected_components(fingerprint_links(classes, radius))
+    named = classes.join(groups, "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, "f0", "left")

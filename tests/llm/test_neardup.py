@@ -81,5 +81,13 @@ def test_rounds_lose_nothing(spark, monkeypatch):
     assert found == classes(rows)
 
 
+def test_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.neardup.BLOCK", 16)
+    monkeypatch.setattr("lodestone.llm.neardup.NEAREST", 1)
+    rows = drifting()
+    found = {r.doc_id: r.component_id for r in near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == classes(rows)
+
+
 def test_empty_table(spark):
     assert near_classes(spark.createDataFrame([], DOCS)).count() == 0

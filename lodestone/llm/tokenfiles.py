@@ -2,11 +2,14 @@
 
 Documents are dealt by ranges of doc_id and written in ascending order. A shard
 holds whole documents, about ``shard_tokens`` ids. Its grammar is built by
-rounds: the most frequent id pairs of the sequence are each given a
-nonterminal and replaced everywhere, left to right, until no pair repeats
-enough. The file keeps the rules, the expansion length of every rule, the
-remaining sequence, and the ids of its documents with their token counts, so
-any token range is decoded by expanding only the symbols that overlap it.
+Re-Pair in rounds: the pairs that occur at least a quarter as often as the most
+frequent one are each given a nonterminal and replaced everywhere, left to
+right; then a quarter of that, down to ``least`` times, until none is left.
+Neither rounds nor pairs are capped; ``least`` is where a rule (12 bytes) costs
+less than it saves (4 bytes a use). The file keeps the rules, the expansion
+length of every rule, the remaining sequence, and the ids of its documents with
+their token counts, so any token range is decoded by expanding only the symbols
+that overlap it; ``read`` and ``fetch`` decode ranges and never a whole shard.
 
 File format: Parquet rows ``part, shard, offset, n_tokens, vocabulary, rules,
 lengths, sequence, doc_ids, doc_tokens``. part and shard order the rows;
@@ -18,13 +21,17 @@ sum over the parts before it: one number a part, never one a document.
 Nulls and edges: a null or empty text has only the end id; rows with a null
 doc_id come first; rows that repeat a doc_id are all written, ordered by text;
 one text longer than a shard is a shard of its own; an empty table gives no
-shards and no rows.
+shards and no rows; columns other than doc_id and text are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -42,20 +49,34 @@ from lodestone.sources.scratch import scratch_path
 
 SCHEMA = "part int, shard int, offset long, n_tokens long, vocabulary int, rules binary, lengths binary, sequence binary, doc_ids array<long>, doc_tokens array<long>"
 #: White space on which Python and the tokenizer might differ.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​-‍⁠﻿]")
-MARKS = ".,;:!?"
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
+#: Marks that part from letters before them as one run; an apostrophe may not.
+MARKS = string.punctuation.replace("'", "")
 WORD_END = "</w>"
 CACHE = 800_000
+PART_BYTES = 256 << 20
 NORMAL = unicodedata.is_normalized
+#: The set-up for which a text may be cut at white space and letters told from marks. Fixed values.
+CUT_AT_SPACE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class Encoder:
     """Ids of whole texts.
 
-    Words are encoded once and kept, as this tokenizer drops white space, joins
-    nothing across it and lowers case. Texts where lowering first could matter
-    (not in normal form C, or with a capital sigma) or that may hold a special
-    token are encoded whole.
+    Where the tokenizer's file has the set-up ``CUT_AT_SPACE`` and no dropout,
+    words are encoded once and kept, as it drops white space, joins nothing
+    across it and lowers case. Texts where lowering first could matter (not in
+    normal form C, or with a capital sigma) or that may hold an added token are
+    encoded whole, and with any other set-up all texts are.
     """
 
     def __init__(self, spec: str):
@@ -65,16 +86,27 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.words: dict[str, bytes] = {}
+        parts = json.loads(spec)
+        self.by_words = (
+            all(parts[k] == v for k, v in CUT_AT_SPACE.items())
+            and parts["model"].get("end_of_word_suffix") == WORD_END
+            and not parts["model"].get("dropout")
+            and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        )
+        if self.by_words:  # the same model for letters alone, which need no normalising and part at spaces only
+            parts["normalizer"], parts["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
+            self.letters = Tokenizer.from_str(json.dumps(parts))
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spelled(self, cores: list[str]) -> list[bytes]:
         """Ids of words of letters only, encoded as one text and told apart by the last token of each."""
-        raw = self._direct([" ".join(cores)])[0]
-        ends = (np.flatnonzero(self.ends[np.frombuffer(raw, np.uint32)]) + 1).tolist()
+        raw = np.array(self.letters.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (np.flatnonzero(self.ends[raw]) + 1).tolist()
         if len(ends) != len(cores):
             return self._direct(cores)
+        raw = raw.tobytes()
         return [raw[4 * a : 4 * z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, words: list[str]) -> None:
@@ -100,11 +132,11 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or ODD_SPACE.search(text):
+        if not self.by_words or "<|" in text or ODD_SPACE.search(text):
             return self._direct([text])[0]
         if text.isascii():
             words = text.lower().split()
-        elif "Σ" not in text and NORMAL("NFC", text) and NORMAL("NFC", low := text.lower()):
+        elif "\u03a3" not in text and NORMAL("NFC", text) and NORMAL("NFC", low := text.lower()):
             words = low.split()
         else:
             return self._direct([text])[0]
@@ -123,57 +155,56 @@ def encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+def _occurrences(keys: np.ndarray, limit: int, load: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that occur ``limit`` times, and place and rank of each of their occurrences, in order of place.
+
+    load: occurrences by hash slot, so that only keys that can be frequent are sorted.
+    """
+    maybe = np.flatnonzero((load >= limit)[slot])
+    order = np.argsort(keys[maybe], kind="stable")
+    ordered = keys[maybe][order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+    count = np.diff(np.r_[first, len(ordered)])
+    often = count >= limit
+    at, rank = maybe[order[np.repeat(often, count)]], np.repeat(np.arange(often.sum()), count[often])
+    back = np.argsort(at)
+    return ordered[first[often]], at[back], rank[back]
 
 
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = 5, pairs: int = 4096, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (k, 2), expansion lengths (k) and the sequence left, all unsigned 32-bit."""
+def compress(ids: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (k, 2), expansion lengths (k) and the sequence left, all unsigned 32-bit.
+
+    Ends when no pair can be replaced ``least - 1`` times.
+    """
     sequence = np.asarray(ids, np.uint32)
     rules: list[np.ndarray] = []
-    lengths = np.ones(vocabulary, np.uint32)
-    made = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
+    sizes, made, limit = np.ones(vocabulary, np.uint32), 0, None
+    while len(sequence) >= 2:
         keys = sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:]
-        ordered = np.sort(keys)
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        count = np.diff(np.r_[first, len(ordered)])
-        often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
-        if len(often) > pairs:
-            often = often[np.argsort(-count[often], kind="stable")[:pairs]]
-        chosen = np.sort(ordered[first[often]])
-        left, right = (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        sieve = np.zeros(1 << 16, bool)
-        sieve[_slot(chosen)] = True
-        maybe = np.flatnonzero(sieve[_slot(keys)])
-        rank = np.searchsorted(chosen, keys[maybe])
-        rank[rank == len(chosen)] = 0
-        fits = chosen[rank] == keys[maybe]
-        at, rank = maybe[fits], rank[fits]
-        run = np.flatnonzero(np.r_[True, np.diff(at) != 1]) if len(at) else at
+        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
+        load = np.bincount(slot, minlength=1 << 20)
+        limit = max(least, int(load.max()) // 4) if limit is None else limit
+        chosen, at, rank = _occurrences(keys, limit, load, slot)
+        run = np.flatnonzero(np.r_[True, np.diff(at) != 1][: len(at)])
         take = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0  # neighbours overlap: every other one
         at, rank = at[take], rank[take]
-        used = np.bincount(rank, minlength=len(chosen))
-        keep = np.flatnonzero(used >= 3)  # a rule seldom used costs more than it saves
-        symbol = np.full(len(chosen), -1, np.int64)
-        symbol[keep] = vocabulary + made + np.arange(len(keep))
-        kept = symbol[rank] >= 0
-        at, rank = at[kept], rank[kept]
-        if not len(at):
+        keep = np.bincount(rank, minlength=len(chosen)) >= least - 1
+        if keep.any():
+            symbol = vocabulary + made + np.cumsum(keep) - 1
+            at, rank = at[keep[rank]], rank[keep[rank]]
+            pair = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)[keep]
+            rules.append(pair)
+            sizes = np.r_[sizes, sizes[pair[:, 0]] + sizes[pair[:, 1]]]
+            made += len(pair)
+            stays = np.ones(len(sequence), bool)
+            stays[at + 1] = False
+            sequence = sequence.copy()
+            sequence[at] = symbol[rank]
+            sequence = sequence[stays]
+        elif limit == least:
             break
-        rules.append(np.stack([left[keep], right[keep]], 1))
-        lengths = np.r_[lengths, lengths[left[keep]] + lengths[right[keep]]]
-        made += len(keep)
-        keep = np.ones(len(sequence), bool)
-        keep[at + 1] = False
-        sequence = sequence.copy()
-        sequence[at] = symbol[rank]
-        sequence = sequence[keep]
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), lengths[vocabulary:], sequence
+        limit = max(least, limit // 4)
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), sizes[vocabulary:], sequence
 
 
 def expand(sequence: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -189,15 +220,25 @@ def expand(sequence: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarr
         sequence = out
 
 
-def decode_range(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int, start: int, stop: int) -> np.ndarray:
-    """Tokens start to stop of a shard; only the symbols that overlap the range are expanded."""
-    size = np.ones(len(sequence), np.int64)
-    inner = sequence >= vocabulary
-    size[inner] = lengths[sequence[inner] - vocabulary]
-    ends = np.cumsum(size)
-    a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-    skip = start - (int(ends[a - 1]) if a else 0)
-    return expand(sequence[a:b], rules, vocabulary)[skip : skip + stop - start]
+class Ranges:
+    """Random access to the tokens of one shard."""
+
+    def __init__(self, row: dict):
+        self.vocabulary = row["vocabulary"]
+        self.rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
+        self.sequence = np.frombuffer(row["sequence"], np.uint32)
+        size = np.ones(len(self.sequence), np.int64)
+        inner = self.sequence >= self.vocabulary
+        size[inner] = np.frombuffer(row["lengths"], np.uint32)[self.sequence[inner] - self.vocabulary]
+        self.ends = np.cumsum(size)
+
+    def __call__(self, start: int, stop: int) -> np.ndarray:
+        """Tokens start to stop; only the symbols that overlap the range are expanded."""
+        if stop <= start:
+            return np.zeros(0, np.uint32)
+        a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
+        skip = start - (int(self.ends[a - 1]) if a else 0)
+        return expand(self.sequence[a:b], self.rules, self.vocabulary)[skip : skip + stop - start]
 
 
 def _shards(spec: str, end_id: int, shard_tokens: int):
@@ -241,11 +282,28 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
     """Encode every text, append ``end_id`` to each, and write the shards below ``path``."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()  # read where the job is planned and sent with it
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     map_arrow(rows, _shards(spec, end_id, shard_tokens), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
+def _documents(row: dict, group_tokens: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
+    """Index and ids of each document of a shard, decoded by ranges of about ``group_tokens``."""
+    at, stops = Ranges(row), np.cumsum(row["doc_tokens"]).tolist()
+    low = i = 0
+    while i < len(stops):
+        k = i + 1
+        while k < len(stops) and stops[k] - low <= group_tokens:
+            k += 1
+        ids, begin = at(low, stops[k - 1]), low
+        for doc in range(i, k):
+            yield doc, ids[begin - low : stops[doc] - low]
+            begin = stops[doc]
+        i, low = k, stops[k - 1]
+
+
 def read(spark: SparkSession, path: str, each: Callable[[np.ndarray], tuple] | None = None, columns: str = "ids array<int>") -> DataFrame:
     """``doc_id``, ``start`` (tokens of all documents before it) and ``n_tokens`` of every document in the files, and its ids.
 
@@ -263,19 +321,33 @@ def read(spark: SparkSession, path: str, each: Callable[[np.ndarray], tuple] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                rules, sequence = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), np.frombuffer(row["sequence"], np.uint32)
-                ids = expand(sequence, rules, row["vocabulary"])
-                stops = np.cumsum(row["doc_tokens"])
-                starts = stops - row["doc_tokens"]
-                out = [given(ids[a:z]) for a, z in zip(starts.tolist(), stops.tolist(), strict=True)]
-                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["base"] + row["offset"]), pa.array(row["doc_tokens"], pa.int64())]
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                starts = np.cumsum(row["doc_tokens"]) - row["doc_tokens"] + row["base"] + row["offset"]
+                out = [given(ids) for _, ids in _documents(row)]
+                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(row["doc_tokens"], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c) for c in zip(*out, strict=True))], ["doc_id", "start", "n_tokens", *names])
 
-    joined = shards.join(F.broadcast(base), "part").drop("part", "shard", "n_tokens", "lengths")  # a row a part: bounded by write()
+    joined = shards.join(F.broadcast(base), "part").drop("part", "shard", "n_tokens")  # a row a part: bounded by write()
     return map_arrow(joined, run, f"doc_id long, start long, n_tokens long, {columns}")
 
 
+def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``doc_id`` and ``ids`` of the given documents: only their ranges are decoded, in shards that hold one of them."""
+    wanted = set(doc_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                at, stops = Ranges(row), np.cumsum(row["doc_tokens"])
+                found = [(d, at(int(z) - n, int(z)).astype(np.int32)) for d, n, z in zip(row["doc_ids"], row["doc_tokens"], stops, strict=True) if d in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    shards = spark.read.schema(SCHEMA).parquet(path).where(F.arrays_overlap("doc_ids", F.lit(list(doc_ids)).cast("array<bigint>")))
+    return map_arrow(shards, run, "doc_id long, ids array<int>")
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, **kwargs) -> DataFrame:
     """Write the files, read them back, and give counts and the CRC of every document's ids."""
     path = scratch_path(docs.sparkSession, "tokens")

@@ -1,10 +1,25 @@
-"""Grammar compression and random access, on ids alone."""
+"""Grammar compression and random access, on ids alone and on written files."""
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lodestone.llm.tokenfiles import SCHEMA, Encoder, Ranges, compress, expand, fetch, write
+from lodestone.sources.scratch import scratch_path
+from lodestone.sources.tables import table
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
-from lodestone.llm.tokenfiles import compress, decode_range, expand
+
+def shard(ids: np.ndarray, vocabulary: int) -> dict:
+    rules, lengths, sequence = compress(ids, vocabulary)
+    assert (expand(sequence, rules, vocabulary) == ids).all()
+    return {"vocabulary": vocabulary, "rules": rules.tobytes(), "lengths": lengths.tobytes(), "sequence": sequence.tobytes()}
 
 
 def test_any_range_is_decoded():
@@ -12,8 +27,41 @@ def test_any_range_is_decoded():
     phrases = [rng.integers(0, 50, n).astype(np.uint32) for n in (3, 5, 9)]
     cases = [np.concatenate([phrases[i] for i in rng.integers(0, 3, 400)]), np.full(501, 7, np.uint32), np.zeros(0, np.uint32), np.array([4], np.uint32)]
     for ids in cases:
-        rules, lengths, sequence = compress(ids, 60)
-        assert (expand(sequence, rules, 60) == ids).all()
+        at = Ranges(shard(ids, 60))
         for _ in range(60):
             a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
-            assert (decode_range(sequence, rules, lengths, 60, a, b) == ids[a:b]).all(), (len(ids), a, b)
+            assert (at(a, b) == ids[a:b]).all(), (len(ids), a, b)
+
+
+def test_no_pair_is_left_that_repeats():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 900, 300).astype(np.uint32)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 900, 40).astype(np.uint32)]) for _ in range(40)])
+    rules, lengths, sequence = compress(ids, 1000)
+    pairs, count = np.unique(np.stack([sequence[:-1], sequence[1:]]), axis=1, return_counts=True)
+    assert count[pairs[0] != pairs[1]].max() < 4
+    assert lengths.max() >= 200  # one symbol for most of the passage
+
+
+def test_documents_are_fetched_from_the_files(spark, sf):
+    docs = table(spark, sf, "documents")
+    path = scratch_path(spark, "tokens")
+    write(docs, path, PATH, shard_tokens=3000, parts=3)
+    assert spark.read.schema(SCHEMA).parquet(path).count() > 6
+    wanted = [r.doc_id for r in docs.where("doc_id % 7 = 0").collect()]
+    own = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text for r in docs.where(F.col("doc_id").isin(wanted)).collect()}
+    found = {r.doc_id: r.ids for r in fetch(spark, path, wanted).collect()}
+    assert found == {d: [*own.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
+
+
+def test_other_set_ups_are_encoded_whole(spark, sf):
+    texts = [r.text or "" for r in table(spark, sf, "documents").select("text").collect()][:60] + ["Ünï's don't 12ab 3.14 x--y", "A  B\n C"]
+    changed = json.loads(open(PATH, encoding="utf-8").read())
+    changed["normalizer"]["normalizers"].pop()  # no lower case
+    others = [open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), json.dumps(changed)]
+    for spec, by_words in [*((s, False) for s in others), (open(PATH, encoding="utf-8").read(), True)]:
+        own, plain = Encoder(spec), Tokenizer.from_str(spec)
+        assert own.by_words is by_words
+        for text in texts:
+            assert np.frombuffer(own.encode(text), np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -51,10 +51,10 @@ with w as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m
 ), r as (
   select doc_id, lang, source, base_failed, unnest([
-    {{'measure': 'symbol_rate', 'v': n_symbols * 1000 // nullif(n_words, 0), 'least': 20}},
-    {{'measure': 'word_length', 'v': word_chars * 100 // nullif(n_words, 0), 'least': 30}},
-    {{'measure': 'line_rate', 'v': n_dup_lines * 1000 // nullif(n_lines, 0), 'least': 100}},
-    {{'measure': 'repeat_rate', 'v': n_repeat_words * 1000 // nullif(n_words, 0), 'least': 100}}], recursive := true)
+    {{'measure': 'symbol_rate', 'v': n_symbols * 1000 // nullif(n_words, 0), 'least': 10}},
+    {{'measure': 'word_length', 'v': word_chars * 100 // nullif(n_words, 0), 'least': 15}},
+    {{'measure': 'line_rate', 'v': n_dup_lines * 1000 // nullif(n_lines, 0), 'least': 60}},
+    {{'measure': 'repeat_rate', 'v': n_repeat_words * 1000 // nullif(n_words, 0), 'least': 50}}], recursive := true)
   from b
 ), k as (
   select lang, source, measure, least, case when v < 128 then v else v // (1 << (length(bin(v)) - 7)::bigint) * (1 << (length(bin(v)) - 7)::bigint) end as bucket
@@ -63,15 +63,15 @@ with w as (
   select grouping(source) as wide, grouping(lang) as wider, lang, source, measure, least, count(*) as n,
     quantile_disc(bucket, 0.25) as low, quantile_disc(bucket, 0.75) as high
   from k group by grouping sets ((lang, source, measure, least), (lang, measure, least), (measure, least))
+), l as (
+  select q.lang, q.measure, (q.n * q.low + 30 * e.low) // (q.n + 30) as low, (q.n * q.high + 30 * e.high) // (q.n + 30) as high
+  from q join q e on e.wide = 1 and e.wider = 1 and q.measure = e.measure where q.wide = 1 and q.wider = 0
 ), f as (
-  select a.lang, a.source, a.measure,
-    case when a.n >= 30 then a.low when l.n >= 30 then l.low else e.low end as q1,
-    case when a.n >= 30 then a.high when l.n >= 30 then l.high else e.high end as q3, a.least
-  from q a join q l on l.wide = 1 and l.wider = 0 and a.lang is not distinct from l.lang and a.measure = l.measure
-    join q e on e.wide = 1 and e.wider = 1 and a.measure = e.measure
+  select a.lang, a.source, a.measure, a.least, (a.n * a.low + 30 * l.low) // (a.n + 30) as q1, (a.n * a.high + 30 * l.high) // (a.n + 30) as q3
+  from q a join l on a.lang is not distinct from l.lang and a.measure = l.measure
   where a.wide = 0
 ), v as (
-  select r.doc_id, bool_and(coalesce(r.v between q1 - 8 * greatest(q3 - q1, f.least) and q3 + 8 * greatest(q3 - q1, f.least), true)) as within
+  select r.doc_id, bool_and(coalesce(r.v between q1 - 4 * greatest(q3 - q1, f.least) and q3 + 4 * greatest(q3 - q1, f.least), true)) as within
   from r left join f on r.lang is not distinct from f.lang and r.source is not distinct from f.source and r.measure = f.measure
   group by r.doc_id
 )
@@ -114,7 +114,7 @@ select page_id, payload_bytes,
 from p
 """
 
-COMPACTION = "select doc_id, lang, source, n_chars, sha256(text) as text_sha256 from documents"
+COMPACTION = "select doc_id, lang, source, n_chars, sha256(text) as text_sha256, true as compacted from documents"
 
 REPEATS = f"""
 with d as (
@@ -150,7 +150,7 @@ with p as (
   select *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as b from l
 ), often as (
   select host, b from bare where b <> '' group by host, b
-  having count(distinct page_id) >= 5 and count(distinct page_id) > 0.1 * (select count(*) from p where p.host = bare.host)
+  having count(distinct page_id) >= 2 and count(distinct page_id) > 0.1 * (select count(*) from p where p.host = bare.host)
 ), kept as (
   select page_id, count(*) as n_lines, count(often.b) as n_dropped, string_agg(line, chr(10) order by i) filter (often.b is null) as text
   from bare left join often on bare.host = often.host and bare.b = often.b group by page_id

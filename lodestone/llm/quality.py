@@ -5,13 +5,16 @@ rules are summed into quantile sketches per language and source: counts by
 bucket, exact below 128 and within 1/64 above, at most about 1,100 buckets a
 measure, merged by adding counts. From a sketch come the quartiles, from these
 a fence of ``reach`` times the spread between them on each side, the spread
-being at least the measure's ``least``. A group of fewer than ``min_rows`` rows
-uses its language's sketch, or else that of all rows. A row is kept if it
-passes the base rules and lies within its group's fences.
+being at least the measure's ``least``. A group's quartiles are blended with
+its language's, which count as ``prior`` rows more, and those with all rows', so
+a small group leans on its language by degrees and nothing switches at a size.
+A row is kept if it passes the base rules and lies within its group's fences.
 
 Nulls and edges: a null text has no words and fails the base rules; a null
 language or source is a group like any other; repeated rows count each; an
-empty table gives an empty result; very long texts are measured whole.
+empty table gives an empty result; very long texts are measured whole; ties
+fall in one bucket; columns of ``docs`` that have a measure's name give way in
+``quality`` and stay as they are in ``keep_good``.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Rate and least spread between its quartiles: symbols and repeated words in 1,000 words, 100 times the mean word length, repeated lines in 1,000.
+#: Where most texts have none, ``reach`` times the least spread is what is borne: 40 symbols, 240 lines, 200 repeated words in 1,000.
 RATES = {
-    "symbol_rate": ("n_symbols * 1000 div nullif(n_words, 0)", 20),
-    "word_length": ("word_chars * 100 div nullif(n_words, 0)", 30),
-    "line_rate": ("n_dup_lines * 1000 div nullif(n_lines, 0)", 100),
-    "repeat_rate": ("n_repeat_words * 1000 div nullif(n_words, 0)", 100),
+    "symbol_rate": ("n_symbols * 1000 div nullif(n_words, 0)", 10),
+    "word_length": ("word_chars * 100 div nullif(n_words, 0)", 15),
+    "line_rate": ("n_dup_lines * 1000 div nullif(n_lines, 0)", 60),
+    "repeat_rate": ("n_repeat_words * 1000 div nullif(n_words, 0)", 50),
 }
 
 
@@ -121,7 +125,7 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return placed.groupBy(*keys).agg(F.max("rows").alias("rows"), *quarters)
 
 
-def thresholds(sketch: DataFrame, min_rows: int = 30, reach: int = 8) -> DataFrame:
+def thresholds(sketch: DataFrame, prior: int = 30, reach: int = 4) -> DataFrame:
     """``lang, source`` and, for every measure, ``{measure}_low`` and ``{measure}_high``."""
     one = sketch.withColumn("every", F.lit(1))
     whole = _quartiles(one, ["every"])
@@ -129,8 +133,11 @@ def thresholds(sketch: DataFrame, min_rows: int = 30, reach: int = 8) -> DataFra
     own = _quartiles(one, ["lang", "source"]).withColumn("every", F.lit(1))
     joined = own.alias("a").join(language.alias("b"), F.expr("a.lang <=> b.lang")).join(whole.alias("c"), F.expr("a.every = c.every"))
 
+    def blend(rows: str, own: str, wide: str) -> str:
+        return f"(({rows} * {own} + {prior} * {wide}) div ({rows} + {prior}))"
+
     def quarter(m: str, p: int) -> Column:
-        return F.expr(f"case when a.rows >= {min_rows} then a.{m}_{p} when b.rows >= {min_rows} then b.{m}_{p} else c.{m}_{p} end")
+        return F.expr(blend("a.rows", f"a.{m}_{p}", blend("b.rows", f"b.{m}_{p}", f"c.{m}_{p}")))
 
     fences = []
     for m, (_, least) in RATES.items():
@@ -147,21 +154,21 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.expr(f"not base_failed and {within}")).drop(*near.columns)
 
 
-def packed(docs: DataFrame, carry: list[str] | None = None, min_rows: int = 30, reach: int = 8) -> DataFrame:
+def packed(docs: DataFrame, carry: list[str] | None = None, prior: int = 30, reach: int = 4) -> DataFrame:
     """``row``, the struct of the ``carry`` columns (all by default), with the measures, ``base_failed`` and ``kept``.
 
     Rows are measured once and kept in a working table between the two passes.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), "text", "lang", "source")
     rows = materialize(measured(rows).select("row", "lang", "source", *MEASURES, "n_lines", "base_failed"), "measures")
-    limits = materialize(thresholds(sketches(rows), min_rows, reach), "thresholds")  # its size is then known to the planner
+    limits = materialize(thresholds(sketches(rows), prior, reach), "thresholds")  # its size is then known to the planner
     return judged(rows, limits).drop("lang", "source")
 
 
-def quality(docs: DataFrame, carry: list[str] | None = None, min_rows: int = 30, reach: int = 8) -> DataFrame:
+def quality(docs: DataFrame, carry: list[str] | None = None, prior: int = 30, reach: int = 4) -> DataFrame:
     """The ``carry`` columns of every row with its measures and verdict; columns that have a measure's name give way."""
     own = [c for c in carry or docs.columns if c not in {*MEASURES, "n_lines", "base_failed", "kept"}]
-    return packed(docs, own, min_rows, reach).select("row.*", *MEASURES, "n_lines", "base_failed", "kept")
+    return packed(docs, own, prior, reach).select("row.*", *MEASURES, "n_lines", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, **kwargs) -> DataFrame:

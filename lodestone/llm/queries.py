@@ -63,17 +63,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as read from the compacted dataset.
+    """Every document as read from the compacted dataset, and whether no tier has as many runs as it may.
 
     The documents arrive in eight batches, by source, so that sizes differ.
     """
     docs = table(spark, sf_dir, "documents")
     dataset = Dataset(spark, scratch_path(spark, "shards"), docs.schema)
-    dataset.append_batches(docs.withColumn("arrival", F.pmod(F.xxhash64("source"), F.lit(8))), "arrival", 8)
+    dataset.append_batches(docs, F.pmod(F.xxhash64("source"), F.lit(8)))
     dataset.compact()
     dataset.vacuum()
-    found = dataset.read()
-    return found.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+    tiers = [r["tier"] for r in dataset.runs()]
+    compacted = all(tiers.count(t) < dataset.fanout for t in tiers)
+    return dataset.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), F.lit(compacted).alias("compacted"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's text without the lines that over a tenth of its host's pages hold."""
+    """Every page's text without the lines that over a tenth of its host's pages, and two of them, hold."""
     pages = table(spark, sf_dir, "pages").select("page_id", lines.host(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text"))
     found = lines.drop_boilerplate(pages, F.col("host"))
     return found.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

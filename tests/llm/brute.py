@@ -137,7 +137,7 @@ def repeats(docs: list[tuple[int, str | None]], size: int = 50) -> set[tuple]:
     return out
 
 
-def boilerplate(pages: list[tuple], ratio: float = 0.1, least: int = 5) -> dict:
+def boilerplate(pages: list[tuple], ratio: float = 0.1, least: int = 2) -> dict:
     """pages: (key, site, text) to {key: text left}."""
     total, held = Counter(), Counter()
     for _, site, text in pages:

@@ -2,17 +2,23 @@
 
 Every record is a run of rows ``record, chunk, last, sha1, data``. The data of
 a record's rows, in order of chunk, are the bytes of one WARC/1.1 record; no
-row holds more than ``chunk_bytes`` of them. ``sha1`` is the digest of the
-payload up to and with the row, so a reader checks each row as it comes and
-never holds a whole record. ``export`` gives an archive's bytes for a range of
-records; ``import_stream`` reads any WARC file, plain or gzip, into such rows.
+row holds more than ``chunk_bytes`` of its payload. ``sha1`` is the digest of
+the payload up to and with the row, carried from row to row, so a reader checks
+each row as it comes and never holds a whole record. Payloads are cut in the
+JVM, so no Python worker holds a whole one either; the source table's own cell
+is all there is of it. ``import_stream`` reads any WARC file, plain or gzip,
+piece by piece into such rows; ``export`` gives back a file's bytes.
 
 Of records with equal payloads of at least ``dedup_bytes`` bytes, the one with
-the smallest page_id is a response and the others are revisits that refer to it.
+the smallest page_id is a response and the others are revisits, which name it
+by WARC-Refers-To, its target URI and date.
 
 Nulls and edges: a null html is an empty payload; rows that repeat the smallest
-page_id are all responses; a null page_id is written and read back as null, and
-is the smallest only among nulls; an empty table gives no records.
+page_id are all responses, with one record id; a null page_id is written and
+read back as null, and is the smallest only among nulls; a payload of any
+length is cut; line breaks in a url become spaces; an empty table gives no
+records; columns other than page_id, url and html are not read, so their names
+can't clash.
 """
 
 from __future__ import annotations
@@ -38,41 +44,28 @@ NAMES = ["record", "chunk", "last", "sha1", "data"]
 FACTS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+DATE = "1970-01-01T00:00:00Z"
+PAGE = re.compile(rb"<urn:lodestone:page:(-?\d+)>")
 
 
-def _header(record: int, page, url: str | None, digest: str, size: int, sent: int, refers) -> bytes:
+def _id(page) -> str:
+    return f"<urn:lodestone:page:{'' if page is None else page}>"
+
+
+def _uri(url: str | None) -> str:
+    return re.sub(r"[\r\n]+", " ", url or "")
+
+
+def _header(page, url: str | None, digest: str, size: int, sent: int, refers, refers_url: str | None) -> bytes:
     """WARC and HTTP headers of a record whose payload is ``size`` bytes, of which ``sent`` follow."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:lodestone:record:{record}>",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '')}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-ID: {'' if page is None else page}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(http) + sent}",
-    ]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {_id(page)}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Date: {DATE}"]
     if refers is not None:
-        lines[4:4] = [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_id(refers)}", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {DATE}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + sent}"]
     return "\r\n".join(lines).encode() + END + http
 
 
-def _rows(record: int, header: bytes, payload: memoryview, chunk_bytes: int) -> Iterator[tuple]:
-    """Rows of one record; every row but the first holds payload only, the last with the record's end."""
-    sha = hashlib.sha1()
-    first = payload[: max(0, chunk_bytes - len(header) - len(END))]
-    sha.update(first)
-    data, at, chunk = header + bytes(first), len(first), 0
-    while at < len(payload):
-        yield record, chunk, False, sha.digest(), data
-        part = payload[at : at + chunk_bytes - len(END)]
-        sha.update(part)
-        data, at, chunk = bytes(part), at + len(part), chunk + 1
-    yield record, chunk, True, sha.digest(), data + END
-
-
 def _batched(rows: Iterator[tuple], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
     held: list[tuple] = []
@@ -91,26 +84,34 @@ def records(pages: DataFrame, dedup_bytes: int = 0, chunk_bytes: int = CHUNK) ->
     """The chunked record table of ``pages(page_id, url, html)``."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     source = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    copies = source.where(F.octet_length("payload") >= dedup_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    copies = source.where(F.octet_length("payload") >= dedup_bytes).groupBy("sha").agg(F.min(known).alias("first"), F.count("*").alias("n"))
     copies = materialize(copies.where("n > 1").drop("n"), "copies")  # its size is then known to the planner
-    marked = source.join(copies, "sha", "left")
-    refers = F.when(F.octet_length("payload") >= dedup_bytes, F.expr("case when first < page_id or page_id is null then first end"))
+    refers = F.when(F.octet_length("payload") >= dedup_bytes, F.expr("case when first.page_id < page_id or page_id is null then first end"))
+    marked = source.join(copies, "sha", "left").withColumn("refers", refers).withColumn("size", F.octet_length("payload").cast("long"))
+    marked = marked.withColumn("sent", F.when(F.col("refers.page_id").isNull(), F.col("size")).otherwise(F.lit(0)))
+    chunks = F.greatest(F.ceil(F.col("sent") / chunk_bytes), F.lit(1)).cast("int")
+    cut = marked.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
+        "page_id", "url", "sha", "size", "sent", "refers.page_id", "refers.url", "chunk", (F.col("chunk") == chunks - 1).alias("last"),
+        F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.when(F.col("sent") > 0, chunk_bytes).otherwise(0)).alias("data"),
+    ).toDF("page_id", "url", "sha", "size", "sent", "refers", "refers_url", "chunk", "last", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
-            record = TaskContext.get().partitionId() << 33
+            record, digest, head = (TaskContext.get().partitionId() << 33) - 1, None, b""
             for b in batches:
-                for page, url, body, sha, first in zip(*b.columns, strict=True):
-                    whole = memoryview(body.as_buffer())
-                    digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
-                    sent = whole if first.as_py() is None else whole[:0]
-                    header = _header(record, page.as_py(), url.as_py(), digest, len(whole), len(sent), first.as_py())
-                    yield from _rows(record, header, sent, chunk_bytes)
-                    record += 1
+                for row in zip(*b.columns, strict=True):
+                    page, url, sha, size, sent, refers, refers_url, chunk, last, data = (x.as_py() for x in row)
+                    if chunk == 0:
+                        record, digest = record + 1, hashlib.sha1()
+                        head = _header(page, url, base64.b32encode(bytes.fromhex(sha)).decode(), size, sent, refers, refers_url)
+                    digest.update(data)
+                    yield record, chunk, last, digest.digest(), head + data + (END if last else b"")
+                    head = b""
 
         yield from _batched(made())
 
-    return map_arrow(marked.select("page_id", "url", "payload", "sha", refers.alias("first")), run, SCHEMA)
+    return map_arrow(cut, run, SCHEMA)
 
 
 def write(pages: DataFrame, path: str, **kwargs) -> None:
@@ -122,8 +123,9 @@ def _value(head: bytes, name: bytes) -> bytes | None:
     return found[1] if found else None
 
 
-def _number(value: bytes | None) -> int | None:
-    return int(value) if value else None
+def _page(value: bytes | None) -> int | None:
+    found = PAGE.search(value or b"")
+    return int(found[1]) if found else None
 
 
 class _Record:
@@ -133,7 +135,7 @@ class _Record:
         warc, _, rest = data.partition(END)
         http, _, _ = rest.partition(END)
         self.type = _value(warc, b"WARC-Type").decode()
-        self.page, self.refers = _number(_value(warc, b"X-Page-ID")), _number(_value(warc, b"X-Refers-To-Page"))
+        self.page, self.refers = _page(_value(warc, b"WARC-Record-ID")), _page(_value(warc, b"WARC-Refers-To"))
         self.digest = _value(warc, b"WARC-Payload-Digest").decode().removeprefix("sha1:")
         self.size = int(_value(http, b"Content-Length"))
         self.sha, self.seen, self.chunk = hashlib.sha1(), 0, 0
@@ -219,7 +221,7 @@ def import_stream(stream: BinaryIO, chunk_bytes: int = CHUNK, first_record: int
 
 
 def export(table: DataFrame) -> Iterator[bytes]:
-    """Bytes of a WARC file of the records of ``table``, a partition at a time."""
+    """Bytes of a WARC file of the records of ``table``, for files of a size that one process writes: rows come in order, a partition at a time."""
     for row in table.orderBy("record", "chunk").toLocalIterator():
         yield bytes(row["data"])
 

@@ -2,8 +2,10 @@
 
 Text is normalised by the model's compiled character map: at each place the
 longest key of its trie is replaced, and every normalised byte records the
-source byte it came from. The sentencepiece library segments; each piece is
-then projected through the alignment to a byte span of the source text.
+bytes of the source that it came from. The sentencepiece library segments; each
+piece is then projected through this alignment to a byte span of the source. A
+map without keys, like the production model's, replaces nothing, so its
+alignment is laid out for the whole text at once instead of place by place.
 
 A model whose map is empty and that keeps white space as it is (``by_parts``)
 lets a text be cut where no piece can reach across: before spaces and line
@@ -12,7 +14,10 @@ encoded text by text.
 
 Nulls and edges: a null text is an empty one, with no ids and an empty decoded
 text; bytes that no piece has fall back to byte pieces, all with the span of
-their character's byte; nothing is truncated.
+their character; the space that the model puts before a text has an empty span;
+nothing is truncated; rows with a null doc_id and rows that repeat a doc_id are
+rows like any other; an empty table gives an empty result; columns other than
+doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -103,13 +108,30 @@ class Normalizer:
         self.prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         self.space = SPACE.encode() if self.escape else b" "
 
-    def __call__(self, source: bytes) -> tuple[bytes, list[int]]:
-        """Normalised bytes, and one source offset for each of them and for the end."""
-        out, at = bytearray(), []
+    def __call__(self, source: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """For every normalised byte, the first source byte that it came from and the byte after the last."""
+        return self._all(source) if not self.map.units and not self.squeeze else self._each(source)
+
+    def _all(self, source: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The alignment where nothing is replaced but spaces: a byte comes from its character."""
+        data = np.frombuffer(source, np.uint8)
+        start = np.flatnonzero((data & 0xC0) != 0x80)
+        size = np.diff(np.r_[start, len(data)])
+        wide = np.where(data[start] == 0x20, len(self.space), size) if len(start) else size
+        lead = np.zeros(len(self.space) if self.prefix and source else 0, np.int64)
+        return np.r_[lead, np.repeat(start, wide)], np.r_[lead, np.repeat(start + size, wide)]
+
+    def _each(self, source: bytes) -> tuple[np.ndarray, np.ndarray]:
+        out, first, after = bytearray(), [], []
         i, lead = 0, True
-        if self.prefix and source.strip(b" ") if self.squeeze else self.prefix and source:
-            out += self.space
-            at += [0] * len(self.space)
+
+        def put(text: bytes, a: int, z: int) -> None:
+            out.extend(text)
+            first.extend([a] * len(text))
+            after.extend([z] * len(text))
+
+        if self.prefix and not self.squeeze and source:
+            put(self.space, 0, 0)
         while i < len(source):
             n, text = self.map.longest(source, i)
             if not n:
@@ -121,17 +143,14 @@ class Normalizer:
                     text = text.lstrip(b" ")
             if text:
                 lead = text.endswith(b" ")
-                text = text.replace(b" ", self.space)
                 if not out and self.prefix and self.squeeze:
-                    out += self.space
-                    at += [i] * len(self.space)
-                out += text
-                at += [i] * len(text)
+                    put(self.space, i, i)
+                put(text.replace(b" ", self.space), i, i + n)
             i += n
         if self.squeeze:
             while out.endswith(self.space) and len(out) > len(self.space) * self.prefix:
-                del out[-len(self.space) :], at[-len(self.space) :]
-        return bytes(out), [*at, len(source)]
+                del out[-len(self.space) :], first[-len(self.space) :], after[-len(self.space) :]
+        return np.array(first, np.int64), np.array(after, np.int64)
 
 
 class Codec:
@@ -144,7 +163,6 @@ class Codec:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.lengths = np.array([1 if self.model.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)], np.int32)
         self.barred = np.array([p.startswith(SPACE) for p in pieces])
-        self.source_lengths = self.lengths - 2 * np.array([p.count(SPACE) for p in pieces], np.int32)
         crosses = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
         byte_fallback = self.model.is_byte(self.model.piece_to_id("<0x0A>"))
         self.by_parts = not spec.map.units and spec.prefix and not spec.squeeze and spec.escape and byte_fallback and not crosses
@@ -200,14 +218,11 @@ class Codec:
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and byte after the last, in the source, of every piece."""
-        if self.by_parts and SPACE not in text:
-            # An empty map changes one thing: a space's byte becomes a bar's three, and one bar leads the text.
-            size = self.source_lengths[ids]
-            stop = np.cumsum(size, dtype=np.int32) - 1
-            return np.maximum(stop - size, 0), stop
-        at = np.array(self.normalize(text.encode())[1], np.int32)
+        if not len(ids):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        first, after = self.normalize(text.encode())
         stop = np.cumsum(self._sizes(text, ids))
-        return at[np.r_[0, stop[:-1]]] if len(ids) else stop, at[stop] if len(ids) else stop
+        return first[np.r_[0, stop[:-1]]].astype(np.int32), after[stop - 1].astype(np.int32)
 
     def _sizes(self, text: str, ids: np.ndarray) -> np.ndarray:
         sizes = self.lengths[ids]
@@ -259,7 +274,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """``encode`` reduced, in the same pass, to counts and digests of its ids and decoded text.
 
-    ``spans_ok``: the spans join up from the first byte of the text to its last.
+    ``spans_ok``: every span begins where the one before it ends or, for bytes of one
+    character, where that begins, from the first byte of the text to its last.
     """
     model = model_bytes(model_path)
 
@@ -272,7 +288,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 source = text.as_py() or ""
                 ids = own.encode(source)
                 begins, ends = own.spans(source, ids)
-                whole = not len(ids) or bool(begins[0] == 0 and ends[-1] == len(source.encode()) and (begins[1:] <= ends[:-1]).all())
+                whole = not len(ids) or bool(begins[0] == 0 and ends[-1] == len(source.encode()) and ((begins[1:] == ends[:-1]) | (begins[1:] == begins[:-1])).all())
                 listed = ids.tolist()
                 joined = ",".join([digits[i] for i in listed])
                 rows.append((len(listed), *(hashlib.sha256(x.encode()).hexdigest() for x in (joined, own.model.decode(listed))), whole))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import access, aggregates, documents, evaluation, jobs, lineage, relational, retrieval, stateful, text, validation
+from lodestone.plans import access, aggregates, documents, evaluation, jobs, lineage, predicates, relational, retrieval, stateful, text, validation
 from lodestone.plans.registry import ORACLES, QUERIES
 
-MODULES = (access, aggregates, documents, evaluation, jobs, lineage, relational, retrieval, stateful, text, validation)
+MODULES = (access, aggregates, documents, evaluation, jobs, lineage, predicates, relational, retrieval, stateful, text, validation)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

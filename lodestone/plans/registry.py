@@ -34,6 +34,15 @@ FIXTURES = {
                o_orderkey % 3 as source_revision, o_orderkey % 2 as library_revision
         from {orders}""",
     "revisions": "select c_custkey as project_id, c_custkey % 3 as source_revision, c_custkey % 2 as library_revision from {customer}",
+    "project_documents": """
+        select p_partkey as id, p_partkey % 200 as project_id,
+               case p_size % 4 when 0 then 'primary_customer_document' when 1 then 'primary_solution_document' else 'supporting_document' end as role,
+               case p_partkey % 11 when 0 then 'tidligere_losning' when 1 then 'kravdokument' when 2 then 'rfp' end as supporting_subtype,
+               case p_partkey % 13 when 0 then 'tidligere_losning' end as legacy_subtype,
+               concat(case p_partkey % 9 when 0 then 'Bilag 1 ' when 1 then 'Bilag_2-' when 2 then 'Krav og svar ' when 3 then 'Kravspesifikasjon ' when 4 then 'Requirements-response ' when 5 then 'Solution response ' else '' end, p_name) as title,
+               concat(replace(p_type, ' ', '_'), case p_partkey % 7 when 0 then '_rfp' when 1 then '_losnings-besvarelse' else '' end, '.docx') as file_name,
+               case p_partkey % 5 when 0 then 'processing' when 1 then 'enhanced_ready' else 'basic_ready' end as processing_status
+        from {part}""",
     "jobs": """
         select o_orderkey as id, o_custkey as project_id, o_orderpriority as kind,
                case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'completed' end as status,
@@ -51,6 +60,7 @@ READS = {
     "artifacts": ["orders"],
     "revisions": ["customer"],
     "jobs": ["orders"],
+    "project_documents": ["part"],
 }
 
 

@@ -34,6 +34,26 @@ FIXTURES = {
                o_orderkey % 3 as source_revision, o_orderkey % 2 as library_revision
         from {orders}""",
     "revisions": "select c_custkey as project_id, c_custkey % 3 as source_revision, c_custkey % 2 as library_revision from {customer}",
+    "generated": """
+        select o_orderkey as id, o_custkey as project_id,
+               case o_orderpriority when '1-URGENT' then 'losningsutkast' when '2-HIGH' then 'gjennomforing_og_risiko' else o_orderpriority end as artifact_type,
+               row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) as version,
+               o_orderdate as created_at, concat('h', o_orderkey) as content_hash,
+               case when o_orderkey % 5 = 0 then 7 else o_custkey % 3 end as source_revision,
+               case when o_orderkey % 7 = 0 then 7 else o_custkey % 2 end as library_revision,
+               o_orderkey % 3 = 0 as used_evaluation, o_custkey * 10 + o_orderkey % 2 as input_evaluation_id,
+               case when o_orderkey % 9 = 0 then -1 else o_custkey % 300 end as input_evaluation_at, concat('e', o_custkey) as input_evaluation_hash
+        from {orders}""",
+    "evaluations": """
+        select c_custkey * 10 + k as id, c_custkey as project_id, c_custkey % 300 - k as updated_at, concat('e', c_custkey) as content_hash,
+               case (c_custkey + k) % 4 when 0 then 'document_only' when 3 then 'legacy' else 'generated_artifact' end as mode,
+               case when c_custkey % 5 = 0 then -1 else draft end as evaluated_id
+        from {customer} left join (select o_custkey, max(case when o_orderpriority = '1-URGENT' then o_orderkey end) as draft from {orders} group by o_custkey) on o_custkey = c_custkey
+        cross join (select 0 as k union all select 1 as k) where k = 0 or c_custkey % 3 = 0""",
+    "summaries": """
+        select c_custkey * 100 + k as id, c_custkey as project_id, k as updated_at, c_custkey % 6 <> 0 as verified,
+               c_custkey * 10 + c_custkey % 2 * k as input_id, c_custkey % 300 as input_at, case when c_custkey % 8 = 0 then 'old' else concat('e', c_custkey) end as input_hash
+        from {customer} cross join (select 0 as k union all select 1 as k)""",
     "project_documents": """
         select p_partkey as id, p_partkey % 200 as project_id,
                case p_size % 4 when 0 then 'primary_customer_document' when 1 then 'primary_solution_document' else 'supporting_document' end as role,
@@ -60,6 +80,9 @@ READS = {
     "artifacts": ["orders"],
     "revisions": ["customer"],
     "jobs": ["orders"],
+    "generated": ["orders"],
+    "evaluations": ["customer", "orders"],
+    "summaries": ["customer"],
     "project_documents": ["part"],
 }
 

@@ -15,13 +15,15 @@ and a half deviations more, so a pair at the threshold passes with probability
 0.9998. Nodes that are not of a bucket's largest component ask, the others are
 asked. A bucket of over ``BLOCK`` nodes is a grid of blocks of that size.
 
-Verify. What passes is decided by the intersection of the two sets, in a Spark
-join; no link is an estimate, only the candidate search is.
+Verify. What passes is decided by the intersection of the two sets; no link is
+an estimate, only the candidate search is.
 
 Only nodes of different components are compared. While a large group of copies
 would give many pairs, its nodes first meet the smallest node of a bucket (one
-candidate a node and round); then each node meets the ``NEAREST`` ones of a
-bucket, and at last all that are within the radius and still apart. No
+candidate a node and round). Then each node meets the ``NEAREST`` ones of a
+bucket, in a join with the sets. Where a bucket had more within the radius, its
+nodes that are still apart are dealt once more, together with their sets, and
+compared and verified in one place, which gives links and no pairs. No
 candidate is skipped unless its ends are connected by links that hold.
 
 Shingles and nodes are 64-bit hashes. Nulls and edges: null and wordless texts
@@ -50,7 +52,7 @@ from lodestone.sources.scratch import materialize
 BANDS = 24
 DEPTH = 5
 WORDS = 8  # of 64 fingerprint bits
-BLOCK = 4096  # nodes of a bucket that are compared in one piece
+BLOCK = 1024  # nodes of a bucket that are compared in one piece
 FEW = 512  # pairs a bucket row that are compared without further rounds
 NEAREST = 4
 PRINTS = [f"f{i}" for i in range(WORDS)]
@@ -123,26 +125,65 @@ def _leads(left: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy("node", F.col("lead.node").alias("other")).agg(F.count("*").alias("c")).select("node", "other", "c")
 
 
-def _compare(radius: int, similarity: float, nearest: int | None):
-    bits = np.arange(64 * WORDS)
+def _near(cell: list[np.ndarray], radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (u, v) of different components within the radius, nearest first for each u, and their distances."""
+    key, block, rank, _, n, comp, *words = cell
+    prints = np.array(words).view(np.uint64)
+    bucket = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+    for u, v in pairs_within(prints, bucket, rank > 0, np.arange(64 * WORDS), radius):
+        fits = (comp[u] != comp[v]) & (rank[u] + rank[v] < 4) & (np.minimum(n[u], n[v]) >= similarity * np.maximum(n[u], n[v]))
+        u, v = u[fits], v[fits]
+        apart = np.bitwise_count(prints[:, u] ^ prints[:, v]).sum(0)
+        order = np.lexsort((apart, u))
+        if len(order):
+            yield u[order], v[order], apart[order]
+
+
+def _nearest(radius: int, similarity: float, nearest: int):
+    """Candidates (u, v), the nearest of each node; and, with a null u, the key of every bucket that has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block, rank, node, n, comp, *words in whole_buckets(batches):
-            prints = np.array(words).view(np.uint64)
-            bucket = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-            for u, v in pairs_within(prints, bucket, rank > 0, bits, radius):
-                fits = (comp[u] != comp[v]) & (rank[u] + rank[v] < 4) & (np.minimum(n[u], n[v]) >= similarity * np.maximum(n[u], n[v]))
-                u, v = u[fits], v[fits]
-                if nearest and len(u):
-                    apart = np.bitwise_count(prints[:, u] ^ prints[:, v]).sum(0)
-                    order = np.lexsort((apart, u))
-                    u, v = u[order], v[order]
-                    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-                    take = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)])) < nearest
-                    u, v = u[take], v[take]
-                if len(u):
-                    a, b = node[u], node[v]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+        for cell in whole_buckets(batches):
+            key, node = cell[0], cell[3]
+            for u, v, _ in _near(cell, radius, similarity):
+                first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                take = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)])) < nearest
+                more = np.unique(key[u[~take]])
+                a, b = node[u[take]], node[v[take]]
+                top, low = np.r_[np.maximum(a, b), more], np.r_[np.minimum(a, b), more]
+                yield pa.RecordBatch.from_arrays([pa.array(top, mask=np.arange(len(top)) >= len(a)), pa.array(low)], ["u", "v"])
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are so similar."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def _verified_links(radius: int, similarity: float):
+    """Links (u, v) that connect all pairs of a cell that are so similar; the rows have the sets as their last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in whole_buckets(batches):
+            node, comp, sets = cell[3], cell[5], cell.pop()
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    x = up
+                return x
+
+            links = []
+            for us, vs, _ in _near(cell, radius, similarity):
+                for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+                    a, b = find(comp[u]), find(comp[v])
+                    if a != b and similar(sets[u], sets[v], similarity):
+                        root[max(a, b)] = min(a, b)
+                        links.append((node[u], node[v]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["u", "v"])
 
     return run
 
@@ -164,50 +205,58 @@ def _cells() -> Column:
     return F.when(blocks == 1, F.array(cell(F.lit(0), F.when(asks, 1).otherwise(0)))).when(asks, F.concat(stays, visits)).otherwise(stays)
 
 
-def _within_blocks(left: DataFrame, sized: DataFrame, nodes: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
-    """Candidates (u, v) of different components within the radius; the ``nearest`` of each node and bucket, or all.
+def _dealt(left: DataFrame, sized: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of open buckets by cell, with what ``members(node, ...)`` has of each node.
 
     rank: 0 for nodes that don't ask in a cell, 1 for those that ask and are asked, 2 for those that only ask.
     """
-    rows = left.join(sized.select("key", "s", "c", "major"), "key").join(nodes.select("node", *PRINTS), "node")
-    dealt = rows.withColumn("cell", F.explode(_cells())).select("key", "cell.block", "cell.rank", "node", "n", "comp", *PRINTS)
-    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rank", "node")
-    return map_arrow(dealt, _compare(radius_at(similarity), similarity, nearest), "u long, v long").distinct()
+    rows = left.join(sized.select("key", "s", "c", "major"), "key").join(members, "node")
+    extra = [c for c in members.columns if c != "node"]
+    dealt = rows.withColumn("cell", F.explode(_cells())).select("key", "cell.block", "cell.rank", "node", "n", "comp", *extra)
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rank", "node")
+
+
+def _open(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets with several components, and for each such bucket its rows ``s``, those ``c`` of the largest component ``major``, and squares ``q``."""
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    left = materialize(labelled.join(mixed, "key"), "open")
+    counts = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sized = counts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q"), F.max(F.struct("c", "comp")).alias("most"))
+    return left, materialize(sized.select("key", "s", "q", "most.c", F.col("most.comp").alias("major")), "buckets")
 
 
-def _links(dealt: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+def _relabelled(dealt: DataFrame, links: DataFrame) -> DataFrame:
+    return dealt.join(connected_components(links), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+
+
+def _links(dealt: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links (u, v) that connect what the candidates of ``dealt(key, node, n)`` connect; None without candidates."""
-    labelled, links, tested, before, nearest = dealt.withColumn("comp", F.col("node")), None, None, None, NEAREST
+    radius = radius_at(similarity)
+    labelled, links, tested, before = dealt.withColumn("comp", F.col("node")), None, None, None
     while True:
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        left = materialize(labelled.join(mixed, "key"), "open")
-        counts = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        sized = counts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q"), F.max(F.struct("c", "comp")).alias("most"))
-        sized = materialize(sized.select("key", "s", "q", "most.c", F.col("most.comp").alias("major")), "buckets")
+        left, sized = _open(labelled)
         rows, candidates = sized.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum(F.expr("(s * s - q) div 2")), F.lit(0))).first()
         if not candidates:
             return links
-        crowded = candidates > FEW * rows and (before is None or 2 * candidates <= before)
-        if crowded:
-            pairs = _leads(left, similarity).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"), "node", "c")
-        else:
-            pairs = _within_blocks(left, sized, nodes, similarity, nearest)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        if crowded:
-            pairs = pairs.groupBy("node").agg(F.max(F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
-        pairs = materialize(pairs, "candidates")
+        if candidates <= FEW * rows or (before is not None and 2 * candidates > before):
+            break
+        pairs = _leads(left, similarity).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"), "node", "c")
+        pairs = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = materialize(pairs.groupBy("node").agg(F.max(F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct(), "candidates")
         found = materialize(_verified(pairs, sets, similarity), "verified")
-        links = found if links is None else links.unionByName(found)
-        if crowded:
-            before = candidates
-        elif nearest is None:
-            return links
-        else:
-            nearest = None
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        groups = connected_components(links)
-        labelled = dealt.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+        links, tested = (x if y is None else y.unionByName(x) for x, y in ((found, links), (pairs, tested)))
+        labelled, before = _relabelled(dealt, links), candidates
+    met = materialize(map_arrow(_dealt(left, sized, prints), _nearest(radius, similarity, NEAREST), "u long, v long").distinct(), "candidates")
+    pairs = met.where("u is not null")
+    pairs = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+    found = materialize(_verified(pairs, sets, similarity), "verified")
+    links = found if links is None else links.unionByName(found)
+    crowded = materialize(met.where("u is null").select(F.col("v").alias("key")), "crowded")
+    if crowded.isEmpty():
+        return links
+    left, sized = _open(_relabelled(dealt.join(crowded, "key", "left_semi"), links))
+    rest = map_arrow(_dealt(left, sized, prints.join(sets, "node")), _verified_links(radius, similarity), "u long, v long")
+    return links.unionByName(materialize(rest, "verified"))
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -219,9 +268,10 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     dealt = materialize(keys.join(shared, "key"), "bands")
     wanted = materialize(nodes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "first", *PRINTS), "members")
-    chosen = texts.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # A merge join at every size: where it is small the members might be broadcast, and the plan at 0.1 GB would say nothing of that at 30.
+    chosen = texts.join(wanted.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = _sets(chosen, shingle).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
-    links = _links(dealt, wanted, materialize(sets, "sets"), similarity)
+    links = _links(dealt, wanted.select("node", *PRINTS), materialize(sets, "sets"), similarity)
     if links is None:
         named = nodes.select("node", F.col("first").alias("component_id"))
     else:

@@ -262,11 +262,21 @@ def _spread(f: np.ndarray, bits: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """A column as an array; of arrays if it is one of lists."""
+    if not pa.types.is_list(column.type):
+        return np.asarray(column)
+    out = np.empty(len(column), object)
+    for i, x in enumerate(column):
+        out[i] = np.asarray(x.values)
+    return out
+
+
 def whole_buckets(batches: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[list[np.ndarray]]:
     """The columns of the batches, cut where the first ``keys`` columns change, so that no bucket is parted."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
+        cols = [_values(batch.column(i)) for i in range(batch.num_columns)]
         if held is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
         fresh = np.zeros(max(len(cols[0]) - 1, 0), bool)

@@ -34,6 +34,15 @@ FIXTURES = {
                o_orderkey % 3 as source_revision, o_orderkey % 2 as library_revision
         from {orders}""",
     "revisions": "select c_custkey as project_id, c_custkey % 3 as source_revision, c_custkey % 2 as library_revision from {customer}",
+    "candidates": """
+        select doc_id as id, case when doc_id % 2 = 0 then 'project' else 'service' end as source_type, source as source_id, source as title, lang as reference,
+               concat('part ', doc_id % 7) as heading, text,
+               case doc_id % 6 when 0 then 'requirement' when 1 then 'table' when 2 then 'risk' when 3 then 'section' when 4 then 'answer_cell' end as kind,
+               case doc_id % 3 when 0 then 'hybrid' when 1 then 'vector' else 'memory' end as retrieval,
+               case when doc_id % 3 < 2 then n_chars % 97 / cast(100 as double) end as similarity,
+               case when doc_id % 3 = 0 then 1 / cast(50 + doc_id % 200 as double) end as rrf,
+               case when doc_id % 3 = 0 then doc_id % 40 end as keyword_rank
+        from {documents}""",
     "generated": """
         select o_orderkey as id, o_custkey as project_id,
                case o_orderpriority when '1-URGENT' then 'losningsutkast' when '2-HIGH' then 'gjennomforing_og_risiko' else o_orderpriority end as artifact_type,
@@ -80,6 +89,7 @@ READS = {
     "artifacts": ["orders"],
     "revisions": ["customer"],
     "jobs": ["orders"],
+    "candidates": ["documents"],
     "generated": ["orders"],
     "evaluations": ["customer", "orders"],
     "summaries": ["customer"],

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval as R
+from lodestone.operators.search import nearest
 from lodestone.plans.registry import query
 from lodestone.sources.tables import table
 
@@ -83,16 +84,9 @@ def snippet_dedupe(spark, d):
 )
 def retrieval_eval_mrr(spark, d):
     """Queries are the vectors whose id fifty divides; what has their label is relevant."""
-    vectors = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("v").alias("q"))
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))  # a stated query set against all rows
-
-    def dot(a: str, b: str):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    scored = pairs.select("query_id", F.col("vec_id").alias("id"), F.round(dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q"))), 9).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
-    top = scored.withColumn("rank", rank).where("rank <= 10")
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("embedding").alias("v"))
+    top = nearest(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries, 10)
     wanted = vectors.join(queries.select("query_id", F.col("wanted").alias("label")), "label").where("vec_id <> query_id")
     return R.evaluate(top, wanted.select("query_id", F.col("vec_id").alias("id")))
 

@@ -12,9 +12,9 @@ LONGEST, OVERLAP = 4800, 550
 
 # What marks a passage as evidence of a kind, in order of precedence.
 EVIDENCE = [
-    ("evaluation", "evalueringskriter|tildelingskriter|award criteria|evaluation criteria|vekting|poengscore"),
+    ("evaluation_criterion", "evalueringskriter|tildelingskriter|award criteria|evaluation criteria|vekting|poengscore"),
     ("deadline", "frist|deadline|tilbudsfrist|leveringsdato|oppstart|senest"),
-    ("commercial", "pris|kostnad|budsjett|faktur|betaling|vederlag|opsjon|price|cost|commercial"),
+    ("commercial_term", "pris|kostnad|budsjett|faktur|betaling|vederlag|opsjon|price|cost|commercial"),
     ("risk", "risiko|usikkerhet|konsekvens|sårbarhet|avvik|risk|threat"),
     ("dependency", "avhengig|forutsetning|betinget av|integrasjon mot|dependency|prerequisite"),
     ("architecture", "arkitektur|plattform|integrasjon|grensesnitt|api|infrastruktur|sikkerhet|architecture"),
@@ -24,6 +24,13 @@ EVIDENCE = [
 ]
 
 
+# What is selected first.
+PRIORITY = {
+    "evaluation_criterion": 10, "requirement": 9, "deadline": 8, "commercial_term": 7, "risk": 6,
+    "dependency": 5, "architecture": 4, "goal": 3, "decision": 2, "table": 1,
+}
+
+
 def whole_word(text: Column, alternatives: str) -> Column:
     """Whether one of the alternatives occurs with no letter, digit or underscore beside it, in any alphabet."""
     return F.lower(text).rlike(rf"(^|[^\p{{L}}\p{{N}}_])(?:{alternatives})($|[^\p{{L}}\p{{N}}_])")
@@ -137,20 +144,53 @@ def chunk_kind(text: Column) -> Column:
     return kind.otherwise("paragraph")
 
 
-def evidence(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Lines that give evidence, one row a kind, each text once a document and kind."""
-    kinds = F.array_compact(F.array(*[F.when(whole_word(F.col("line"), words), F.lit(k)) for k, words in EVIDENCE], F.when(F.col("line").contains(" | "), F.lit("table"))))
-    rows = lines(docs, id_column).select(id_column, "line_no", "line", F.explode(kinds).alias("kind"))
-    first = rows.groupBy(id_column, "kind", "line").agg(F.min("line_no").alias("line_no"))
-    return first.withColumn("evidence_id", F.substring(F.sha2(F.concat_ws("\x1f", "kind", "line"), 256), 1, 16))
+def evidence_kinds(text: Column) -> tuple[Column, Column]:
+    """The evidence words of a text, to be kept as ``_hits``, and the kinds of evidence that it gives by them.
+
+    Words are compared as a set; only phrases of several words need a pattern.
+    """
+    low = F.lower(text)
+    words = F.split(low, r"[^\p{L}\p{N}_]+")
+    kinds = []
+    for kind, listed in EVIDENCE:
+        single, phrases = [w for w in listed.split("|") if " " not in w], [w for w in listed.split("|") if " " in w]
+        test = F.arrays_overlap("_hits", F.array(*map(F.lit, single)))
+        for p in phrases:
+            test = test | (low.contains(p) & whole_word(text, p))
+        kinds.append((kind, test))
+    named = sorted({w for _, listed in EVIDENCE for w in listed.split("|") if " " not in w})
+    hits = F.array_intersect(words, F.array(*map(F.lit, named)))
+    return hits, F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in kinds]))
+
+
+def evidence(docs: DataFrame, id_column: str = "doc_id", reference: str | None = None) -> DataFrame:
+    """Lines of twelve characters or more that give evidence, one row a kind, each text once a reference and kind.
+
+    reference: column that names where a text stands; the id by default.
+    """
+    place = F.col(reference or id_column).cast("string")
+    rows = lines(docs.withColumn("_place", place).withColumn("_key", F.struct(id_column, "_place")), "_key").where(F.length("line") >= 12)
+    hits, kinds = evidence_kinds(F.col("line"))
+    found = rows.withColumn("_hits", hits).withColumn("_kinds", kinds)
+    found = found.withColumn("_kinds", F.when((F.size("_kinds") == 0) & F.col("line").contains(" | "), F.array(F.lit("table"))).otherwise(F.col("_kinds")))
+    each = found.select(f"_key.{id_column}", F.col("_key._place").alias("reference"), "line_no", "line", F.explode("_kinds").alias("kind"))
+    print_ = F.sha2(F.concat_ws("\n", "kind", F.lower("line"), "reference"), 256)
+    first = each.withColumn("evidence_id", F.concat(F.lit("ev_"), F.substring(print_, 1, 16))).groupBy(id_column, "kind", "evidence_id")
+    return first.agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("line"))
 
 
 def select_evidence(rows: DataFrame, id_column: str = "doc_id", reserve: int = 6, limit: int = 240) -> DataFrame:
-    """Of each document at least ``reserve`` of every kind and, up to ``limit``, the first ones."""
-    kind = Window.partitionBy(id_column, "kind").orderBy("line_no", "evidence_id")
-    whole = Window.partitionBy(id_column).orderBy("line_no", "kind", "evidence_id")
-    placed = rows.withColumns({"_k": F.row_number().over(kind), "_g": F.row_number().over(whole)})
-    return placed.where(f"_k <= {reserve} or _g <= {limit}").drop("_k", "_g")
+    """Of each document ``reserve`` of every kind, then the first others until there are ``limit``.
+
+    First are the kinds of highest priority, then the lowest lines.
+    """
+    ranks = F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))])
+    order = [F.desc("_p"), F.col("line_no"), F.col("evidence_id")]
+    placed = rows.withColumn("_p", ranks[F.col("kind")])
+    placed = placed.withColumn("_k", F.row_number().over(Window.partitionBy(id_column, "kind").orderBy(*order)) <= reserve)
+    whole = Window.partitionBy(id_column)
+    placed = placed.withColumns({"_reserved": F.count_if("_k").over(whole), "_g": F.row_number().over(Window.partitionBy(id_column, "_k").orderBy(*order))})
+    return placed.where(F.col("_k") | (F.col("_g") <= limit - F.col("_reserved"))).drop("_p", "_k", "_reserved", "_g")
 
 
 def tables(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,8 +16,10 @@ def _word(column: str, alternatives: str) -> str:
     return rf"regexp_matches(lower({column}), '(^|[^\p{{L}}\p{{N}}_])(?:{alternatives})($|[^\p{{L}}\p{{N}}_])')"
 
 
-KINDS = " union all ".join(f"select doc_id, line_no, line, '{k}' as kind from ls where {_word('line', w)}" for k, w in D.EVIDENCE) + " union all select doc_id, line_no, line, 'table' from ls where contains(line, ' | ')"
-EVIDENCE = f"with {LINES}, k as ({KINDS}), f as (select doc_id, kind, line, min(line_no) as line_no from k group by 1, 2, 3), e as (select *, substr(sha256(kind || chr(31) || line), 1, 16) as evidence_id from f)"
+_ANY = " or ".join(_word("line", w) for _, w in D.EVIDENCE)
+KINDS = " union all ".join(f"select doc_id, line_no, line, '{k}' as kind from ls where {_word('line', w)}" for k, w in D.EVIDENCE) + f" union all select doc_id, line_no, line, 'table' from ls where contains(line, ' | ') and not ({_ANY})"
+EVIDENCE = f"with {LINES}, k as ({KINDS}), e as (select doc_id, kind, 'ev_' || substr(sha256(kind || chr(10) || lower(line) || chr(10) || doc_id), 1, 16) as evidence_id, min(line_no) as line_no from k where length(line) >= 12 group by 1, 2, 3)"
+PRIORITY = "case kind " + " ".join(f"when '{k}' then {v}" for k, v in D.PRIORITY.items()) + " end"
 
 
 @query(
@@ -57,7 +59,9 @@ def evidence_units(spark, d):
 
 @query(
     EVIDENCE
-    + """, p as (select *, row_number() over (partition by doc_id, kind order by line_no, evidence_id) as k, row_number() over (partition by doc_id order by line_no, kind, evidence_id) as g from e) select doc_id, kind, line_no, evidence_id from p where k <= 2 or g <= 5"""
+    + f""", p as (select *, {PRIORITY} as p from e), kk as (select *, row_number() over (partition by doc_id, kind order by p desc, line_no, evidence_id) <= 2 as k from p),
+    g as (select *, count(*) filter (k) over (partition by doc_id) as reserved, row_number() over (partition by doc_id, k order by p desc, line_no, evidence_id) as g from kk)
+    select doc_id, kind, line_no, evidence_id from g where k or g <= 5 - reserved"""
 )
 def evidence_selected(spark, d):
     rows = D.evidence(table(spark, d, "documents"))

@@ -43,6 +43,19 @@ FIXTURES = {
                case when doc_id % 3 = 0 then 1 / cast(50 + doc_id % 200 as double) end as rrf,
                case when doc_id % 3 = 0 then doc_id % 40 end as keyword_rank
         from {documents}""",
+    "paged": """
+        select doc_id, concat('Bilag ', doc_id) as title, concat('intro', chr(10), '[[SIDE:1]]', chr(10), substr(text, 1, 300), chr(10), 'Side 1 av 9', chr(10), case when doc_id % 3 = 0 then '[[SIDE:2-4]]' else '[[SIDE:2]]' end, chr(10),
+               substr(text, 301, 300), ' se side 12', chr(10), 'Konfidensiell', chr(10), '[[SIDE:5-3]]', chr(10), '[[SIDE:6]]', substr(text, 601, 200)) as raw
+        from {documents}""",
+    "scanned": """
+        select doc_id, concat(case doc_id % 7 when 0 then 'Kunden skal levere.Leveransenskal ID 1 - 2, ID 3-4; ID 5.6 og ID 7-8 ' when 1 then 'L everansen ,Ã¦rlig "x ' when 2 then 'I D 12 - 4A (se [2) :x ' when 3 then 'ny' when 4 then 'A–B — C‑D  ' else '' end,
+               substr(text, 1, 300), case when doc_id % 5 = 0 then ' «slutt' else '' end) as text, contains(text, ' | ') as has_tables
+        from {documents}""",
+    "numbered_lines": """
+        select o_custkey as doc_id, o_orderkey as line_no, case o_orderstatus when 'P' then 'Punktkrav' else 'Tekstkrav' end as kind, concat('K', o_custkey % 3, '-') as prefix,
+               case when o_orderkey % 4 = 0 then cast(o_orderkey % 9 + 1 as bigint) end as number,
+               case when o_orderkey % 3 = 0 then cast(row_number() over (partition by o_custkey order by o_orderkey) + case when o_orderkey % 6 = 0 then 1 else 0 end as bigint) end as place
+        from {orders}""",
     "generated": """
         select o_orderkey as id, o_custkey as project_id,
                case o_orderpriority when '1-URGENT' then 'losningsutkast' when '2-HIGH' then 'gjennomforing_og_risiko' else o_orderpriority end as artifact_type,
@@ -90,6 +103,9 @@ READS = {
     "revisions": ["customer"],
     "jobs": ["orders"],
     "candidates": ["documents"],
+    "paged": ["documents"],
+    "scanned": ["documents"],
+    "numbered_lines": ["orders"],
     "generated": ["orders"],
     "evaluations": ["customer", "orders"],
     "summaries": ["customer"],
@@ -106,6 +122,8 @@ def with_fixtures(sql: str, *names: str) -> str:
     """DuckDB SQL in which the named fixtures are common table expressions."""
     parts = [f"{n} as ({FIXTURES[n].format(**{t: t for t in READS[n]})})" for n in names]
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {', '.join(parts)}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {', '.join(parts)}, {body[5:]}"
     return f"with {', '.join(parts)} {body}"

@@ -13,7 +13,7 @@ def normalized(text: Column) -> Column:
     """One form of line breaks, dashes and spaces; lines trimmed; four or more line breaks become two."""
     out = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\0"), F.lit(""))
     out = F.regexp_replace(F.regexp_replace(out, "[‐‑‒–—]", "-"), "[ \t]+", " ")
-    out = F.array_join(F.transform(F.split(out, "\n"), F.trim), "\n")
+    out = F.array_join(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), "\n")
     return F.regexp_replace(F.regexp_replace(out, "\n{4,}", "\n\n"), r"^\s+|\s+$", "")
 
 

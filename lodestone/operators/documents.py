@@ -200,7 +200,7 @@ def tables(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     begins = rows.withColumn("new", (F.col("bar") & ~F.coalesce(F.lag("bar").over(w), F.lit(False))).cast("int"))
     grouped = begins.withColumn("table_no", F.sum("new").over(w)).where("bar")
     inside = Window.partitionBy(id_column, "table_no").orderBy("n")
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     return grouped.select(id_column, "table_no", F.row_number().over(inside).alias("row_no"), cells.alias("cells"))
 
 

@@ -56,6 +56,24 @@ FIXTURES = {
                case when o_orderkey % 4 = 0 then cast(o_orderkey % 9 + 1 as bigint) end as number,
                case when o_orderkey % 3 = 0 then cast(row_number() over (partition by o_custkey order by o_orderkey) + case when o_orderkey % 6 = 0 then 1 else 0 end as bigint) end as place
         from {orders}""",
+    "coverage_items": """
+        select l_orderkey as eval_id, l_linenumber - 1 as idx,
+               case when l_suppkey % 17 = 0 then l_linenumber when l_suppkey % 19 <> 0 then l_linenumber - 1 end as order_index,
+               case when l_partkey % 13 = 0 then '' else concat('R-', l_partkey % 6) end as reference,
+               case when l_partkey % 4 = 0 then concat('full ', l_partkey % 6) else 'full' end as full_reference,
+               case when l_partkey % 99 = 98 then 's' end as source_reference,
+               case l_suppkey % 6 when 0 then 'Godt' when 1 then 'Dårlig' when 2 then 'Mangler' when 3 then 'Uklart' when 4 then 'Godt' else 'OK' end as assessment,
+               case when l_partkey % 7 = 0 then ' ' else 'begrunnelse som er lang nok her' end as rationale,
+               case when l_partkey % 11 = 0 then '' else 'bevis i dokumentet er funnet' end as evidence,
+               case when l_partkey % 5 = 0 then 'ok' else 'anbefaling om at svaret utdypes' end as recommendation,
+               case when l_linestatus = 'O' then l_suppkey end as answer_document,
+               case l_suppkey % 9 when 0 then '' when 1 then 'Se vedlegg 3' when 2 then 'Vi kan ikke levere dette' when 3 then 'Ja' when 4 then 'se vedlegg, men løsningen har eget grensesnitt for dette' else concat('Løsningen leverer punkt ', l_partkey % 40, ' fullt ut') end as answer,
+               l_returnflag <> 'N' as mandatory, l_partkey % 3 as section
+        from {lineitem}""",
+    "coverage_heads": """
+        select l_orderkey as eval_id, count(*) + case when l_orderkey % 10 = 0 then 1 else 0 end as total, count(*) - case when l_orderkey % 14 = 0 then 1 else 0 end as assessed,
+               count(*) + case when l_orderkey % 22 = 0 then 2 else 0 end as counted, count(*) + l_orderkey % 3 as source_count
+        from {lineitem} group by l_orderkey""",
     "generated": """
         select o_orderkey as id, o_custkey as project_id,
                case o_orderpriority when '1-URGENT' then 'losningsutkast' when '2-HIGH' then 'gjennomforing_og_risiko' else o_orderpriority end as artifact_type,
@@ -103,6 +121,8 @@ READS = {
     "revisions": ["customer"],
     "jobs": ["orders"],
     "candidates": ["documents"],
+    "coverage_items": ["lineitem"],
+    "coverage_heads": ["lineitem"],
     "paged": ["documents"],
     "scanned": ["documents"],
     "numbered_lines": ["orders"],

@@ -41,9 +41,14 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
 
 
+def compared(text: Column) -> Column:
+    """A key for comparing prose: lower case, marks to spaces, one space between words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[`*#>_\[\](){},.:;!?'\"“”‘’/\\|-]", " "), r"\s+", " "))
+
+
 def words(text: Column) -> Column:
     """Comparison tokens: longer than two characters, or with a digit."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0), lambda w: (F.length(w) > 2) | w.rlike("[0-9]"))
+    return F.filter(F.split(compared(text), " "), lambda w: (F.length(w) > 2) | w.rlike("[0-9]"))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -53,22 +58,38 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
 
 
+# Words that two texts must share in the same order, as numbers must, to mean the same.
+SENSITIVE = [
+    "rto", "rpo", "sla", "ikke", "ingen", "aldri", "uten", "not", "no", "never", "without", "sekund", "sekunder", "second", "seconds",
+    "minutt", "minutter", "minute", "minutes", "time", "timer", "hour", "hours", "dag", "dager", "day", "days", "uke", "uker", "week",
+    "weeks", "måned", "måneder", "month", "months", "år", "year", "years", "prosent", "percent", "kb", "mb", "gb", "tb", "kr", "nok",
+    "eur", "usd", "m2", "m²",
+]
+
+
+def sensitive(text: Column) -> Column:
+    """The numbers, units and negations of a text, in order."""
+    return F.array_join(F.filter(F.split(compared(text), " "), lambda w: w.rlike("[0-9]") | w.isin(SENSITIVE)), "\x00")
+
+
 def near_duplicate(a: Column, b: Column, similarity: float = 0.72) -> Column:
-    """Equal texts, or the same numbers in the same order and tokens that overlap enough."""
-    numbers = [F.regexp_extract_all(t, F.lit(r"[0-9]+"), 0) for t in (a, b)]
-    return (a == b) | ((numbers[0] == numbers[1]) & (overlap(words(a), words(b)) >= similarity))
+    """Equal keys, or the same sensitive words in the same order and tokens that overlap enough; never an empty text."""
+    x, y = compared(a), compared(b)
+    return (x != "") & (y != "") & ((x == y) | ((sensitive(a) == sensitive(b)) & (overlap(words(a), words(b)) >= similarity)))
 
 
-#: Abbreviations after which a sentence goes on.
-ABBREVIATIONS = ["bl.a", "ca", "dvs", "e.g", "etc", "f.eks", "i.e", "jf", "kl", "mr", "nr", "pkt", "vs"]
+# Abbreviations after which a sentence goes on, and months after the number of a date.
+ABBREVIATIONS = ["f.eks", "dvs", "bl.a", "m.m", "o.l", "kl", "ca", "nr"]
+MONTHS = ["januar", "februar", "mars", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "desember"]
 
 
 def sentences(text: Column) -> Column:
     """Sentences; no cut after an abbreviation or the number of a date."""
-    shield = r"(?i)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[0-9]{1,2})\.(\s)"
-    shielded = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), shield, "$1\x01$2")
-    cut = F.split(F.trim(shielded), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(cut, lambda s: F.replace(s, F.lit("\x01"), F.lit("."))), lambda s: s != "")
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    kept = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_])({short})\.", "$1\x01")
+    kept = F.regexp_replace(kept, rf"(?i)(?<![A-Za-z0-9_])([0-9]{{1,2}})\.(\s+(?:{'|'.join(MONTHS)})(?![A-Za-z0-9_]))", "$1\x01$2")
+    dots = lambda s: F.trim(F.replace(s, F.lit("\x01"), F.lit(".")))
+    return F.filter(F.transform(F.split(kept, r"(?<=[.!?])\s+"), dots), lambda s: s != "")
 
 
 def requirement_id(text: Column) -> Column:

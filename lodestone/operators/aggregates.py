@@ -12,10 +12,18 @@ def contiguity(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
     return found.withColumn("contiguous", (F.col("n") == F.col("distinct_n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1))
 
 
-def index_percentile(values: Column, p: float) -> Column:
-    """The element at floor(p * n) of the sorted values, at most the last."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.least(F.floor(F.size(ordered) * p) + 1, F.size(ordered)).cast("int"))
+def index_percentiles(values: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each name the element at floor(share * n) of the sorted values of a group, at most the last.
+
+    Found by counts of distinct values, so no group is gathered in one place.
+    """
+    from pyspark.sql import Window
+
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy(value)
+    placed = counts.withColumns({"upto": F.sum("n").over(w), "rows": F.sum("n").over(Window.partitionBy(*keys))})
+    at = {name: F.least(F.floor(F.col("rows") * share) + 1, F.col("rows")) for name, share in shares.items()}
+    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= i, F.col(value))).alias(name) for name, i in at.items()])
 
 
 def nearest_rank(values: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:

@@ -30,6 +30,17 @@ def without_keys(json: Column, *keys: str) -> Column:
     return F.to_json(F.map_filter(F.from_json(json, "map<string,string>"), lambda k, _: ~k.isin(*keys)))
 
 
+# Keys whose values nobody should read.
+SECRET_KEYS = "(?i)(code|token|secret|password|prompt|content|raw|base64|authorization|cookie)"
+
+
+def sanitized(json: Column, keys: int = 30, length: int = 500) -> Column:
+    """A flat JSON object with secret values hidden, long ones cut, and no more than so many keys."""
+    entries = F.slice(F.map_entries(F.from_json(json, "map<string,string>")), 1, keys)
+    clean = lambda e: F.struct(e["key"].alias("key"), F.when(e["key"].rlike(SECRET_KEYS), "[redacted]").otherwise(F.substring(e["value"], 1, length)).alias("value"))
+    return F.to_json(F.map_from_entries(F.transform(entries, clean)))
+
+
 def _found(text: Column, pattern: str) -> Column:
     return text.rlike(f"(?i){START}{pattern}{STOP}")
 

@@ -61,3 +61,9 @@ def project_labels(spark, d):
         P.project_status(F.col("c_acctbal") > 8000, F.col("c_nationkey") < 8, F.col("c_mktsegment") == "BUILDING").alias("status"),
         P.inferred_over(current, inferred, P.PROJECT_PLACEHOLDERS).alias("name"),
     )
+
+
+@query("""select event_id, '{"apiToken":"[redacted]","note":"' || repeat(event_type, 100)[:500] || '","k":"' || json_extract_string(props, '$.k') || '"}' as metadata from events""")
+def sanitized_metadata(spark, d):
+    json = F.concat(F.lit('{"apiToken":"x1","note":"'), F.repeat("event_type", 100), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    return table(spark, d, "events").select("event_id", P.sanitized(json).alias("metadata"))

@@ -123,7 +123,7 @@ def coverage_buckets(spark, d):
 @query(
     """with p as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as ks from part), d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as ws from documents where doc_id % 50 = 0),
     k as (select doc_id, p_partkey, count(*) as n, any_value(len(ks)) as m from (select doc_id, unnest(ws) as w from d) join (select p_partkey, ks, unnest(ks) as w from p) using (w) group by 1, 2)
-    select doc_id, p_partkey, n, round(n / greatest(4, m), 6) as usefulness from k"""
+    select doc_id, p_partkey, n, least(100, round(100.0 * n / greatest(4, m), 6)) as usefulness, 100.0 * n / greatest(4, m) >= 18 as recommended from k"""
 )
 def service_recommendation(spark, d):
     """Keyword overlap of query documents (those whose id fifty divides) with part names: an equi-join on words."""
@@ -132,4 +132,5 @@ def service_recommendation(spark, d):
     docs = table(spark, d, "documents").where("doc_id % 50 = 0")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("w"))
     hits = words.join(keys, "w").groupBy("doc_id", "p_partkey").agg(F.count("*").alias("n"), F.max("m").alias("m"))
-    return hits.select("doc_id", "p_partkey", "n", F.round(F.col("n") / F.greatest(F.lit(4), F.col("m")), 6).alias("usefulness"))
+    useful = 100 * F.col("n") / F.greatest(F.lit(4), F.col("m"))
+    return hits.select("doc_id", "p_partkey", "n", F.least(F.lit(100), F.round(useful, 6)).alias("usefulness"), (useful >= 18).alias("recommended"))

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.plans.registry import query
+from lodestone.sources.scratch import materialize
 from lodestone.sources.tables import table
 
+#: The comparison key of a text.
+KEY = r"""trim(regexp_replace(regexp_replace(lower(text), '[`*#>_\[\](){},.:;!?''"“”‘’/\\|-]', ' ', 'g'), '\s+', ' ', 'g'))"""
+
 
 def _docs(spark, d):
     return table(spark, d, "documents")
@@ -33,7 +37,9 @@ def comparable_key(spark, d):
 
 
 @query(
-    r"""select doc_id, len(s) as n_sentences, md5(array_to_string(s, chr(10))) as sentences_md5 from (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)\b(bl\.a|ca|dvs|e\.g|etc|f\.eks|i\.e|jf|kl|mr|nr|pkt|vs|[0-9]{1,2})\.(\s)', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda x: replace(x, chr(1), '.')), lambda x: x <> '') as s from documents)"""
+    rf"""with k as (select doc_id, regexp_replace(regexp_replace(text, '(?i)\b({"|".join(a.replace(".", chr(92) + ".") for a in T.ABBREVIATIONS)})\.', '\1' || chr(1), 'g'), '(?i)\b([0-9]{{1,2}})\.(\s+(?:{"|".join(T.MONTHS)})\b)', '\1' || chr(1) || '\2', 'g') as k from documents),
+    s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(k, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') as s from k)
+    select doc_id, len(s) as n_sentences, md5(array_to_string(s, chr(10))) as sentences_md5 from s"""
 )
 def sentence_split(spark, d):
     found = _docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
@@ -51,7 +57,7 @@ def requirement_ids(spark, d):
 
 
 @query(
-    r"""with a as (select item_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 or regexp_matches(w, '[0-9]'))) as ws from benchmark)
+    rf"""with a as (select item_id, text, list_distinct(list_filter(string_split({KEY}, ' '), lambda w: length(w) > 2 or regexp_matches(w, '[0-9]'))) as ws from benchmark)
     select a.item_id, round(case when least(len(a.ws), len(b.ws)) > 0 then len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) else 0 end, 6) as overlap from a join a b on b.item_id = a.item_id + 1"""
 )
 def token_overlap(spark, d):
@@ -61,16 +67,30 @@ def token_overlap(spark, d):
 
 
 @query(
-    r"""with w as (select doc_id, text, substr(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), 1, 320) as block from documents), g as (select block, min(doc_id) as first_id from w group by 1 having count(*) > 1)
-    select w.doc_id, g.first_id, w.text = f.text as exact from w join g using (block) join documents f on f.doc_id = g.first_id where w.doc_id > g.first_id and (w.text = f.text or regexp_extract_all(w.text, '[0-9]+') = regexp_extract_all(f.text, '[0-9]+'))"""
+    f"""with w as (select doc_id, text, {KEY} as k, array_to_string(list_filter(string_split({KEY}, ' '), lambda w: regexp_matches(w, '[0-9]') or w in ({", ".join(f"'{w}'" for w in T.SENSITIVE)})), chr(1)) as s,
+      list_distinct(list_filter(string_split({KEY}, ' '), lambda w: length(w) > 2 or regexp_matches(w, '[0-9]'))) as ws from documents),
+    b as (select doc_id, s, 'whole' as block, k as key from w where k <> '' union all select doc_id, s, 'compact', replace(k, ' ', '') from w where k <> '' union all select doc_id, s, 'head', substr(k, 1, 320) from w where k <> ''),
+    f as (select doc_id, min(doc_id) over (partition by block, key, s) as first_id from b),
+    p as (select distinct doc_id, first_id from f where doc_id > first_id)
+    select p.doc_id, min(p.first_id) as first_id, bool_or(a.k = z.k) as exact from p join w a on a.doc_id = p.doc_id join w z on z.doc_id = p.first_id
+    where a.k = z.k or (least(len(a.ws), len(z.ws)) > 0 and len(list_intersect(a.ws, z.ws)) / least(len(a.ws), len(z.ws)) >= 0.72) group by 1"""
 )
 def near_duplicate_pairs(spark, d):
-    """Blocked by the normal form of the beginning; each document meets the first of its block only."""
-    docs = _docs(spark, d).select("doc_id", "text", F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), 1, 320).alias("block"))
-    first = docs.groupBy("block").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("f"), F.count("*").alias("n")).where("n > 1")
-    pairs = docs.join(first, "block").where(F.col("doc_id") > F.col("f.doc_id"))
-    same = F.regexp_extract_all("text", F.lit("[0-9]+"), 0) == F.regexp_extract_all("f.text", F.lit("[0-9]+"), 0)
-    return pairs.where((F.col("text") == F.col("f.text")) | same).select("doc_id", F.col("f.doc_id").alias("first_id"), (F.col("text") == F.col("f.text")).alias("exact"))
+    """Each document with the first that it repeats: candidates are equal keys, keys without spaces or beginnings, with the same numbers, units and negations.
+
+    Only ids and digests of the keys are shuffled; texts are fetched for candidates, and verified.
+    """
+    docs = _docs(spark, d).select("doc_id", "text")
+    keyed = docs.select("doc_id", T.compared(F.col("text")).alias("k"), T.sensitive(F.col("text")).alias("s")).where("k <> ''")
+    forms = F.array(F.col("k"), F.replace("k", F.lit(" "), F.lit("")), F.substring("k", 1, 320))
+    blocks = keyed.select("doc_id", F.posexplode(F.transform(forms, lambda x: F.sha2(F.concat_ws("\x00", x, "s"), 256))).alias("block", "key"))
+    first = blocks.groupBy("block", "key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    pairs = materialize(blocks.join(first, ["block", "key"]).where("doc_id > first_id").select("doc_id", "first_id").distinct(), "pairs")
+    texts = docs.join(pairs.select("doc_id").union(pairs.select("first_id")).distinct(), "doc_id", "left_semi")
+    a, b = texts.select("doc_id", F.col("text").alias("a")), texts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("b"))
+    same = T.compared(F.col("a")) == T.compared(F.col("b"))
+    met = pairs.join(a, "doc_id").join(b, "first_id").where(T.near_duplicate(F.col("a"), F.col("b")))
+    return met.groupBy("doc_id").agg(F.min("first_id").alias("first_id"), F.bool_or(same).alias("exact"))
 
 
 @query(

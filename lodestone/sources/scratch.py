@@ -18,10 +18,12 @@ KEY = "spark.checkpoint.dir"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder; sets a local folder only where the session names none."""
+    """A new path below the shared folder; a local one is set only where the session names none and runs on one machine."""
     ship(spark)
     root = spark.conf.get(KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {KEY} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set(KEY, root)
         spark.sparkContext.setCheckpointDir(root)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import access, aggregates, currentness, documents, evaluation, guards, jobs, lineage, pages, pickers, predicates, relational, retrieval, scoring, search, stateful, text, validation
+from lodestone.plans import access, aggregates, currentness, documents, evaluation, guards, jobs, lineage, pages, pickers, predicates, relational, retrieval, scans, scoring, search, sessions, stateful, text, validation
 from lodestone.plans.registry import ORACLES, QUERIES
 
-MODULES = (access, aggregates, currentness, documents, evaluation, guards, jobs, lineage, pages, pickers, predicates, relational, retrieval, scoring, search, stateful, text, validation)
+MODULES = (access, aggregates, currentness, documents, evaluation, guards, jobs, lineage, pages, pickers, predicates, relational, retrieval, scans, scoring, search, sessions, stateful, text, validation)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -194,6 +194,14 @@ def report(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
+    doc, key = (_free(f"_{name}", docs) for name in ("doc", "key"))
     hit = contamination(docs, benchmark, **kwargs).where(F.size("hits") > 0)
-    hit = materialize(hit.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).distinct(), "hit")
-    return docs.join(hit, F.expr("doc_id <=> _doc and xxhash64(text) = _key"), "left_anti")
+    hit = materialize(hit.select(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).distinct(), "hit")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[doc]) & (F.xxhash64(docs["text"]) == hit[key]), "left_anti")
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name

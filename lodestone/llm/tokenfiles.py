@@ -100,9 +100,10 @@ class Encoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spelled(self, cores: list[str]) -> list[bytes]:
-        """Ids of words of letters only, encoded as one text and told apart by the last token of each."""
-        raw = np.array(self.letters.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, np.uint32)
+    def _spelled(self, cores: list[str], run: int = 256) -> list[bytes]:
+        """Ids of words of letters only, encoded in runs and told apart by the last token of each."""
+        runs = [" ".join(cores[i : i + run]) for i in range(0, len(cores), run)]
+        raw = np.array([i for e in self.letters.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], np.uint32)
         ends = (np.flatnonzero(self.ends[raw]) + 1).tolist()
         if len(ends) != len(cores):
             return self._direct(cores)
@@ -130,23 +131,32 @@ class Encoder:
         for word, core, marks in split:
             self.words[word] = self.words[core] + self.words[marks]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text; None if it must be encoded whole."""
         if not self.by_words or "<|" in text or ODD_SPACE.search(text):
-            return self._direct([text])[0]
+            return None
         if text.isascii():
-            words = text.lower().split()
-        elif "\u03a3" not in text and NORMAL("NFC", text) and NORMAL("NFC", low := text.lower()):
-            words = low.split()
-        else:
-            return self._direct([text])[0]
-        new = set(words).difference(self.words)
+            return text.lower().split()
+        if "\u03a3" not in text and NORMAL("NFC", text) and NORMAL("NFC", low := text.lower()):
+            return low.split()
+        return None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        The words of all texts are looked up once, in the large table, and then in a small one.
+        """
+        split = [self._split(t) for t in texts]
+        words = set().union(*(s for s in split if s))
+        new = words.difference(self.words)
         if new:
             if len(self.words) + 2 * len(new) > CACHE:
                 self.words.clear()
-                new = set(words)
+                new = words
             self._learn(list(new))
-        return b"".join(map(self.words.__getitem__, words))
+        near = {w: self.words[w] for w in words}.__getitem__
+        whole = iter(self._direct([t for t, s in zip(texts, split, strict=True) if s is None]))
+        return [next(whole) if s is None else b"".join(map(near, s)) for s in split]
 
 
 @lru_cache(maxsize=1)
@@ -161,7 +171,7 @@ def _occurrences(keys: np.ndarray, limit: int, load: np.ndarray, slot: np.ndarra
     load: occurrences by hash slot, so that only keys that can be frequent are sorted.
     """
     maybe = np.flatnonzero((load >= limit)[slot])
-    order = np.argsort(keys[maybe], kind="stable")
+    order = np.argsort(keys[maybe])
     ordered = keys[maybe][order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
     count = np.diff(np.r_[first, len(ordered)])
@@ -241,6 +251,23 @@ class Ranges:
         return expand(self.sequence[a:b], self.rules, self.vocabulary)[skip : skip + stop - start]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], own: Encoder, chars: int = 1 << 18) -> Iterator[tuple]:
+    """doc_id and ids of every row, encoded by runs of rows of about so many characters."""
+    docs: list = []
+    texts: list[str] = []
+    size = 0
+    for b in batches:
+        for doc, text in zip(b.column(0), b.column(1), strict=True):
+            docs.append(doc.as_py())
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= chars:
+                yield from zip(docs, own.encode(texts), strict=True)
+                docs, texts, size = [], [], 0
+    if docs:
+        yield from zip(docs, own.encode(texts), strict=True)
+
+
 def _shards(spec: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec)
@@ -262,16 +289,14 @@ def _shards(spec: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         held = 0
-        for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                coded = own.encode(text.as_py() or "") + end
-                ids.append(coded)
-                docs.append(doc.as_py())
-                sizes.append(len(coded) // 4)
-                held += sizes[-1]
-                if held >= shard_tokens:
-                    yield flush()
-                    held = 0
+        for doc, coded in encoded(batches, own):
+            ids.append(coded + end)
+            docs.append(doc)
+            sizes.append(len(coded) // 4 + 1)
+            held += sizes[-1]
+            if held >= shard_tokens:
+                yield flush()
+                held = 0
         if docs:
             yield flush()
 

@@ -63,5 +63,5 @@ def test_other_set_ups_are_encoded_whole(spark, sf):
     for spec, by_words in [*((s, False) for s in others), (open(PATH, encoding="utf-8").read(), True)]:
         own, plain = Encoder(spec), Tokenizer.from_str(spec)
         assert own.by_words is by_words
-        for text in texts:
-            assert np.frombuffer(own.encode(text), np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids

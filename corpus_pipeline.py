@@ -2,6 +2,15 @@
 
 Every stage works on all that the one before it kept. Its result is written as
 Parquet and read again, so lost executors repeat at most one stage.
+
+Nulls and edges, by stage: a null, empty or wordless text fails the base rules
+and goes at once; a null language or source is a group of its own; very long
+texts are measured, split, compared and encoded whole. A row with a null doc_id
+is no copy of another and stays until encoding. Of rows that repeat a doc_id
+all stay or go together; of equal texts that with the smallest doc_id stays. A
+document whose every line is boilerplate stays with an empty text. Columns that
+documents have besides their own stay, whatever their names, up to encoding.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,13 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that over a tenth of their source's documents hold; n_chars follows."""
+    """Documents without the lines that over a tenth of their source's documents, and two of them, hold; n_chars follows."""
     found = lines.drop_boilerplate(docs, F.col("source"))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each class of shingle similarity 0.8 (five words)."""
+    """One document, that with the smallest doc_id, of each class of shingle similarity 0.8 (five words); candidates by bit-sliced SimHash."""
     return neardup.keep_one(docs, shingle=5, similarity=0.8).select(*docs.columns)
 
 
@@ -50,7 +59,7 @@ STAGES = [
     ("piece_encoding", piece_encoding),
 ]
 
-#: SQL can't express near-duplicate classes or piece encoding; the stages are tested against brute force.
+#: SQL can't express near-duplicate classes or piece encoding; tests/llm/test_pipeline.py holds every stage against plain Python or SQL.
 ORACLE_SQL = None
 
 

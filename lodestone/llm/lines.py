@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import materialize
 
-BLANK = r"^[\x20\x09-\x0D]*|[\x20\x09-\x0D]*$"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def bare(line: Column) -> Column:
     """The line without ASCII white space around it."""
-    return F.regexp_replace(line, BLANK, "")
+    return F.trim(line, F.lit(WHITE))
 
 
 def hashes(line: Column) -> list[Column]:
@@ -43,7 +43,7 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float, min_
     """``site`` and ``gone``, the pairs of hashes of its boilerplate lines; only sites that have some."""
     rows = pages.select(site.alias("site"), text.alias("text"))
     totals = rows.groupBy("site").agg(F.count("*").alias("pages"))
-    held = F.array_distinct(F.transform(F.split("text", "\n"), bare))
+    held = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: bare(x)))
     lines = rows.select("site", F.explode(held).alias("line")).where("line <> ''")
     counts = lines.groupBy("site", *hashes(F.col("line"))).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = counts.alias("c").join(totals.alias("t"), F.expr("c.site <=> t.site")).where(F.col("n") > ratio * F.col("pages"))
@@ -53,11 +53,13 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float, min_
 def drop_boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """``pages`` with ``text`` rid of boilerplate lines, and the columns ``n_lines`` and ``n_dropped``."""
     gone = materialize(boilerplate(pages, site, F.col(text), ratio, min_pages), "boilerplate")  # its size is then known to the planner
-    names = {k: f"_line_{k}" for k in ("site", "at", "gone", "lines", "left")}
-    site_, at, gone_, lines_, left_ = names.values()
+    names = {k: f"_line_{k}" for k in ("site", "at", "gone", "lines", "bare", "left")}
+    site_, at, gone_, lines_, bare_, left_ = names.values()
     gone = gone.withColumnsRenamed({"site": at, "gone": gone_})
     marked = pages.withColumn(site_, site).join(gone, F.col(site_).eqNullSafe(F.col(at)), "left").withColumn(lines_, F.split(text, "\n"))
-    left = F.filter(lines_, lambda x: ~F.array_contains(F.col(gone_), F.struct(*hashes(bare(x)))) | (bare(x) == ""))
+    bares = F.transform(lines_, lambda x: bare(x))
+    marked = marked.withColumn(bare_, F.when(F.col(gone_).isNotNull(), bares))
+    left = F.filter(lines_, lambda x, i: (F.get(F.col(bare_), i) == "") | ~F.array_contains(F.col(gone_), F.struct(*hashes(F.get(F.col(bare_), i)))))
     marked = marked.withColumn(left_, F.when(F.col(gone_).isNull(), F.col(lines_)).otherwise(left))
     return marked.withColumns(
         {

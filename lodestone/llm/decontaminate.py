@@ -3,205 +3,199 @@
 Items are cut into windows of ``window`` words. The elements of a window are its
 ``shingle``-word shingles, ordered by rarity over all documents; as a window is
 contained only where all its shingles are, its rarest one is a sufficient
-prefix. Documents are probed by those prefix shingles alone. A probe fixes
-where the window would have to start (positional bound) and end (length
-bound), and the window's words are then compared one by one.
+prefix. Documents are joined with windows on prefix shingles alone. A match
+fixes where the window would have to start (positional bound) and end (length
+bound), and its words are then compared with the document's, one by one.
 
-The benchmark is taken in blocks of at most ``block_windows`` windows, counted
-first, so what a task holds of it is bounded; each block reads the documents
-once for the counts and once for the join. Hits of several blocks are merged
-per document.
+All of it is Spark joins over working tables: windows, shingles and matches are
+never on the driver, and a side is broadcast only if its size is below the
+planner's threshold. Two scans of the documents, whatever the benchmark's size:
+one for the counts and one for the matches. A scan gives only the places whose
+shingle may be one sought, by a bitmap of at most ``BITMAP`` bits; the joins
+that follow are exact.
 
 Nulls and edges: a null text has no words; a null or wordless item has no
 window; an item shorter than a window is one window; rows that repeat an
 item_id count as one item; items with a null item_id mark words but are not
-listed; an empty benchmark marks nothing.
+listed; an empty benchmark marks nothing; repeated rows of documents are rows
+each; a very long text gives its places only; columns of ``docs`` may have any
+names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.simhash import shingle_hashes
 from lodestone.session import map_arrow
 from lodestone.sources.scratch import materialize
 
 #: Word bytes stay (A-Z lower-cased), all other ASCII parts words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-SCHEMA = "doc_id long, row_key long, n_words long, hits array<int>, items array<string>"
+BITMAP = 1 << 29
+SLICE = 1 << 12  # bits of the bitmap that one row holds
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def _windows(items: list[tuple], size: int) -> dict[tuple, set]:
-    """Window words to the ids of the items that have the window."""
-    found: dict[tuple, set] = defaultdict(set)
-    for item, text in items:
-        w = words_of(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            found[tuple(w[i : i + size])].add(item)
-    return found
-
+def _grams(words: list[bytes], k: int) -> np.ndarray:
+    """A hash of every k consecutive words; none if there are fewer."""
+    return shingle_hashes(words, b" ".join(words), k) if len(words) >= k else np.zeros(0, np.uint64)
 
-def _grams(words, k: int):
-    return zip(*(words[i:] for i in range(k)), strict=False)
 
-
-def _rarity(docs: DataFrame, shingles: dict[int, set]) -> dict[tuple, int]:
-    """Number of documents with each of the shingles, over all documents."""
+def _windows(benchmark: DataFrame, size: int, shingle: int) -> DataFrame:
+    """``item, window`` (its words, space-joined)``, n, k, grams``: a row for every window of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[tuple, int] = defaultdict(int)
         for b in batches:
-            for text in b.column(0):
-                w = words_of(text.as_py())
-                for k, sought in shingles.items():
-                    for gram in sought.intersection(_grams(w, k)):
-                        count[gram] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([b" ".join(g) for g in count], pa.binary()), pa.array(list(count.values()), pa.int64())], ["gram", "n"])
-
-    counted = map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "gram binary, n long")
-    rows = counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()  # as many as the block has shingles
-    return {tuple(bytes(r["gram"]).split()): r["n"] for r in rows}
-
-
-def _prefixes(windows: dict[tuple, set], rarity: dict[tuple, int], shingle: int) -> dict[int, dict[tuple, list]]:
-    """By length: the rarest shingle of each window, with the windows it stands for and its offset in them."""
-    index: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-    for words in windows:
-        k = min(shingle, len(words))
-        order = [(rarity.get(g, 0), i, g) for i, g in enumerate(_grams(words, k))]
-        least, at, gram = min(order)
-        if least:  # a shingle that no document has rules the window out
-            index[k][gram].append((at, words))
-    return {k: dict(v) for k, v in index.items()}
-
-
-def match(words: list[bytes], windows: dict[tuple, set], index: dict[int, dict[tuple, list]]) -> tuple[np.ndarray, set]:
-    """The words hit and the items whose windows occur."""
-    hit, items = np.zeros(len(words), bool), set()
-    for k, prefixes in index.items():
-        if prefixes.keys().isdisjoint(_grams(words, k)):
-            continue
-        for at, gram in enumerate(_grams(words, k)):
-            for offset, window in prefixes.get(gram, ()):
-                start, stop = at - offset, at - offset + len(window)
-                if start >= 0 and stop <= len(words) and tuple(words[start:stop]) == window:
-                    hit[start:stop] = True
-                    items |= windows[window]
-    return hit, items
-
-
-def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[list[tuple]]:
-    """The items in blocks of at most ``limit`` windows (one item may be more)."""
+            for item, text in zip(b.column(0), b.column(1), strict=True):
+                words = words_of(text.as_py())
+                n, k = min(size, len(words)), min(shingle, len(words))
+                grams = _grams(words, k) if words else []
+                starts = range(len(words) - n + 1) if words else ()
+                made = [(item.as_py(), b" ".join(words[i : i + n]).decode(), n, k, grams[i : i + n - k + 1].view(np.int64)) for i in starts]
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                for at in range(0, len(made), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[at : at + 4096], strict=True), kinds, strict=True)], ["item", "window", "n", "k", "grams"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
-    block, total = [], 0
-    for row in items.toLocalIterator():  # one block at a time
-        item = (row["item_id"], bytes(row["text"] or b""))
-        n = max(1, len(words_of(item[1])) - window + 1)
-        if block and total + n > limit:
-            yield block
-            block, total = [], 0
-        block.append(item)
-        total += n
-    yield block
-
-
-def _runs(hit: np.ndarray) -> list[int]:
-    edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-    return edge.tolist()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_windows: int = 200_000) -> DataFrame:
-    """``doc_id``, ``row_key``, ``n_words``, ``hits`` (start and stop of each run of hit words) and ``items`` (sorted ids)."""
-    texts = docs.select(F.col("doc_id"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("text"))
-    parts = []
-    for block in _blocks(benchmark, window, block_windows):
-        windows = _windows(block, window)
-        shingles: dict[int, set] = defaultdict(set)
-        for words in windows:
-            k = min(shingle, len(words))
-            shingles[k] |= set(_grams(words, k))
-        index = _prefixes(windows, _rarity(docs, dict(shingles)) if shingles else {}, shingle)
-        parts.append(map_arrow(texts, _joined(dict(windows), index), SCHEMA))
-        if len(parts) > 1:
-            parts[-1] = materialize(parts[-1], "contamination")
-    if len(parts) == 1:
-        return parts[0]
-    found = parts[0].withColumn("one", F.lit(1))
-    for part in parts[1:]:
-        found = found.unionByName(part.withColumn("one", F.lit(0)))
-    base = found.groupBy("doc_id", "row_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_set("hits")).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.sum("one").alias("rows"),
-    )
-    each = base.select("doc_id", "row_key", "n_words", "hits", "items", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("one"))
-    return map_arrow(each.drop("one"), _merged, SCHEMA)
+    return map_arrow(items, run, "item string, window string, n int, k int, grams array<long>")
+
 
+class _Sieve:
+    """Which of many hashes may be among the sought ones, by a bitmap over their first bits."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        n = hashes.count()
+        self.bits = min(max(16, (16 * max(n, 1)).bit_length()), BITMAP.bit_length() - 1)
+        slot = F.shiftrightunsigned(F.col(column), 64 - self.bits)
+        sliced = hashes.select(slot.alias("slot")).distinct().groupBy(F.shiftright("slot", 12).alias("slice")).agg(F.collect_list(F.col("slot").bitwiseAND(F.lit(SLICE - 1))).alias("on"))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for on in b.column(1):
+                    row = np.zeros(SLICE, bool)
+                    row[np.asarray(on.values)] = True
+                    out.append(np.packbits(row, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["slice", "bits"])
+
+        self.map = np.zeros((1 << self.bits) // 8, np.uint8)
+        width = SLICE // 8
+        for row in map_arrow(sliced, pack, "slice long, bits binary").toLocalIterator():  # the bitmap's own size in all
+            self.map[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be sought."""
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return np.flatnonzero((self.map[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+
+
+def _seen(docs: DataFrame, sieve: _Sieve, lengths: list[int]) -> DataFrame:
+    """``gram``: the distinct shingles of each document that may be sought."""
 
-def _joined(windows: dict, index: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, hits, items = [], [], []
-            for text in b.column(2):
+            found = [np.zeros(0, np.uint64)]
+            for text in b.column(0):
                 words = words_of(text.as_py())
-                hit, found = match(words, windows, index)
-                n.append(len(words))
-                hits.append(_runs(hit) if found else [])
-                items.append(sorted(i for i in found if i is not None))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row_key", "n_words", "hits", "items"])
+                for k in lengths:
+                    grams = _grams(words, k)
+                    found.append(np.unique(grams[sieve(grams)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
 
-    return run
+    return map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "gram long")
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlapping runs of hit words as one."""
-    for b in batches:
-        hits = []
-        for n, runs in zip(b.column("n_words"), b.column("hits"), strict=True):
-            hit = np.zeros(n.as_py(), bool)
-            edges = runs.as_py()
-            for a, z in zip(edges[::2], edges[1::2], strict=True):
-                hit[a:z] = True
-            hits.append(_runs(hit))
-        yield b.set_column(b.schema.get_field_index("hits"), "hits", pa.array(hits, pa.list_(pa.int32())))
+def _places(docs: DataFrame, sieve: _Sieve, lengths: list[int], window: int) -> DataFrame:
+    """``doc_id, row_key, n_words`` of every row, and ``places``: where a prefix may stand, with the words around it."""
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("around", pa.string())]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, rows = [], []
+            for text in b.column(2):
+                words = words_of(text.as_py())
+                here = []
+                for k in lengths:
+                    grams = _grams(words, k)
+                    for p in sieve(grams).tolist():
+                        low = max(0, p - window)
+                        here.append({"gram": int(grams[p : p + 1].view(np.int64)[0]), "pos": p, "before": p - low, "around": b" ".join(words[low : p + window]).decode()})
+                counts.append(len(words))
+                rows.append(here)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(rows, kind)], ["doc_id", "row_key", "n_words", "places"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+    return map_arrow(texts, run, "doc_id long, row_key long, n_words long, places array<struct<gram:bigint,pos:int,before:int,around:string>>")
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row_key") == F.col(f"{b}.row_key"))
+
+
+def _union(starts: Column) -> Column:
+    """Words covered by spans (start, n) in order of start."""
+    zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end"))
+    step = lambda s, x: F.struct((s["covered"] + F.greatest(F.lit(0), x["start"] + x["n"] - F.greatest(s["end"], x["start"]))).alias("covered"), F.greatest(s["end"], x["start"] + x["n"]).alias("end"))
+    return F.aggregate(F.array_sort(starts), zero, step, lambda s: s["covered"].cast("long"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row_key, n_words`` of every row, and ``doc_id, row_key, n_hit, items`` (sorted ids) of those that hold a window."""
+    owned = materialize(_windows(benchmark, window, shingle), "windows")
+    windows = materialize(owned.groupBy("window").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("grams").alias("grams")), "distinct")
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # no more than a shingle has words
+    grams = materialize(windows.select("window", "n", F.posexplode("grams").alias("offset", "gram")), "grams")
+    sought = grams.select("gram").distinct()
+    counts = _seen(docs, _Sieve(sought, "gram"), lengths).groupBy("gram").agg(F.count("*").alias("docs"))
+    counted = grams.join(materialize(counts, "rarity"), "gram", "left")
+    least = F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "offset", "gram", "n"))
+    prefixes = counted.groupBy("window").agg(least.alias("p")).where("p.docs > 0").select("window", "p.offset", "p.gram", "p.n")  # a shingle that no document has rules a window out
+    prefixes = materialize(prefixes, "prefixes")
+    places = materialize(_places(docs, _Sieve(prefixes.select("gram"), "gram"), lengths, window), "places")
+    rows = places.select("doc_id", "row_key", "n_words", F.explode("places").alias("p")).select("doc_id", "row_key", "n_words", "p.*").distinct()
+    start = F.col("pos") - F.col("offset")
+    met = rows.join(prefixes, "gram").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    there = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("offset") + 1, F.col("n")), " ")
+    hits = materialize(met.where((F.col("before") >= F.col("offset")) & (there == F.col("window"))).select("doc_id", "row_key", "window", start.alias("start"), "n"), "hits")
+    spans = hits.groupBy("doc_id", "row_key").agg(_union(F.collect_set(F.struct("start", "n"))).alias("n_hit"))
+    items = hits.select("doc_id", "row_key", "window").distinct().join(owned.select("window", "item").distinct(), "window").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = spans.alias("s").join(items.alias("i"), _same("s", "i"), "left").select("s.*", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return places.select("doc_id", "row_key", "n_words"), materialize(found, "found")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     """Per document: words, words hit, items found, and whether it is contaminated."""
-    found = contamination(docs, benchmark, **kwargs)
-    steps = F.expr("aggregate(hits, 0L, (a, x) -> x - a)")  # alternating sum: the last edge of each run less the first
-    return found.select(
-        "doc_id",
+    rows, found = contamination(docs, benchmark, **kwargs)
+    joined = rows.alias("r").join(found.alias("f"), _same("r", "f"), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select(
+        "r.doc_id",
         "n_words",
-        steps.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs."""
-    doc, key = (_free(f"_{name}", docs) for name in ("doc", "key"))
-    hit = contamination(docs, benchmark, **kwargs).where(F.size("hits") > 0)
-    hit = materialize(hit.select(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).distinct(), "hit")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[doc]) & (F.xxhash64(docs["text"]) == hit[key]), "left_anti")
-
-
 def _free(name: str, df: DataFrame) -> str:
     """The name, with underscores before it until no column has it."""
     while name.lower() in {c.lower() for c in df.columns}:
         name = f"_{name}"
     return name
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs."""
+    doc, key = (_free(f"_{name}", docs) for name in ("doc", "key"))
+    hit = contamination(docs, benchmark, **kwargs)[1].select(F.col("doc_id").alias(doc), F.col("row_key").alias(key)).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[doc]) & (F.xxhash64(docs["text"]) == hit[key]), "left_anti")

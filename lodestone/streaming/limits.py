@@ -47,29 +47,33 @@ def decide(events: DataFrame, seconds: int, limit: int, count_denied: bool = Tru
     return ordered.mapInPandas(run, DECISION)
 
 
-def decide_stream(events: DataFrame, seconds: int, limit: int, count_denied: bool = True) -> DataFrame:
-    """The same verdicts over a stream: state is one window a user, dropped when it has been idle for two windows."""
+def decide_stream(events: DataFrame, seconds: int, limit: int, count_denied: bool = True, late: str = "1 hour") -> DataFrame:
+    """The same verdicts over a stream. State is one window a user, dropped once the watermark has passed its end.
+
+    Hits of one trigger are put in order of time; a hit older than those decided
+    before counts in the window that is open. Of a user's hits only id and time
+    of one trigger are held.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         start, count = state.get if state.exists else (None, 0)
-        hits = pd.concat(batches).sort_values(["ts", "event_id"])
-        counts, verdicts = [], []
-        for now in hits["ts"].map(pd.Timestamp.timestamp):
+        hits = sorted((ts.timestamp(), event, ts) for b in batches for ts, event in zip(b["ts"], b["event_id"], strict=True))
+        rows = []
+        for now, event, ts in hits:
             start, count, ok = step(start, count, now, seconds, limit, count_denied)
-            counts.append(count)
-            verdicts.append(ok)
+            rows.append((key[0], event, ts, count, ok))
         state.update((start, count))
-        state.setTimeoutDuration(2 * seconds * 1000)
-        yield pd.DataFrame({"user_id": key[0], "event_id": hits["event_id"], "ts": hits["ts"], "count": counts, "allowed": verdicts})
+        state.setTimeoutTimestamp(max(int((start + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["user_id", "event_id", "ts", "count", "allowed"])
 
     from lodestone.session import ship
 
     ship(events.sparkSession)
-    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, DECISION, "start double, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(run, DECISION, "start double, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -75,12 +75,16 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns of ``format_pairs`` from conversations 2k (chosen) and 2k + 1 (rejected)."""
-    return conversations.select(
-        F.expr("conv_id div 2").alias("pair_id"),
-        F.when(F.expr("pmod(conv_id, 2) = 0"), "chosen").otherwise("rejected").alias("side"),
-        "turn",
-        "role",
-        "text",
-    )
+def alternatives(conversations: DataFrame) -> DataFrame:
+    """Turns of ``format_pairs``: every conversation is chosen as it stands, and rejected with its last answer replaced by that of the conversation with the next id.
+
+    A conversation without an answer, or without a next one that has any, is its
+    own alternative. Last answers are one row a conversation, met by an equi-join.
+    """
+    last = conversations.where("role = 'assistant' and conv_id is not null").groupBy("conv_id").agg(F.max("turn").alias("_turn"), F.max_by("text", F.struct("turn", "text")).alias("_text"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("_text").alias("_other"))
+    swaps = last.join(other, "conv_id").select("conv_id", "_turn", "_other")
+    turns = conversations.select("conv_id", "turn", "role", "text").join(swaps, "conv_id", "left")
+    swapped = F.coalesce((F.col("role") == "assistant") & (F.col("turn") == F.col("_turn")), F.lit(False)) & F.col("_other").isNotNull()
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.when(swapped, F.col("_other")).otherwise(F.col("text")).alias("text")))
+    return turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")

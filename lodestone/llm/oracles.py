@@ -6,8 +6,13 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 PREFERENCES = """
-with t as (
-  select conv_id // 2 as pair_id, conv_id % 2 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+with last as (
+  select conv_id, max(turn) as turn, arg_max(text, (turn, coalesce(text, ''))) as text from conversations where role = 'assistant' group by conv_id
+), t as (
+  select conv_id as pair_id, 0 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select c.conv_id, 1, c.turn, coalesce(c.role, ''), coalesce(case when c.role = 'assistant' and c.turn = l.turn then coalesce(n.text, c.text) else c.text end, '')
+  from conversations c left join last l on l.conv_id = c.conv_id left join last n on n.conv_id = c.conv_id + 1
 ), o as (
   select *, row_number() over (partition by pair_id, side order by turn nulls first, role, text) as i from t
 ), p as (

@@ -17,8 +17,8 @@ from lodestone.sources.tables import table
 
 
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and masked completions of each pair of neighbouring conversations."""
-    found = chat.format_pairs(chat.neighbours(table(spark, sf_dir, "conversations")))
+    """Prompt and masked completions of every conversation and its alternative with another last answer."""
+    found = chat.format_pairs(chat.alternatives(table(spark, sf_dir, "conversations")))
 
     def trained(side: str) -> Column:
         parts = F.filter(f"{side}_segments", lambda s: s["train"])

@@ -65,3 +65,17 @@ def test_other_set_ups_are_encoded_whole(spark, sf):
         assert own.by_words is by_words
         for text, ids in zip(texts, own.encode(texts), strict=True):
             assert np.frombuffer(ids, np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_a_full_table_of_words_is_begun_anew(spark, sf, monkeypatch):
+    from lodestone.llm import pieces, tokenfiles
+
+    monkeypatch.setattr(tokenfiles, "CACHE", 60)
+    monkeypatch.setattr(pieces, "CACHE", 60)
+    texts = [r.text or "" for r in table(spark, sf, "documents").select("text").collect()][:40]
+    own, plain = Encoder(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    codec = pieces.Codec(pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model")))
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text).tolist() == codec.model.encode(text)
+    assert len(own.words) < 3000 and len(codec.parts) < 3000

@@ -61,7 +61,7 @@ def ledger(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         id_column,
         is_heading(line).alias("h"),
         line.contains(" | ").alias("t"),
-        whole_word(line, EVIDENCE[-1][1]).alias("r"),
+        listed(line, EVIDENCE[-1][1]).alias("r"),
         line.rlike(r"\.{4,}\s*[0-9]{1,4}\s*$").alias("c"),
     )
     counts = marks.groupBy(id_column).agg(F.count("*").alias("n_lines"), *[F.count(F.when(F.col(k), 1)).alias(n) for k, n in (("h", "headings"), ("t", "table_lines"), ("r", "requirements"), ("c", "contents"))])
@@ -126,18 +126,43 @@ def chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text", longe
     return cut.select(F.col("id").alias(id_column), "chunk_index", "offset", "chunk", chunk_kind(F.col("chunk")).alias("kind"), F.sha2("chunk", 256).alias("content_hash"))
 
 
-def chunk_kind(text: Column) -> Column:
-    """The kind of a chunk, the first rule that fits."""
+# Words that make a chunk of a kind, in order of precedence.
+KIND_WORDS = {
+    "evaluation_criteria": "evalueringskriter|award criteria|tildelingskriter|evaluation criteria",
+    "risk": "risiko|risk|sårbarhet|mitigering|avvik",
+    "commercial_term": "pris|kostnad|betaling|kontrakt|sanksjon|dagmulkt|commercial|pricing",
+    "architecture_signal": "arkitektur|architecture|integrasjon|api|plattform|sikkerhet|identity|monitorering|backup",
+    "requirement": "req|requirement|krav|kravtekst|shall|must|skal|må",
+    "table": "table|tabell|row|rad|kolonne|column",
+}
+REQUIREMENT_ID = r"(?<![A-Za-z0-9_])[A-Z]{1,8}-?\d{1,5}(?:\.\d+)*(?![A-Za-z0-9_])"
+
+
+def listed(text: Column, alternatives: str) -> Column:
+    """Whether a text has one of the words or phrases; words are compared as a set, only phrases need a pattern."""
+    low = F.lower(text)
+    single, phrases = [w for w in alternatives.split("|") if " " not in w], [w for w in alternatives.split("|") if " " in w]
+    test = F.arrays_overlap(F.split(low, r"[^\p{L}\p{N}_]+"), F.array(*map(F.lit, single)))
+    for p in phrases:
+        test = test | (low.contains(p) & whole_word(text, p))
+    return test
+
+
+def chunk_kind(text: Column, reference: Column | None = None, file_format: Column | None = None) -> Column:
+    """The kind of a chunk, the first rule that fits; the format of its file and the name of its place tell of rows, answers and pages."""
     head = F.element_at(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1)
-    rules = [
-        ("evaluation_criteria", whole_word(text, "evalueringskriter|award criteria|tildelingskriter|evaluation criteria")),
-        ("risk", whole_word(text, "risiko|risk|sårbarhet|mitigering|avvik")),
-        ("commercial_term", whole_word(text, "pris|kostnad|betaling|kontrakt|sanksjon|dagmulkt|commercial|pricing")),
-        ("architecture_signal", whole_word(text, "arkitektur|architecture|integrasjon|api|plattform|sikkerhet|identity|monitorering|backup")),
-        ("requirement", whole_word(text, "req|requirement|krav|kravtekst|shall|must|skal|må")),
-        ("table", text.contains(" | ") | whole_word(text, "table|tabell|row|rad|kolonne|column")),
-        ("section", is_heading(head)),
-    ]
+    place = F.lower(F.coalesce(reference, F.lit(""))) if reference is not None else F.lit("")
+    required = listed(text, KIND_WORDS["requirement"]) | text.rlike(REQUIREMENT_ID)
+    barred = text.contains(" | ")
+    rules = [(name, listed(text, KIND_WORDS[name])) for name in ("evaluation_criteria", "risk", "commercial_term", "architecture_signal")]
+    if reference is not None:
+        rules += [("answer_cell", required & listed(place, "svar|answer|besvarelse|response")), ("requirement_row", required & (listed(place, "tabell|table|rad|row") | barred))]
+    rules += [("requirement", required), ("table", barred | listed(text, KIND_WORDS["table"]))]
+    if reference is not None:
+        rules.append(("page", place.rlike(r"(^|[^a-z0-9_])side\s+\d+")))
+    rules.append(("section", is_heading(head)))
+    if file_format is not None:
+        rules.insert(0, ("spreadsheet_rows", file_format.isin("xlsx", "xls")))
     kind = F.when(rules[0][1], rules[0][0])
     for name, test in rules[1:]:
         kind = kind.when(test, name)

@@ -52,6 +52,32 @@ def chunk_documents(spark, d):
     return D.chunks(table(spark, d, "documents")).select("doc_id", "chunk_index", "offset", "kind", "content_hash", F.length("chunk").alias("chars"))
 
 
+_PLACE = "case doc_id % 5 when 0 then 'Bilag 2, tabell 3, rad 4' when 1 then 'Svar fra leverandør' when 2 then concat('Bilag side ', doc_id % 40) else 'Innledning' end"
+_KIND = "case " + " ".join(
+    f"when {t} then '{k}'"
+    for k, t in [
+        ("spreadsheet_rows", "doc_id % 17 = 0"),
+        *((k, _word("t", D.KIND_WORDS[k])) for k in ("evaluation_criteria", "risk", "commercial_term", "architecture_signal")),
+        ("answer_cell", "req and " + _word("p", "svar|answer|besvarelse|response")),
+        ("requirement_row", "req and (" + _word("p", "tabell|table|rad|row") + " or contains(t, ' | '))"),
+        ("requirement", "req"),
+        ("table", "contains(t, ' | ') or " + _word("t", D.KIND_WORDS["table"])),
+        ("page", r"regexp_matches(lower(p), '(^|[^a-z0-9_])side\s+\d+')"),
+        ("section", "head"),
+    ]
+) + " else 'paragraph' end"
+
+
+@query(
+    rf"""with t as (select doc_id, substr(text, 1, 300) as t, {_PLACE} as p from documents), l as (select *, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')[1] as line from t),
+    r as (select *, {_word("t", D.KIND_WORDS["requirement"])} or regexp_matches(t, '\b[A-Z]{{1,8}}-?\d{{1,5}}(?:\.\d+)*\b') as req, coalesce({HEADING}, false) as head from l) select doc_id, {_KIND} as kind from r"""
+)
+def chunk_kinds(spark, d):
+    """The kind of each document's beginning, as a chunk of a named place in a file of some format."""
+    kind = D.chunk_kind(F.col("t"), F.col("p"), F.expr("case when doc_id % 17 = 0 then 'xlsx' else 'pdf' end"))
+    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("t"), F.expr(_PLACE).alias("p")).select("doc_id", kind.alias("kind"))
+
+
 @query(EVIDENCE + " select doc_id, kind, line_no, evidence_id from e")
 def evidence_units(spark, d):
     return D.evidence(table(spark, d, "documents")).select("doc_id", "kind", "line_no", "evidence_id")

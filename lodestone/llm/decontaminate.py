@@ -161,11 +161,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     prefixes = counted.groupBy("window").agg(least.alias("p")).where("p.docs > 0").select("window", "p.offset", "p.gram", "p.n")  # a shingle that no document has rules a window out
     prefixes = materialize(prefixes, "prefixes")
     places = materialize(_places(docs, _Sieve(prefixes.select("gram"), "gram"), lengths, window), "places")
-    rows = places.select("doc_id", "row_key", "n_words", F.explode("places").alias("p")).select("doc_id", "row_key", "n_words", "p.*").distinct()
+    rows = places.select("doc_id", "row_key", "n_words", F.explode("places").alias("p")).select("doc_id", "row_key", "n_words", "p.*")
     start = F.col("pos") - F.col("offset")
     met = rows.join(prefixes, "gram").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
     there = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("offset") + 1, F.col("n")), " ")
     hits = materialize(met.where((F.col("before") >= F.col("offset")) & (there == F.col("window"))).select("doc_id", "row_key", "window", start.alias("start"), "n"), "hits")
+    # Rows that repeat give equal hits, which the sets below hold once.
     spans = hits.groupBy("doc_id", "row_key").agg(_union(F.collect_set(F.struct("start", "n"))).alias("n_hit"))
     items = hits.select("doc_id", "row_key", "window").distinct().join(owned.select("window", "item").distinct(), "window").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = spans.alias("s").join(items.alias("i"), _same("s", "i"), "left").select("s.*", F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 
 import public_tokenizers
-import sentencepiece
 
 from lodestone.llm.pieces import CharMap, Codec, _fields
 

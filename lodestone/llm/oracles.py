@@ -164,6 +164,92 @@ select page_id, p.host, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_drop
 from p left join kept using (page_id)
 """
 
+
+
+def vector_codes_sql(rounds: int = 6) -> str:
+    """Each round as two common table expressions; whole-number division is rounded down by taking the remainder off."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+  select p.id, p.part, arg_min(c.entry, (d, c.entry)) as entry, min(d) as d
+  from (select p.id, p.part, c.entry, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(p.v, c.v)])::bigint as d from parts p join b{r} c on p.part = c.part) c
+  join parts p on p.id = c.id and p.part = c.part group by p.id, p.part
+)""")
+        if r < rounds:
+            steps.append(f"""
+m{r + 1} as (
+  select part, entry, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) as x
+  from (select a.part, a.entry, p.v, unnest(range(1, len(p.v) + 1)) as i from a{r} a join parts p on a.id = p.id and a.part = p.part) group by part, entry, i
+), b{r + 1} as materialized (
+  select part, entry, coalesce(n.v, o.v) as v from b{r} o left join (select part, entry, list(x::bigint order by i) as v from m{r + 1} group by part, entry) n using (part, entry)
+)""")
+    return f"""
+with kept as (
+  select vec_id, label, [floor(4096 * x::double)::bigint for x in embedding] as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), numbered as (
+  select *, row_number() over (order by vec_id) as id from kept
+), parts as materialized (
+  select id, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] as v from numbered, range(8) t(part)
+), b0 as (
+  select part, id - 1 as entry, v from parts where id <= 16
+), {", ".join(x.strip() for x in steps)}, codes as (
+  select id, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by id
+), books as (
+  select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from b{rounds}
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from codes join numbered using (id), books
+"""
+
+
+def importance_sql() -> str:
+    """The CRC as a fold over the bytes of each feature, its table by eight shifts of each byte."""
+    steps = ", ".join(f"s{k + 1} as (select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from s{k})" for k in range(8))
+    return f"""
+with s0 as (select i, i as c from range(256) t(i)), {steps}, tab as (select list(c order by i) as t from s8
+), texts as (
+  select false as target, doc_id as id, {FOLDED} as w from documents union all select true, null, {FOLDED} from benchmark
+), runs as (
+  select target, id, array_to_string(w[i : i + n - 1], ' ') as f from (select target, id, w, n, unnest(range(1, len(w) - n + 2)) as i from texts, range(1, 4) t(n) where len(w) >= n)
+), counted as (
+  select target, id, f, count(*) as k from runs group by target, id, f
+), hashed as materialized (
+  select f, xor(list_reduce(list_prepend(4294967295::bigint, [('0x' || h[2 * j + 1 : 2 * j + 2])::bigint for j in range(len(h) // 2)]), lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) % 10000 as bucket
+  from (select distinct f, hex(encode(f)) as h from counted), tab
+), held as (
+  select target, id, bucket, sum(k)::bigint as k from counted join hashed using (f) group by target, id, bucket
+), totals as (
+  select bucket, coalesce(sum(k) filter (not target), 0)::double as s, coalesce(sum(k) filter (target), 0)::double as t from range(10000) b(bucket) left join held using (bucket) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln((t + 1) * ((select sum(s) from totals) + 10000) / ((s + 1) * ((select sum(t) from totals) + 10000))))::bigint as gain from totals
+), weighed as (
+  select id, sum(k)::bigint as n_features, sum(k * gain)::bigint as weight from held join gains using (bucket) where not target group by id
+), scored as (
+  select id as doc_id, len(w) >= 20 as fit, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from texts left join weighed using (id) where not target
+), placed as (
+  select *, row_number() over (partition by fit order by score desc, doc_id) as r, 5 * count(*) over (partition by fit) // 100 as top from scored
+)
+select doc_id, n_features, weight, score, case when fit and r <= top then r end as rank from placed
+"""
+
+
+URLS = """
+with u as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), p as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u
+), r as (
+  select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(h, b, verdict)
+), fit as (
+  select page_id, max_by(h || b, length(h || b)) as rule, max_by(verdict, length(h || b)) as verdict
+  from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, b) group by page_id
+)
+select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join fit using (page_id)
+"""
+
 ORACLES = {
     "op1_preferences": PREFERENCES,
     "op3_quality": QUALITY,
@@ -172,4 +258,7 @@ ORACLES = {
     "op8_compaction": COMPACTION,
     "op9_substrings": REPEATS,
     "op10_lines": LINES,
+    "op11_vector_codes": vector_codes_sql(),
+    "op12_importance": importance_sql(),
+    "op13_url_filter": URLS,
 }

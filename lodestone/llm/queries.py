@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, lines, pieces, tokenfiles, warc
+from lodestone.llm import chat, decontaminate, importance, lines, pieces, tokenfiles, urlfilter, vectorcodes, warc
 from lodestone.llm.compaction import Dataset
 from lodestone.llm.oracles import ORACLES
 from lodestone.llm.quality import MEASURES, quality
@@ -90,6 +90,28 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector, with its error, its label's and the codebooks' digest."""
+    found = vectorcodes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document against the benchmark, and the rank of the five percent drawn."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: Entries of the production filter: host, beginning of the path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deciding entry and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -103,4 +125,7 @@ QUERIES = {
     "op8_compaction": op8_compaction,
     "op9_substrings": op9_substrings,
     "op10_lines": op10_lines,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_importance": op12_importance,
+    "op13_url_filter": op13_url_filter,
 }

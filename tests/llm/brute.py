@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -145,3 +146,57 @@ def boilerplate(pages: list[tuple], ratio: float = 0.1, least: int = 2) -> dict:
         held.update({(site, line.strip(" \t\n\x0b\x0c\r")) for line in (text or "").split("\n") if line.strip(" \t\n\x0b\x0c\r")})
     gone = {x for x, n in held.items() if n >= least and n > ratio * total[x[0]]}
     return {key: None if text is None else "\n".join(x for x in text.split("\n") if (site, x.strip(" \t\n\x0b\x0c\r")) not in gone) for key, site, text in pages}
+
+
+def vector_codes(rows: list[tuple], parts: int = 8, entries: int = 16, rounds: int = 6) -> set[tuple]:
+    """rows: (vec_id, vector, label), with distinct ids."""
+    kept = sorted((i, [math.floor(4096 * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v))
+    if not kept:
+        return set()
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def nearest(p: int, x: list[int]) -> tuple[int, int]:
+        return min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            held = defaultdict(list)
+            for c in cut:
+                held[nearest(p, c[p])[1]].append(c[p])
+            for k, own in held.items():
+                books[p][k] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    digest = sha(",".join(str(x) for book in books for e in book for x in e))
+    found = [[nearest(p, c[p]) for p in range(parts)] for c in cut]
+    errors = [sum(d for d, _ in f) for f in found]
+    labels = Counter()
+    for (*_, label), e in zip(kept, errors, strict=True):
+        labels[label] += e
+    return {(i, "".join(f"{k:02x}" for _, k in f), e, labels[label], digest) for (i, _, label), f, e in zip(kept, found, errors, strict=True)}
+
+
+def importance(docs: list[tuple[int, str | None]], target: list[str | None]) -> set[tuple]:
+    def features(text: str | None) -> tuple[int, list[int]]:
+        words = FOLDED.findall(lower(text or ""))
+        return len(words), [zlib.crc32(" ".join(words[i : i + n]).encode()) % 10000 for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+
+    own = [(doc, *features(text)) for doc, text in docs]
+    s, t = Counter(b for *_, f in own for b in f), Counter(b for text in target for b in features(text)[1])
+    ratio = lambda b: (t[b] + 1) * (s.total() + 10000) / ((s[b] + 1) * (t.total() + 10000))
+    scored = []
+    for doc, n_words, f in own:
+        weight = sum(math.floor(1000 * math.log(ratio(b))) for b in f)
+        h = int(sha(f"42:{doc}")[:8], 16)
+        scored.append((doc, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n_words))
+    fit = sorted((-score, doc) for doc, _, _, score, n_words in scored if n_words >= 20)
+    rank = {doc: i + 1 for i, (_, doc) in enumerate(fit[: 5 * len(fit) // 100])}
+    return {(doc, n, weight, score, rank.get(doc)) for doc, n, weight, score, _ in scored}
+
+
+def url_verdict(url: str | None, rules: list[tuple[str, str, str]], default: str = "allow") -> tuple:
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    place = min([i for c in "/?#" if (i := rest.find(c)) >= 0], default=len(rest))
+    host, path = lower(rest[:place]), re.split("[?#]", rest[place:])[0]
+    fit = [(h.count("."), len(p), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, max(fit)[3], max(fit)[2]) if fit else (host, path, None, default)

@@ -41,13 +41,22 @@ def folder(spark, tmp_path_factory):
     texts = [r[1] for r in awkward()]
     items = [(1, None), (2, ""), (3, "quick"), (4, "the quick"), (5, texts[12]), (6, " ".join((texts[17] or "").split()[500:530])), (7, "one two three"), (8, "word " * 12)]
     spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, doc_id string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int, id string, code string, ints string, error string").repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
+def vectors() -> list[tuple]:
+    """Nulls, values that are not finite, ties, repeated and very large components."""
+    rng = random.Random(8)
+    grid = [[rng.choice((-0.5, 0.0, 0.25, 0.5)) for _ in range(16)] for _ in range(60)]
+    odd = [None, [], [None] * 16, [0.1] * 15 + [None], [float("nan")] * 16, [0.1] * 15 + [float("inf")], [0.0] * 16, [0.0] * 16, [1e4] * 16, [-3e5] + [0.0] * 15, [-1e-9] * 16]
+    return [(i, v, None if i % 7 == 0 else i % 3, "x", "y", "z", "w") for i, v in enumerate(odd + grid + grid[:20])]
+
+
 @pytest.fixture(scope="module")
 def empty(spark, sf, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "pages", "benchmark", "conversations"):
+    for name in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         table(spark, sf, name).limit(0).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -115,6 +124,21 @@ def test_compaction(spark, where):
     assert found == {(d, None if t is None else brute.sha(t)) for d, t in rows(spark, where)}
 
 
+def test_vector_codes(spark, where):
+    embeddings = [tuple(r) for r in table(spark, where, "embeddings").select("vec_id", "embedding", "label").collect()]
+    assert got(queries.op11_vector_codes(spark, where), "vec_id", "code", "error", "label_error", "codebooks_sha256") == brute.vector_codes(embeddings)
+
+
+def test_importance(spark, where):
+    found = got(queries.op12_importance(spark, where), "doc_id", "n_features", "weight", "score", "rank")
+    assert found == brute.importance(rows(spark, where), [t for _, t in rows(spark, where, "benchmark", "item_id")])
+
+
+def test_url_filter(spark, where):
+    found = got(queries.op13_url_filter(spark, where), "page_id", "host", "path", "rule", "verdict")
+    assert found == {(k, *brute.url_verdict(u, queries.URL_RULES)) for k, u in rows(spark, where, "pages", "page_id", "url")}
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).collect() == []

@@ -28,6 +28,16 @@ def markers(text: Column) -> Column:
     return F.filter(whole, lambda s: s["start"] > 0)
 
 
+def page_list(text: Column) -> Column:
+    """``page, text`` of every page of a marked text, in order; the whole text as page 1 if it has no marker."""
+
+    def cut(ms: Column) -> Column:
+        pages = F.transform(ms, lambda m, i: F.struct(m["start"].alias("page"), F.substring(text, m["after"] + 1, F.coalesce(F.get(ms, i + 1)["offset"], F.length(text)) - m["after"]).alias("text")))
+        return F.when(F.size(ms) > 0, pages).otherwise(F.array(F.struct(F.lit(1).alias("page"), text.alias("text"))))
+
+    return F.element_at(F.transform(F.array(markers(text)), cut), 1)
+
+
 def split_pages(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``id_column, page_no, page, page_end, text`` (raw) and ``body`` (on one line) of what lies between markers; empty pages are left out."""
     rows = docs.select(id_column, F.col(text).alias("_t"), markers(F.col(text)).alias("_m")).select(id_column, "_t", "_m", F.posexplode("_m").alias("page_no", "m"))

@@ -56,6 +56,30 @@ FIXTURES = {
                case when o_orderkey % 4 = 0 then cast(o_orderkey % 9 + 1 as bigint) end as number,
                case when o_orderkey % 3 = 0 then cast(row_number() over (partition by o_custkey order by o_orderkey) + case when o_orderkey % 6 = 0 then 1 else 0 end as bigint) end as place
         from {orders}""",
+    "table_texts": """
+        select doc_id, concat('Innledning', chr(10), '[[SIDE:1]]', chr(10), '6. Kravtabell', chr(10), 'Konfidensiell', chr(10), 'FUN-A01 | A | Saksflyt', chr(10), chr(10), 'Leverandøren skal levere ', bit, '.', chr(10), 'Svarinstruks: Bekreft oppfyllelse.', chr(10),
+               'Side 1 av 2', chr(10), '[[SIDE:2]]', chr(10), 'FUN - B02BInnbyggerdialog', case when doc_id % 4 = 0 then ' Beskriv flaten' else '' end, chr(10), case when doc_id % 3 = 0 then '[K-12] ' else '' end, 'Løsningen må støtte ', bit, chr(10), 'Beskriv brukerreisen.', chr(10),
+               case doc_id % 8 when 0 then 'FUN-A01 | A | Ny' when 1 then 'IAM-A03 | B | Roller' when 2 then concat('IAM-C03C', chr(10), 'Identitet og roller') when 3 then concat('IAM-C03C', chr(10), 'Dette er ikke en kategori.') else 'IAM-C03 | C | Roller' end, chr(10),
+               case when doc_id % 7 = 0 then 'Kort tekst' else concat('Ansatte skal autentiseres', chr(10), 'med ', bit, ' Leverandørens besvarelse følger') end, chr(10), 'Oppgi nivå', chr(10), 'TEK-X9 | A | Drift', chr(10), 'Det skal finnes rapporter', chr(10), '7. Bakgrunn', chr(10), text) as raw
+        from (select doc_id, text, trim(replace(substr(text, 1, 60), chr(10), ' ')) as bit from {documents})""",
+    "glyph_rows": """
+        select o_orderkey as doc_id, page, line, item, cast(x as double) as x, text from (
+          select o_orderkey, 1 as page, 1 as line, 1 as item, 57 as x, '6. Kravtabell' as text from {orders} where o_orderkey % 5 < 4
+          union all select o_orderkey, k, 2, 1, 60 + o_orderkey % 7, 'Krav-ID' from {orders} cross join (select 1 as k union all select 2) where o_orderkey % 11 < 9 or k = 1
+          union all select o_orderkey, k, 2, 2, 120, 'Pri.' from {orders} cross join (select 1 as k union all select 2) where o_orderkey % 11 < 9 or k = 1
+          union all select o_orderkey, k, 2, 3, 160 + o_orderkey % 9, 'Tema' from {orders} cross join (select 1 as k union all select 2) where o_orderkey % 3 > 0 and (o_orderkey % 11 < 9 or k = 1)
+          union all select o_orderkey, k, 2, 4, 260, 'Kravtekst' from {orders} cross join (select 1 as k union all select 2) where o_orderkey % 11 < 9 or k = 1
+          union all select o_orderkey, k, 2, 5, 420, case when o_orderkey % 2 = 0 then 'Svarinstruks' else 'Leverandørens svar' end from {orders} cross join (select 1 as k union all select 2) where o_orderkey % 4 > 0 and (o_orderkey % 11 < 9 or k = 1)
+          union all select l_orderkey, pg, ln, 1, 62, concat('FUN-', case when l_linenumber % 2 = 0 then 'A' else 'K' end, lpad(cast(l_partkey % 90 + l_linenumber as varchar(9)), 2, '0')) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem}))
+          union all select l_orderkey, pg, ln, 2, 121, case when l_suppkey % 29 = 0 then 'B' else 'A' end from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem}))
+          union all select l_orderkey, pg, ln, 3, 160 + l_orderkey % 9 - 3, concat('Tema ', l_status) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_orderkey % 3 > 0
+          union all select l_orderkey, pg, ln, 4, 262, concat('Løsningen skal levere del ', l_partkey) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem}))
+          union all select l_orderkey, pg, ln, 5, 415, concat('Bekreft ', l_suppkey) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_orderkey % 4 > 0
+          union all select l_orderkey, pg, ln + 1, 1, 170, 'fortsettelse' from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 3 = 0
+          union all select l_orderkey, pg, ln + 1, 2, 258, concat('og vise status for ', l_suppkey) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 4 > 0
+          union all select l_orderkey, pg, ln + 1, 3, 430, 'Side 3' from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 5 = 0
+          union all select l_orderkey, pg, ln + 2, 1, 57, '7. Gjennomføring' from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 23 = 0
+          union all select l_orderkey, pg, ln + 3, 1, 300, concat('notat ', l_linenumber) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 6 = 0)""",
     "coverage_items": """
         select l_orderkey as eval_id, l_linenumber - 1 as idx,
                case when l_suppkey % 17 = 0 then l_linenumber when l_suppkey % 19 <> 0 then l_linenumber - 1 end as order_index,
@@ -122,6 +146,8 @@ READS = {
     "jobs": ["orders"],
     "candidates": ["documents"],
     "coverage_items": ["lineitem"],
+    "table_texts": ["documents"],
+    "glyph_rows": ["orders", "lineitem"],
     "coverage_heads": ["lineitem"],
     "paged": ["documents"],
     "scanned": ["documents"],

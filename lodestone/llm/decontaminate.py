@@ -31,41 +31,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.simhash import shingle_hashes
+from lodestone.llm.bytewords import FULL, Words, bytes_of, pieces_of
 from lodestone.session import map_arrow
 from lodestone.sources.scratch import materialize
 
-#: Word bytes stay (A-Z lower-cased), all other ASCII parts words.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BITMAP = 1 << 29
 SLICE = 1 << 12  # bits of the bitmap that one row holds
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(FOLD).split()
+class Texts:
+    """The words of some texts with the hashes of their runs. Words are hashed once, for all texts together."""
 
+    def __init__(self, words: Words):
+        self.words = words
+        self.hashes = (words.advance(np.full(len(words.starts), FULL)) ^ FULL).astype(np.uint64)
+        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(words.counts)])  # each text's first word
 
-def _grams(words: list[bytes], k: int) -> np.ndarray:
-    """A hash of every k consecutive words; none if there are fewer."""
-    return shingle_hashes(words, b" ".join(words), k) if len(words) >= k else np.zeros(0, np.uint64)
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of every k consecutive words of one text."""
+        n = max(0, len(self.hashes) - k + 1)
+        whole = np.flatnonzero(self.words.text[:n] == self.words.text[k - 1 : k - 1 + n])
+        h = np.zeros(len(whole), np.uint64)
+        for i in range(k):
+            h = (h ^ self.hashes[whole + i]) * np.uint64(ODD[0])
+            h ^= h >> np.uint64(29)
+        return whole, h * np.uint64(ODD[1])
+
+    def said(self, low: int, high: int) -> bytes:
+        """The words from ``low`` up to ``high``, space-joined."""
+        ends = self.words.starts[high - 1] + self.words.lengths[high - 1]
+        return b" ".join(self.words.bytes[self.words.starts[low] : ends].tobytes().replace(b"\0", b" ").split())
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, Texts]]:
+    for at, words in pieces_of(column):
+        yield at, Texts(words)
 
 
 def _windows(benchmark: DataFrame, size: int, shingle: int) -> DataFrame:
     """``item, window`` (its words, space-joined)``, n, k, grams``: a row for every window of every item."""
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for item, text in zip(b.column(0), b.column(1), strict=True):
-                words = words_of(text.as_py())
-                n, k = min(size, len(words)), min(shingle, len(words))
-                grams = _grams(words, k) if words else []
-                starts = range(len(words) - n + 1) if words else ()
-                made = [(item.as_py(), b" ".join(words[i : i + n]).decode(), n, k, grams[i : i + n - k + 1].view(np.int64)) for i in starts]
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-                for at in range(0, len(made), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[at : at + 4096], strict=True), kinds, strict=True)], ["item", "window", "n", "k", "grams"])
-
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
+            for at, texts in _texts(b.column(1)):
+                made = []
+                for i, count in enumerate(texts.words.counts.tolist()):
+                    n, k, first = min(size, count), min(shingle, count), int(texts.first[i])
+                    if not count:
+                        continue
+                    places, hashes = texts.runs(k)
+                    grams = hashes[np.searchsorted(places, first) :].view(np.int64)  # the text's own runs come first
+                    item = b.column(0)[at + i].as_py()
+                    made += [(item, texts.said(first + j, first + j + n).decode(), n, k, grams[j : j + n - k + 1]) for j in range(count - n + 1)]
+                for low in range(0, len(made), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[low : low + 4096], strict=True), kinds, strict=True)], ["item", "window", "n", "k", "grams"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), bytes_of().alias("text")).distinct()
     return map_arrow(items, run, "item string, window string, n int, k int, grams array<long>")
 
 
@@ -103,15 +126,18 @@ def _seen(docs: DataFrame, sieve: _Sieve, lengths: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.zeros(0, np.uint64)]
-            for text in b.column(0):
-                words = words_of(text.as_py())
+            for _, texts in _texts(b.column(0)):
                 for k in lengths:
-                    grams = _grams(words, k)
-                    found.append(np.unique(grams[sieve(grams)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
+                    places, hashes = texts.runs(k)
+                    at = sieve(hashes)
+                    own, grams = texts.words.text[places[at]], hashes[at]
+                    order = np.lexsort((grams, own))
+                    own, grams = own[order], grams[order]
+                    new = np.ones(len(own), bool)
+                    new[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[new].view(np.int64))], ["gram"])
 
-    return map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "gram long")
+    return map_arrow(docs.select(bytes_of().alias("text")), run, "gram long")
 
 
 def _places(docs: DataFrame, sieve: _Sieve, lengths: list[int], window: int) -> DataFrame:
@@ -120,20 +146,20 @@ def _places(docs: DataFrame, sieve: _Sieve, lengths: list[int], window: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, rows = [], []
-            for text in b.column(2):
-                words = words_of(text.as_py())
-                here = []
+            for at, texts in _texts(b.column(2)):
+                rows: list[list] = [[] for _ in texts.words.counts]
                 for k in lengths:
-                    grams = _grams(words, k)
-                    for p in sieve(grams).tolist():
-                        low = max(0, p - window)
-                        here.append({"gram": int(grams[p : p + 1].view(np.int64)[0]), "pos": p, "before": p - low, "around": b" ".join(words[low : p + window]).decode()})
-                counts.append(len(words))
-                rows.append(here)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(rows, kind)], ["doc_id", "row_key", "n_words", "places"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+                    places, hashes = texts.runs(k)
+                    hits = sieve(hashes)
+                    for p, gram in zip(places[hits].tolist(), hashes[hits].view(np.int64).tolist(), strict=True):
+                        own = int(texts.words.text[p])
+                        first, stop = int(texts.first[own]), int(texts.first[own + 1])
+                        low = max(first, p - window)
+                        rows[own].append({"gram": gram, "pos": p - first, "before": p - low, "around": texts.said(low, min(stop, p + window)).decode()})
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(texts.words.counts, pa.int64()), pa.array(rows, kind)], ["doc_id", "row_key", "n_words", "places"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), bytes_of().alias("text"))
     return map_arrow(texts, run, "doc_id long, row_key long, n_words long, places array<struct<gram:bigint,pos:int,before:int,around:string>>")
 
 

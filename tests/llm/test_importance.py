@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import importance
+from lodestone.llm import bytewords, importance
 from tests.llm import brute
 
 
@@ -24,11 +24,11 @@ def texts(seed: int) -> list[str]:
 @pytest.mark.parametrize("piece", [1, 50, 1 << 20])
 @pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
 def test_features(monkeypatch, piece, kind):
-    monkeypatch.setattr(importance, "PIECE", piece)
+    monkeypatch.setattr(bytewords, "PIECE", piece)
     given = texts(piece)
     column = pa.array([t.encode() for t in ["before", *given, "after"]], kind).slice(1, len(given))
     found = [Counter() for _ in given]
-    for at, words in importance._texts(column):
+    for at, words in bytewords.pieces_of(column):
         for n, (last, crc) in enumerate(words.features(4), 1):
             for k, c in zip(last.tolist(), crc.tolist(), strict=True):
                 found[at + words.text[k]][n, c] += 1

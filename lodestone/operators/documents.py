@@ -38,8 +38,9 @@ def whole_word(text: Column, alternatives: str) -> Column:
 
 def lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_column, line_no`` (from 1) and ``line``, trimmed; empty lines are left out."""
-    rows = docs.select(id_column, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.select(id_column, (F.col("line_no") + 1).alias("line_no"), F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where("line <> ''")
+    tidy = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))  # below the generator, so that a filter does not repeat it
+    rows = docs.select(id_column, F.posexplode(tidy).alias("line_no", "line"))
+    return rows.select(id_column, (F.col("line_no") + 1).alias("line_no"), "line").where("line <> ''")
 
 
 def is_heading(line: Column) -> Column:
@@ -198,7 +199,7 @@ def evidence(docs: DataFrame, id_column: str = "doc_id", reference: str | None =
     hits, kinds = evidence_kinds(F.col("line"))
     found = rows.withColumn("_hits", hits).withColumn("_kinds", kinds)
     found = found.withColumn("_kinds", F.when((F.size("_kinds") == 0) & F.col("line").contains(" | "), F.array(F.lit("table"))).otherwise(F.col("_kinds")))
-    each = found.select(f"_key.{id_column}", F.col("_key._place").alias("reference"), "line_no", "line", F.explode("_kinds").alias("kind"))
+    each = found.select(f"_key.{id_column}", F.col("_key._place").alias("reference"), "line_no", "line", F.explode_outer("_kinds").alias("kind")).where("kind is not null")  # explode would push a filter that repeats the kinds
     print_ = F.sha2(F.concat_ws("\n", "kind", F.lower("line"), "reference"), 256)
     first = each.withColumn("evidence_id", F.concat(F.lit("ev_"), F.substring(print_, 1, 16))).groupBy(id_column, "kind", "evidence_id")
     return first.agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("line"))

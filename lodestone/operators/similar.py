@@ -98,4 +98,39 @@ def without_references(sentences: DataFrame, references: DataFrame, on: list[str
     return sentences.join(said.distinct().withColumnRenamed("item", item), [*on, item], "left_anti")
 
 
-__all__ = ["first_kept", "similar_pairs", "unique_items", "without_references"]
+def identity(key: Column) -> Column:
+    """What a text is about by its identifiers: the words of the key that have a letter and a digit, in order."""
+    return F.array_join(F.filter(F.split(key, " "), lambda w: w.rlike("[0-9]") & w.rlike(r"\p{L}")), " ")
+
+
+def first_repeats(docs: DataFrame, id_column: str, text: str, similarity: float = 0.72) -> DataFrame:
+    """``id, first_id, exact`` of every text that repeats an earlier one.
+
+    A text repeats another if their keys are equal, or if they share one of
+    three forms (the key without spaces, its first 320 characters, its
+    identifiers) and say the same, as in ``unique_items``. ``exact``: an
+    earlier text has the same key. Forms only make candidates, which are decided
+    as all pairs of a form would be: equal keys are compared once, and the rest
+    meet by rare tokens. Texts are read once; keys are kept as digests.
+
+    Nulls and edges: null texts and texts of marks alone repeat nothing; ids must not repeat; an empty table gives an empty result.
+    """
+    rows = _keyed(docs, [], id_column, F.col(text)).where("key is not null").withColumnRenamed(id_column, "item")
+    mark = lambda *x: F.sha2(F.concat_ws("\x00", *x), 256)
+    forms = F.array(F.replace("key", F.lit(" "), F.lit("")), F.substring("key", 1, 320), F.nullif(identity(F.col("key")), F.lit("")))
+    marks = F.transform(F.array_compact(F.transform(forms, lambda x, i: F.when(x.isNotNull(), F.struct(i.cast("string").alias("i"), x.alias("x"))))), lambda x: mark(x["i"], x["x"], F.col("sensitive")))
+    made = rows.select("item", mark("key").alias("key"), F.length("key").alias("n"), "sensitive", F.transform("tokens", lambda w: F.xxhash64(w)).alias("tokens"), marks.alias("forms"))
+    rows = materialize(made, "keys").where("n > 0")
+    first = rows.groupBy("key").agg(F.min("item").alias("item"))
+    ones = materialize(rows.join(first, ["key", "item"], "left_semi").select("item", F.explode("forms").alias("form"), F.lit("").alias("sensitive"), "tokens"), "forms")
+    shared = ones.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    pairs = materialize(similar_pairs(ones.join(shared, "form", "left_semi").where(F.size("tokens") > 0), ["form"], similarity).select("a", "b").distinct(), "pairs")
+    near = pairs.select(F.col("a").alias("item"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("other")))
+    least = near.groupBy("item").agg(F.min("other").alias("other"))
+    # An earlier near text may be later than the first of the same key, so the least of all is the first, if it is earlier at all.
+    found = rows.select("item", "key").join(first.withColumnRenamed("item", "own"), "key").join(least.withColumnRenamed("item", "own"), "own", "left")
+    at = F.least("own", "other")
+    return found.select(F.col("item").alias(id_column), at.alias("first_id"), (F.col("own") < F.col("item")).alias("exact")).where(F.col("first_id") < F.col(id_column))
+
+
+__all__ = ["first_repeats", "identity", "first_kept", "similar_pairs", "unique_items", "without_references"]

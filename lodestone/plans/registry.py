@@ -81,18 +81,18 @@ FIXTURES = {
           union all select l_orderkey, pg, ln + 2, 1, 57, '7. Gjennomføring' from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 23 = 0
           union all select l_orderkey, pg, ln + 3, 1, 300, concat('notat ', l_linenumber) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 6 = 0)""",
     "list_items": """
-        select list_id, row_number() over (partition by list_id order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as item,
+        select list_id, row_number() over (partition by list_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as item,
                concat(split_part('Systemet,Løsningen,Tjenesten', ',', cast(l_partkey % 3 + 1 as int)), ' skal ', split_part('levere,støtte,vise,lagre', ',', cast(l_suppkey % 4 + 1 as int)), ' ', split_part('rapporter,varsler,meldinger,saker,dokumenter', ',', cast(l_orderkey % 5 + 1 as int)),
                       case when l_partkey % 2 = 0 then ' for alle brukere' else '' end, case when l_suppkey % 3 = 0 then ' i kommunen' else '' end, case when l_orderkey % 7 = 0 then concat(' innen ', l_linenumber, ' dager') when l_orderkey % 7 = 1 then ' ikke' else '' end,
                       case when l_linenumber = 4 then ' .' when l_linenumber = 5 then '  !' else '' end) as text
         from (select *, l_partkey % 211 as list_id from {lineitem}) where l_linenumber < 7 or l_partkey % 5 > 0
-        union all select -o_orderkey, 1, case o_orderkey % 3 when 0 then ' ' when 1 then '*' end from {orders} where o_orderkey < 5
-        union all select -o_orderkey, 2, '*' from {orders} where o_orderkey < 5""",
+        union all select -1 - o_orderkey, 1, case o_orderkey % 3 when 0 then ' ' when 1 then '*' end from {orders} where o_orderkey < 5
+        union all select -1 - o_orderkey, 2, '*' from {orders} where o_orderkey < 5""",
     "gold_rows": """
-        select doc_id, cast(row_number() over (partition by doc_id order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as int) as row, text from (
+        select doc_id, cast(row_number() over (partition by doc_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as int) as row, text from (
           select *, l_partkey % 120 as doc_id, concat('krav om ', split_part('drift,sikkerhet,logging,opplæring,migrering', ',', cast(l_suppkey % 5 + 1 as int)), case when l_partkey % 3 = 0 then concat(' skal leveres med full dokumentasjon og støtte for del ', l_suppkey % 20) else '' end) as text from {lineitem})""",
     "gold_entries": """
-        select doc_id, cast(row_number() over (partition by doc_id order by l_orderkey + case when l_partkey % 7 = 0 then 900 else 0 end, l_linenumber, l_partkey, l_extendedprice) - 1 as int) as entry,
+        select doc_id, cast(row_number() over (partition by doc_id order by l_orderkey + case when l_partkey % 7 = 0 then 900 else 0 end, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as int) as entry,
                case when l_linenumber = 5 then concat('merk at ', text) when l_linenumber = 6 then substr(text, 9) when l_suppkey % 31 = 0 then null else text end as text from (
           select *, l_partkey % 120 as doc_id, concat('krav om ', split_part('drift,sikkerhet,logging,opplæring,migrering', ',', cast(l_suppkey % 5 + 1 as int)), case when l_partkey % 3 = 0 then concat(' skal leveres med full dokumentasjon og støtte for del ', l_suppkey % 20) else '' end) as text from {lineitem})
         where l_suppkey % 11 > 0""",

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import similar as S
 from lodestone.plans.registry import query
-from lodestone.sources.scratch import materialize
 from lodestone.sources.tables import table
 
 #: The comparison key of a text.
 KEY = r"""trim(regexp_replace(regexp_replace(lower(text), '[`*#>_\[\](){},.:;!?''"“”‘’/\\|-]', ' ', 'g'), '\s+', ' ', 'g'))"""
 
+#: Its identifiers: words with a letter and a digit.
+IDENTITY = rf"array_to_string(list_filter(string_split({KEY}, ' '), lambda w: regexp_matches(w, '[0-9]') and regexp_matches(w, '\p{{L}}')), ' ')"
+
 
 def _docs(spark, d):
     return table(spark, d, "documents")
@@ -67,30 +70,18 @@ def token_overlap(spark, d):
 
 
 @query(
-    f"""with w as (select doc_id, text, {KEY} as k, array_to_string(list_filter(string_split({KEY}, ' '), lambda w: regexp_matches(w, '[0-9]') or w in ({", ".join(f"'{w}'" for w in T.SENSITIVE)})), chr(1)) as s,
-      list_distinct(list_filter(string_split({KEY}, ' '), lambda w: length(w) > 2 or regexp_matches(w, '[0-9]'))) as ws from documents),
-    b as (select doc_id, s, 'whole' as block, k as key from w where k <> '' union all select doc_id, s, 'compact', replace(k, ' ', '') from w where k <> '' union all select doc_id, s, 'head', substr(k, 1, 320) from w where k <> ''),
-    f as (select doc_id, min(doc_id) over (partition by block, key, s) as first_id from b),
-    p as (select distinct doc_id, first_id from f where doc_id > first_id)
-    select p.doc_id, min(p.first_id) as first_id, bool_or(a.k = z.k) as exact from p join w a on a.doc_id = p.doc_id join w z on z.doc_id = p.first_id
-    where a.k = z.k or (least(len(a.ws), len(z.ws)) > 0 and len(list_intersect(a.ws, z.ws)) / least(len(a.ws), len(z.ws)) >= 0.72) group by 1"""
+    f"""with w as (select doc_id, {KEY} as k, array_to_string(list_filter(string_split({KEY}, ' '), lambda w: regexp_matches(w, '[0-9]') or w in ({", ".join(f"'{w}'" for w in T.SENSITIVE)})), chr(1)) as s,
+      list_distinct(list_filter(string_split({KEY}, ' '), lambda w: length(w) > 2 or regexp_matches(w, '[0-9]'))) as ws, {IDENTITY} as i from documents),
+    d as (select k, s, any_value(ws) as ws, any_value(i) as i, min(doc_id) as doc_id from w where k <> '' group by k, s),
+    b as (select doc_id, 1 as form, s, replace(k, ' ', '') as key from d union all select doc_id, 2, s, substr(k, 1, 320) from d union all select doc_id, 3, s, i from d where i <> ''),
+    c as (select distinct a.doc_id as a, z.doc_id as z from b a join b z using (form, key, s) where a.doc_id <> z.doc_id),
+    n as (select c.a, c.z from c join d a on a.doc_id = c.a join d z on z.doc_id = c.z where least(len(a.ws), len(z.ws)) > 0 and len(list_intersect(a.ws, z.ws)) / least(len(a.ws), len(z.ws)) >= 0.72),
+    every as (select a, z from n union all select doc_id, doc_id from d)
+    select w.doc_id, min(z) as first_id, bool_or(z = d.doc_id) as exact from w join d on w.k = d.k join every on every.a = d.doc_id where z < w.doc_id group by 1"""
 )
 def near_duplicate_pairs(spark, d):
-    """Each document with the first that it repeats: candidates are equal keys, keys without spaces or beginnings, with the same numbers, units and negations.
-
-    Only ids and digests of the keys are shuffled; texts are fetched for candidates, and verified.
-    """
-    docs = _docs(spark, d).select("doc_id", "text")
-    keyed = docs.select("doc_id", T.compared(F.col("text")).alias("k"), T.sensitive(F.col("text")).alias("s")).where("k <> ''")
-    forms = F.array(F.col("k"), F.replace("k", F.lit(" "), F.lit("")), F.substring("k", 1, 320))
-    blocks = keyed.select("doc_id", F.posexplode(F.transform(forms, lambda x: F.sha2(F.concat_ws("\x00", x, "s"), 256))).alias("block", "key"))
-    first = blocks.groupBy("block", "key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    pairs = materialize(blocks.join(first, ["block", "key"]).where("doc_id > first_id").select("doc_id", "first_id").distinct(), "pairs")
-    texts = docs.join(pairs.select("doc_id").union(pairs.select("first_id")).distinct(), "doc_id", "left_semi")
-    a, b = texts.select("doc_id", F.col("text").alias("a")), texts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("b"))
-    same = T.compared(F.col("a")) == T.compared(F.col("b"))
-    met = pairs.join(a, "doc_id").join(b, "first_id").where(T.near_duplicate(F.col("a"), F.col("b")))
-    return met.groupBy("doc_id").agg(F.min("first_id").alias("first_id"), F.bool_or(same).alias("exact"))
+    """Each document with the first that it repeats, and whether one before it is equal; see ``similar.first_repeats``."""
+    return S.first_repeats(_docs(spark, d), "doc_id", "text")
 
 
 @query(

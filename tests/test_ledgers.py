@@ -146,3 +146,32 @@ def test_lists_keep_what_is_new(spark):
     refs = spark.createDataFrame([("chain", 0, chain[1]), ("numbers", 0, "innen 3 dager svar"), ("copies", 0, None)], "list string, i long, t string")
     left = {(r.list, r.i) for r in S.without_references(df, refs, ["list"], "i", "t").collect()}
     assert left == {(n, i) for n, i, t in rows if not any(n == m and t and r and alike(t, r, 0.76) for m, _, r in [("chain", 0, chain[1]), ("numbers", 0, "innen 3 dager svar")])}
+
+
+def test_first_repeats(spark):
+    from lodestone.operators.similar import identity
+
+    rng = random.Random(5)
+    head = " ".join(f"ord{i % 17}x" for i in range(70))
+    base = "leveransen skal vise rapporter for alle brukere i kommunen hver uke"
+    texts = [None, "", "***", "***", base, base.upper() + "!", base.replace(" ", ""), f"ID-7a {base}", f"{base} ID-7a", f"id-7b {base}", head + " alfa beta", head + " gamma delta", head + " gamma delta nye ord", head + " 9", head[:300]]
+    # A block whose first text differs from the rest: they must still find each other.
+    texts += [head + "".join(f" helt{i}nytt" for i in range(90)), head + "".join(f" helt{i}nytt" for i in range(60, 150)), head + "".join(f" helt{i}nytt" for i in range(61, 150))]
+    texts += [" ".join(rng.choice(("a7", "b8", "skal", "vise", "alle", "ikke")) for _ in range(6)) for _ in range(120)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    key = lambda x: " ".join("".join(" " if c in "`*#>_[](){},.:;!?'\"“”‘’/\\|-" else c for c in (x or "").lower()).split())
+    names = lambda k: [w for w in k.split() if any(map(str.isdigit, w)) and any(map(str.isalpha, w))]
+    wanted = set()
+    for i, x in rows:
+        a, near = key(x), []
+        for j, y in rows[:i]:
+            b = key(y)
+            forms = a.replace(" ", "") == b.replace(" ", "") or a[:320] == b[:320] or (names(a) and names(a) == names(b))
+            if a and b and (a == b or (forms and alike(x, y, 0.72))):
+                near.append((j, a == b))
+        if near:
+            wanted.add((i, min(near)[0], any(e for _, e in near)))
+    assert {tuple(r) for r in S.first_repeats(df, "id", "t").collect()} == wanted and len(wanted) > 20
+    assert spark.createDataFrame([("id 7a og 9 x2",)], "k string").select(identity(F.col("k"))).first()[0] == "7a x2"

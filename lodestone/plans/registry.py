@@ -80,6 +80,20 @@ FIXTURES = {
           union all select l_orderkey, pg, ln + 1, 3, 430, 'Side 3' from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 5 = 0
           union all select l_orderkey, pg, ln + 2, 1, 57, '7. Gjennomføring' from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 23 = 0
           union all select l_orderkey, pg, ln + 3, 1, 300, concat('notat ', l_linenumber) from (select *, l_linenumber % 2 + 1 as pg, l_linenumber * 10 as ln from (select l_orderkey, l_partkey, l_suppkey, l_linestatus as l_status, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as l_linenumber from {lineitem})) where l_partkey % 6 = 0)""",
+    "broken_texts": """
+        select doc_id, concat(case doc_id % 9 when 0 then 'Kundenhar avLeveransen og LeverandørenbesbeskriveX ' when 1 then 'I D 2 – 4 kr a v i Ta b ell ID 2 . 7 til ID2-09-3B ' when 2 then 'Feilh å ndt ering og Abc d ef g hi j kl m no p qr s tu ' when 3 then 'SKR I FT Endringshåndt ering arbeids stasjoner, opp gaver tilå gå go- live '
+                      when 4 then 'Leverandøren skal , forKunden og for Leveransen . Kunden er med Kundens folk «Leveransen» ' when 5 then 'Tredjepart s - leverandører og drifts-og vakt og-drift ' when 6 then 'på underleverandør er og diverse leverandør er, nyeLeverandøren åiverksetterutiner ' when 7 then '3''dje partsleverandører, tredjeparts programvare skjeri dag ' else '' end,
+               case doc_id % 5 when 0 then 'ISO-27001 KR-063-01 og KR - 063-01, B2-01 FUN-A01 ' when 1 then 'Tabell ID 2-11 ID 2.4 Krav nr. 7, FHIR R4 R4 ' when 2 then '088/01 24/7 FRF.1.2 P123-K4 REQ 7 ' else '' end, replace(substr(text, 1, 160), chr(10), ' ')) as text
+        from {documents}""",
+    "row_lines": """
+        select doc_id, cast(floor((n - 1) / 20) as int) + 1 as page, n * 10 + k as line, cast(800 - (n % 20) * 36 - k * 12 - case when l_orderkey % 13 = 0 and k > 0 then 40 else 0 end as double) as y, cast(9 + l_orderkey % 3 as double) as height,
+               case when k = 0 then concat('KR-', lpad(cast(l_partkey % 999 as varchar(3)), 3, '0'), '-', lpad(cast(n % 99 as varchar(2)), 2, '0'), case when doc_id % 3 = 0 then concat(' ', lpad(cast(n % 99 as varchar(2)), 2, '0')) else '' end,
+                      case when doc_id % 4 < 2 or n % 5 = 0 then concat(' ', split_part('Må,Bør,Kan', ',', cast(n % 3 + 1 as int))) else '' end, case when l_suppkey % 17 = 0 then '' else concat(' Løsningen skal levere punkt ', l_suppkey) end)
+                    when k = 1 then case l_suppkey % 9 when 0 then '3 Drift og vakt' when 1 then 'Avklaring: mer' when 2 then 'med full doku-' when 3 then 'Må Kunden gjøre noe' when 4 then 'VEDLEGG OG ANNET' when 5 then 'fortsettelse på linjen' end
+                    else 'mentasjon og vakt' end as text
+        from (select *, l_partkey % 400 as doc_id, row_number() over (partition by l_partkey % 400 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from {lineitem}) cross join (select 0 as k union all select 1 union all select 2)
+        where k < 2 or l_suppkey % 9 in (2, 5)
+        union all select distinct l_partkey % 400, 1, 1, cast(790 as double), cast(10 as double), 'Krav-ID Prioritet Kravtekst' from {lineitem} where l_partkey % 5 = 0""",
     "list_items": """
         select list_id, row_number() over (partition by list_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as item,
                concat(split_part('Systemet,Løsningen,Tjenesten', ',', cast(l_partkey % 3 + 1 as int)), ' skal ', split_part('levere,støtte,vise,lagre', ',', cast(l_suppkey % 4 + 1 as int)), ' ', split_part('rapporter,varsler,meldinger,saker,dokumenter', ',', cast(l_orderkey % 5 + 1 as int)),
@@ -164,6 +178,8 @@ READS = {
     "coverage_items": ["lineitem"],
     "table_texts": ["documents"],
     "list_items": ["lineitem", "orders"],
+    "broken_texts": ["documents"],
+    "row_lines": ["lineitem"],
     "gold_rows": ["lineitem"],
     "gold_entries": ["lineitem"],
     "glyph_rows": ["orders", "lineitem"],

@@ -32,9 +32,10 @@ def containments(needles: DataFrame, hays: DataFrame, on: list[str], needle: str
     hays = hays.where(F.length(text) > 0).select(*on, hay, F.col(text).alias("_hay"))
     sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
     index = hays.select(*on, hay, F.explode(F.flatten(F.transform(sizes, lambda n: F.transform(_runs(F.col("_hay"), n), lambda h: F.struct(n.alias("_n"), h.alias("_run")))))).alias("_r")).select(*on, hay, "_r.*")
-    index = materialize(index, "runs")
-    counts = index.groupBy(*on, "_n", "_run").agg(F.count("*").alias("_hays"))
     own = needles.select(*on, needle, "_needle", "_n", F.explode(_runs(F.col("_needle"), F.col("_n"))).alias("_run"))
+    sought = materialize(own.select(*on, "_n", "_run").distinct(), "sought")  # its size is then known to the planner
+    index = materialize(index.join(sought, [*on, "_n", "_run"], "left_semi"), "runs")
+    counts = index.groupBy(*on, "_n", "_run").agg(F.count("*").alias("_hays"))
     rarest = own.join(counts, [*on, "_n", "_run"], "left").groupBy(*on, needle, "_needle", "_n").agg(F.min(F.struct(F.coalesce("_hays", F.lit(0)).alias("hays"), "_run")).alias("_least"))
     anchors = rarest.where("_least.hays > 0").select(*on, needle, "_needle", "_n", F.col("_least._run").alias("_run"))
     met = anchors.join(index, [*on, "_n", "_run"]).join(hays, [*on, hay])

@@ -94,6 +94,20 @@ FIXTURES = {
         from (select *, l_partkey % 400 as doc_id, row_number() over (partition by l_partkey % 400 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from {lineitem}) cross join (select 0 as k union all select 1 union all select 2)
         where k < 2 or l_suppkey % 9 in (2, 5)
         union all select distinct l_partkey % 400, 1, 1, cast(790 as double), cast(10 as double), 'Krav-ID Prioritet Kravtekst' from {lineitem} where l_partkey % 5 = 0""",
+    "claim_documents": "select doc_id % 4 as project, doc_id as doc, concat('Dokument ', doc_id) as title, text from {documents}",
+    "claim_entries": "select doc_id % 4 as project, doc_id as doc, 0 as entry, case when doc_id % 3 = 0 then '' else concat('Tabell ', doc_id % 7) end as reference, substr(text, 1, 150) as text from {documents}",
+    "claims": """
+        select item_id % 4 as project, item_id as claim, split_part(text, ' ', 3) as title, substr(text, 100, 60) as description, case item_id % 3 when 0 then text when 1 then substr(text, 1, 70) else concat('Ukjent ', substr(text, 20, 40), ' og mer') end as excerpt,
+               case item_id % 5 when 0 then concat('Dokument ', item_id * 7) when 1 then 'Tabell 3' else '' end as reference
+        from {benchmark}""",
+    "chunk_first": "select case when doc_id % 3 = 0 then 'service_document' else 'project_document' end as source_type, doc_id as source_id, chunk_index, substr(text, chunk_index * 100 + 1, 100) as text from {documents} cross join (select 0 as chunk_index union all select 1) where doc_id % 11 > 0",
+    "chunk_rows": """
+        select case when doc_id % 3 = 0 then 'service_document' else 'project_document' end as source_type, doc_id as source_id, case when doc_id % 8 = 1 and k = 2 then 1 when doc_id % 8 = 2 then k + 1 else k end as chunk_index, concat('ny ', substr(text, k * 80 + 1, 80)) as text
+        from {documents} cross join (select 0 as k union all select 1 union all select 2) where doc_id % 9 > 0""",
+    "chunk_requests": """
+        select case when doc_id % 3 = 0 then 'service_document' when doc_id % 31 = 1 then 'other' else 'project_document' end as source_type, doc_id as source_id, case when doc_id % 8 = 3 then 'abc' else sha2_ end as fingerprint, doc_id % 5 as revision, case when doc_id % 9 = 0 then 0 when doc_id % 8 = 4 then 2 else 3 end as chunks
+        from (select doc_id, concat(lpad('', 56, 'ab'), lpad(cast(doc_id as varchar(8)), 8, '0')) as sha2_ from {documents}) where doc_id % 13 > 0""",
+    "chunk_sources": "select case when doc_id % 3 = 0 then 'service_document' else 'project_document' end as source_type, doc_id as source_id, case when doc_id % 8 = 5 then 9 else doc_id % 5 end as revision from {documents} where doc_id % 17 > 0",
     "list_items": """
         select list_id, row_number() over (partition by list_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as item,
                concat(split_part('Systemet,Løsningen,Tjenesten', ',', cast(l_partkey % 3 + 1 as int)), ' skal ', split_part('levere,støtte,vise,lagre', ',', cast(l_suppkey % 4 + 1 as int)), ' ', split_part('rapporter,varsler,meldinger,saker,dokumenter', ',', cast(l_orderkey % 5 + 1 as int)),
@@ -178,6 +192,13 @@ READS = {
     "coverage_items": ["lineitem"],
     "table_texts": ["documents"],
     "list_items": ["lineitem", "orders"],
+    "chunk_first": ["documents"],
+    "chunk_rows": ["documents"],
+    "chunk_requests": ["documents"],
+    "chunk_sources": ["documents"],
+    "claim_documents": ["documents"],
+    "claim_entries": ["documents"],
+    "claims": ["benchmark"],
     "broken_texts": ["documents"],
     "row_lines": ["lineitem"],
     "gold_rows": ["lineitem"],

@@ -56,27 +56,27 @@ with w as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m
 ), r as (
   select doc_id, lang, source, base_failed, unnest([
-    {{'measure': 'symbol_rate', 'v': n_symbols * 1000 // nullif(n_words, 0), 'least': 10}},
-    {{'measure': 'word_length', 'v': word_chars * 100 // nullif(n_words, 0), 'least': 15}},
-    {{'measure': 'line_rate', 'v': n_dup_lines * 1000 // nullif(n_lines, 0), 'least': 60}},
-    {{'measure': 'repeat_rate', 'v': n_repeat_words * 1000 // nullif(n_words, 0), 'least': 50}}], recursive := true)
+    {{'measure': 'symbol_rate', 'v': n_symbols * 1000 // nullif(n_words, 0), 'least': 5, 'part': 40}},
+    {{'measure': 'word_length', 'v': word_chars * 100 // nullif(n_words, 0), 'least': 10, 'part': 40}},
+    {{'measure': 'line_rate', 'v': n_dup_lines * 1000 // nullif(n_lines, 0), 'least': 30, 'part': 3}},
+    {{'measure': 'repeat_rate', 'v': n_repeat_words * 1000 // nullif(n_words, 0), 'least': 25, 'part': 2}}], recursive := true)
   from b
 ), k as (
-  select lang, source, measure, least, case when v < 128 then v else v // (1 << (length(bin(v)) - 7)::bigint) * (1 << (length(bin(v)) - 7)::bigint) end as bucket
+  select lang, source, measure, least, part, case when v < 128 then v else v // (1 << (length(bin(v)) - 7)::bigint) * (1 << (length(bin(v)) - 7)::bigint) end as bucket
   from r where not base_failed
 ), q as (
-  select grouping(source) as wide, grouping(lang) as wider, lang, source, measure, least, count(*) as n,
-    quantile_disc(bucket, 0.25) as low, quantile_disc(bucket, 0.75) as high
-  from k group by grouping sets ((lang, source, measure, least), (lang, measure, least), (measure, least))
+  select grouping(source) as wide, grouping(lang) as wider, lang, source, measure, least, part, count(*) as n,
+    quantile_disc(bucket, 0.25) as low, quantile_disc(bucket, 0.75) as high, quantile_disc(bucket, 0.99) as tail
+  from k group by grouping sets ((lang, source, measure, least, part), (lang, measure, least, part), (measure, least, part))
 ), l as (
-  select q.lang, q.measure, (q.n * q.low + 30 * e.low) // (q.n + 30) as low, (q.n * q.high + 30 * e.high) // (q.n + 30) as high
+  select q.lang, q.measure, (q.n * q.low + 30 * e.low) // (q.n + 30) as low, (q.n * q.high + 30 * e.high) // (q.n + 30) as high, (q.n * q.tail + 30 * e.tail) // (q.n + 30) as tail
   from q join q e on e.wide = 1 and e.wider = 1 and q.measure = e.measure where q.wide = 1 and q.wider = 0
 ), f as (
-  select a.lang, a.source, a.measure, a.least, (a.n * a.low + 30 * l.low) // (a.n + 30) as q1, (a.n * a.high + 30 * l.high) // (a.n + 30) as q3
+  select a.lang, a.source, a.measure, a.least, a.part, (a.n * a.low + 30 * l.low) // (a.n + 30) as q1, (a.n * a.high + 30 * l.high) // (a.n + 30) as q3, (a.n * a.tail + 30 * l.tail) // (a.n + 30) as q99
   from q a join l on a.lang is not distinct from l.lang and a.measure = l.measure
   where a.wide = 0
 ), v as (
-  select r.doc_id, bool_and(coalesce(r.v between q1 - 4 * greatest(q3 - q1, f.least) and q3 + 4 * greatest(q3 - q1, f.least), true)) as within
+  select r.doc_id, bool_and(coalesce(r.v between q1 - 4 * greatest(q3 - q1, f.least, (q99 - q3) // f.part) and q3 + 4 * greatest(q3 - q1, f.least, (q99 - q3) // f.part), true)) as within
   from r left join f on r.lang is not distinct from f.lang and r.source is not distinct from f.source and r.measure = f.measure
   group by r.doc_id
 )

@@ -3,11 +3,14 @@
 Each row is measured where it is read. The measures of rows that pass the base
 rules are summed into quantile sketches per language and source: counts by
 bucket, exact below 128 and within 1/64 above, at most about 1,100 buckets a
-measure, merged by adding counts. From a sketch come the quartiles, from these
-a fence of ``reach`` times the spread between them on each side, the spread
-being at least the measure's ``least``. A group's quartiles are blended with
-its language's, which count as ``prior`` rows more, and those with all rows', so
-a small group leans on its language by degrees and nothing switches at a size.
+measure, merged by adding counts. From a sketch come the quartiles and the 99 %
+quantile, its tail. A fence stands ``reach`` spreads beyond the quartiles, a
+spread being the distance between them or, where most texts have none of a
+measure and both are zero, a part of the way to the tail: a group whose texts
+repeat more lines bears more. ``least`` keeps a spread from being nothing. A
+group's quantiles are blended with its language's, which count as ``prior`` rows
+more, and those with all rows', so a small group leans on its language by
+degrees and nothing switches at a size.
 A row is kept if it passes the base rules and lies within its group's fences.
 
 Nulls and edges: a null text has no words and fails the base rules; a null
@@ -30,14 +33,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Rate and least spread between its quartiles: symbols and repeated words in 1,000 words, 100 times the mean word length, repeated lines in 1,000.
-#: Where most texts have none, ``reach`` times the least spread is what is borne: 40 symbols, 240 lines, 200 repeated words in 1,000.
+#: Rate, least spread, and the part of the way to the tail that a spread is at least: symbols and repeated words in 1,000 words, 100 times the mean word length, repeated lines in 1,000.
 RATES = {
-    "symbol_rate": ("n_symbols * 1000 div nullif(n_words, 0)", 10),
-    "word_length": ("word_chars * 100 div nullif(n_words, 0)", 15),
-    "line_rate": ("n_dup_lines * 1000 div nullif(n_lines, 0)", 60),
-    "repeat_rate": ("n_repeat_words * 1000 div nullif(n_words, 0)", 50),
+    "symbol_rate": ("n_symbols * 1000 div nullif(n_words, 0)", 5, 40),
+    "word_length": ("word_chars * 100 div nullif(n_words, 0)", 10, 40),
+    "line_rate": ("n_dup_lines * 1000 div nullif(n_lines, 0)", 30, 3),
+    "repeat_rate": ("n_repeat_words * 1000 div nullif(n_words, 0)", 25, 2),
 }
+QUANTILES = (25, 75, 99)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -104,13 +107,13 @@ def bucket(value: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """``lang, source, measure, bucket, n``: mergeable by adding n."""
-    rates = F.explode(F.create_map(*(x for name, (rate, _) in RATES.items() for x in (F.lit(name), F.expr(rate)))))
+    rates = F.explode(F.create_map(*(x for name, (rate, *_) in RATES.items() for x in (F.lit(name), F.expr(rate)))))
     found = rows.where("not base_failed").select("lang", "source", rates.alias("measure", "value"))
     return found.groupBy("lang", "source", "measure", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a group: its rows, and the lower and upper quartile of every measure."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a group: its rows, and the quartiles and the tail of every measure."""
     group = ", ".join([*keys, "measure"])
     sums = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     placed = sums.withColumns(
@@ -119,37 +122,36 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
             "rows": F.expr(f"sum(n) over (partition by {group})"),
         }
     )
-    quarters = [
-        F.min(F.expr(f"case when measure = '{m}' and upto * 100 >= {p} * rows then bucket end")).alias(f"{m}_{p}") for m in RATES for p in (25, 75)
-    ]
-    return placed.groupBy(*keys).agg(F.max("rows").alias("rows"), *quarters)
+    found = [F.min(F.expr(f"case when measure = '{m}' and upto * 100 >= {p} * rows then bucket end")).alias(f"{m}_{p}") for m in RATES for p in QUANTILES]
+    return placed.groupBy(*keys).agg(F.max("rows").alias("rows"), *found)
 
 
 def thresholds(sketch: DataFrame, prior: int = 30, reach: int = 4) -> DataFrame:
     """``lang, source`` and, for every measure, ``{measure}_low`` and ``{measure}_high``."""
     one = sketch.withColumn("every", F.lit(1))
-    whole = _quartiles(one, ["every"])
-    language = _quartiles(one, ["lang"])
-    own = _quartiles(one, ["lang", "source"]).withColumn("every", F.lit(1))
+    whole = _quantiles(one, ["every"])
+    language = _quantiles(one, ["lang"])
+    own = _quantiles(one, ["lang", "source"]).withColumn("every", F.lit(1))
     joined = own.alias("a").join(language.alias("b"), F.expr("a.lang <=> b.lang")).join(whole.alias("c"), F.expr("a.every = c.every"))
 
     def blend(rows: str, own: str, wide: str) -> str:
         return f"(({rows} * {own} + {prior} * {wide}) div ({rows} + {prior}))"
 
-    def quarter(m: str, p: int) -> Column:
+    def quantile(m: str, p: int) -> Column:
         return F.expr(blend("a.rows", f"a.{m}_{p}", blend("b.rows", f"b.{m}_{p}", f"c.{m}_{p}")))
 
+    found = joined.select("a.lang", "a.source", *[quantile(m, p).alias(f"{m}_{p}") for m in RATES for p in QUANTILES])
     fences = []
-    for m, (_, least) in RATES.items():
-        spread = F.greatest(quarter(m, 75) - quarter(m, 25), F.lit(least)) * reach
-        fences += [(quarter(m, 25) - spread).alias(f"{m}_low"), (quarter(m, 75) + spread).alias(f"{m}_high")]
-    return joined.select("a.lang", "a.source", *fences)
+    for m, (_, least, part) in RATES.items():
+        spread = f"{reach} * greatest({m}_75 - {m}_25, {least}, ({m}_99 - {m}_75) div {part})"
+        fences += [F.expr(f"{m}_25 - {spread}").alias(f"{m}_low"), F.expr(f"{m}_75 + {spread}").alias(f"{m}_high")]
+    return found.select("lang", "source", *fences)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """``rows`` of ``measured`` with ``kept``."""
     near = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    within = " and ".join(f"coalesce({rate} between {m}_low and {m}_high, true)" for m, (rate, _) in RATES.items())
+    within = " and ".join(f"coalesce({rate} between {m}_low and {m}_high, true)" for m, (rate, *_) in RATES.items())
     joined = rows.join(near, F.expr("lang <=> _lang and source <=> _source"), "left")
     return joined.withColumn("kept", F.expr(f"not base_failed and {within}")).drop(*near.columns)
 

@@ -99,6 +99,24 @@ def test_each_measure_can_reject(spark):
     assert all(found[i] == (False, True) for i in range(120))
 
 
+def test_fences_follow_their_group(spark, sf):
+    """Every measure has a fence of its own in at least three groups, and one that a group with more of it moves."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    limits = quality.thresholds(quality.sketches(quality.measured(docs))).collect()
+    for m in quality.RATES:
+        assert len({r[f"{m}_high"] for r in limits}) >= 3, m
+    rng = random.Random(2)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9))
+
+    def text(repeats: int) -> str:
+        again = line()[:8]  # few words, so that the base rules pass
+        return "\n".join([line() for _ in range(30 - repeats)] + [again] * repeats)
+
+    rows = [(i, text(0 if i % 10 else 9), "en", "plain" if i < 400 else "lists", 0) for i in range(400)] + [(500 + i, text(12 if i % 10 else 16), "en", "lists", 0) for i in range(400)]
+    fences = {r.source: r.line_rate_high for r in quality.thresholds(quality.sketches(quality.measured(spark.createDataFrame(rows, DOCS)))).collect()}
+    assert fences["lists"] > fences["plain"] + 100
+
+
 def test_small_groups_lean_on_their_language(spark):
     words = lambda n, size: " ".join("x" * size + str(i) for i in range(n))
     rows = [(i, words(60, 4 + i % 2), "en", "large", 0) for i in range(100)] + [(500, words(60, 30), "en", "small", 0)]

@@ -84,9 +84,9 @@ def source_label(parts: list[Column]) -> Column:
 
 
 def contained(items: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Items that meet the source row of their place, with whether one text begins the other: ``keys, matches``."""
+    """Items that meet the source row of their place, with whether one text holds the other: ``keys, matches``."""
     a, b = items.select(*keys, compared(F.regexp_replace("text", r"\s*(…|\.{3})$", "")).alias("a")), sources.select(*keys, compared(F.col("text")).alias("b"))
-    same = (F.col("a") != "") & (F.col("b") != "") & (F.startswith("a", F.col("b")) | F.startswith("b", F.col("a")))
+    same = (F.col("a") != "") & (F.col("b") != "") & (F.contains("a", F.col("b")) | F.contains("b", F.col("a")))
     return a.join(b, keys, "left").select(*keys, F.coalesce(same, F.lit(False)).alias("matches"))
 
 

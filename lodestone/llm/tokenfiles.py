@@ -39,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,32 +132,44 @@ class Encoder:
         for word, core, marks in split:
             self.words[word] = self.words[core] + self.words[marks]
 
-    def _split(self, text: str) -> list[str] | None:
-        """The words of a text; None if it must be encoded whole."""
+    def _lowered(self, text: str) -> str | None:
+        """A text whose words are encoded by themselves, in lower case; None if it must be encoded whole."""
         if not self.by_words or "<|" in text or ODD_SPACE.search(text):
             return None
         if text.isascii():
-            return text.lower().split()
+            return text.lower()
         if "\u03a3" not in text and NORMAL("NFC", text) and NORMAL("NFC", low := text.lower()):
-            return low.split()
+            return low
         return None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text.
-
-        The words of all texts are looked up once, in the large table, and then in a small one.
-        """
-        split = [self._split(t) for t in texts]
-        words = set().union(*(s for s in split if s))
-        new = words.difference(self.words)
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of lowered texts: Arrow cuts them and numbers their distinct words, which are looked up once; ids are then gathered by number."""
+        cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = cut.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        new = [w for w in words if w not in self.words]
         if new:
             if len(self.words) + 2 * len(new) > CACHE:
                 self.words.clear()
                 new = words
-            self._learn(list(new))
-        near = {w: self.words[w] for w in words}.__getitem__
-        whole = iter(self._direct([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(whole) if s is None else b"".join(map(near, s)) for s in split]
+            self.words[""] = b""  # stands before and behind white space at a text's ends
+            self._learn([w for w in new if w])
+        coded = [self.words[w] for w in words]
+        ids, sizes = np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        number = numbered.indices.to_numpy()
+        n = sizes[number]
+        ends = np.cumsum(n)
+        first = (np.cumsum(sizes) - sizes)[number] - (ends - n)
+        flat = ids[np.repeat(first, n) + np.arange(len(first) and ends[-1])].tobytes()
+        bounds = (4 * np.r_[0, ends][cut.offsets.to_numpy()]).tolist()
+        return [flat[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        low = [self._lowered(t) for t in texts]
+        parts = iter(self._by_words([t for t in low if t is not None]))
+        whole = iter(self._direct([t for t, s in zip(texts, low, strict=True) if s is None]))
+        return [next(whole) if s is None else next(parts) for s in low]
 
 
 @lru_cache(maxsize=1)
@@ -251,7 +264,7 @@ class Ranges:
         return expand(self.sequence[a:b], self.rules, self.vocabulary)[skip : skip + stop - start]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], own: Encoder, chars: int = 1 << 18) -> Iterator[tuple]:
+def encoded(batches: Iterator[pa.RecordBatch], own: Encoder, chars: int = 1 << 22) -> Iterator[tuple]:
     """doc_id and ids of every row, encoded by runs of rows of about so many characters."""
     docs: list = []
     texts: list[str] = []

@@ -108,6 +108,17 @@ FIXTURES = {
         select case when doc_id % 3 = 0 then 'service_document' when doc_id % 31 = 1 then 'other' else 'project_document' end as source_type, doc_id as source_id, case when doc_id % 8 = 3 then 'abc' else sha2_ end as fingerprint, doc_id % 5 as revision, case when doc_id % 9 = 0 then 0 when doc_id % 8 = 4 then 2 else 3 end as chunks
         from (select doc_id, concat(lpad('', 56, 'ab'), lpad(cast(doc_id as varchar(8)), 8, '0')) as sha2_ from {documents}) where doc_id % 13 > 0""",
     "chunk_sources": "select case when doc_id % 3 = 0 then 'service_document' else 'project_document' end as source_type, doc_id as source_id, case when doc_id % 8 = 5 then 9 else doc_id % 5 end as revision from {documents} where doc_id % 17 > 0",
+    "source_entries": """
+        select project, doc, cast(row_number() over (partition by project, doc order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) * 10 as entry, case doc when 0 then 'customer' when 3 then 'solution' else 'formal' end as side,
+               concat(case when doc = 0 then 'Drift' else 'Tabell 2' end, ' - ', label) as id, case l_orderkey % 4 when 0 then label when 1 then 'Leveransekrav til Helpdesk og fjernbasert TAM' end as service,
+               case l_suppkey % 3 when 0 then 'Krav' when 1 then 'Drift' end as heading,
+               case l_suppkey % 8 when 0 then concat('Alle endringer i ', area, ' skal logges') when 1 then concat('Løsningen skal støtte BankID for ', case when l_orderkey % 3 = 0 then 'eksterne' else 'interne' end, ' brukere av ', area)
+                    when 2 then concat('Det skal tilbys Helpdesk og fjernbasert hjelp til ', area, '. ', repeat('Ressursene følger avtalte rutiner. ', 6)) when 3 then concat(repeat('Stedlig Helpdesk og fjernbasert TAM skal koordinere leveransen. ', 18), case when doc > 0 then 'Planner og ' else '' end, case when l_orderkey % 2 = 0 then area else '' end)
+                    when 4 then case when doc = 0 then concat('Detbenyttes en arbeidsflyt i SharePointsom godkjenning av ', area) else concat('Det benyttes en arbeids-', chr(10), 'flyt i SharePoint som godkjenning av ', area) end
+                    when 5 then concat('Oppetid for ', area, ' skal', case when l_orderkey % 3 = 0 then ' ' else '' end, ' være ', 97 + l_orderkey % 3, case when l_linenumber = 4 then ' %' else '' end) when 6 then concat('Leverandøren skal ', case when doc = 0 then '' else concat(label, ' ') end, 'dokumentere ', area)
+                    else concat('Kun ', area, case when l_orderkey % 2 = 0 then ' og MFA' else '' end, ' i ', l_orderkey % 4, ' timer', case when doc = 0 then '.' else ' !' end) end as text
+        from (select *, l_partkey % 2000 as project, case when l_linenumber = 7 then 3 else l_linenumber % 3 end as doc, split_part('drift,logging,tilgang', ',', cast((l_orderkey + l_linenumber) % 3 + 1 as int)) as area,
+                     split_part('Tilgang og logging,Tilgang oglogging,Bruker-administrasjon,Brukeradministrasjon,K-12', ',', cast(l_orderkey % 5 + 1 as int)) as label from {lineitem})""",
     "list_items": """
         select list_id, row_number() over (partition by list_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as item,
                concat(split_part('Systemet,Løsningen,Tjenesten', ',', cast(l_partkey % 3 + 1 as int)), ' skal ', split_part('levere,støtte,vise,lagre', ',', cast(l_suppkey % 4 + 1 as int)), ' ', split_part('rapporter,varsler,meldinger,saker,dokumenter', ',', cast(l_orderkey % 5 + 1 as int)),
@@ -192,6 +203,7 @@ READS = {
     "coverage_items": ["lineitem"],
     "table_texts": ["documents"],
     "list_items": ["lineitem", "orders"],
+    "source_entries": ["lineitem"],
     "chunk_first": ["documents"],
     "chunk_rows": ["documents"],
     "chunk_requests": ["documents"],

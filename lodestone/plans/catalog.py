@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import access, aggregates, currentness, documents, evaluation, grounding, guards, jobs, layout, ledger_sources, ledgers, lineage, pages, pickers, predicates, readings, relational, replacement, requirement_tables, retrieval, scans, scoring, search, sessions, stateful, text, validation
+from lodestone.plans import access, aggregates, currentness, documents, evaluation, fact_coverage, grounding, guards, jobs, layout, ledger_sources, ledgers, lineage, pages, pickers, predicates, readings, relational, replacement, requirement_tables, retrieval, scans, scoring, search, sessions, stateful, text, validation
 from lodestone.plans.registry import ORACLES, QUERIES
 
-MODULES = (access, aggregates, currentness, documents, evaluation, grounding, guards, jobs, layout, ledger_sources, ledgers, lineage, pages, pickers, predicates, readings, relational, replacement, requirement_tables, retrieval, scans, scoring, search, sessions, stateful, text, validation)
+MODULES = (access, aggregates, currentness, documents, evaluation, fact_coverage, grounding, guards, jobs, layout, ledger_sources, ledgers, lineage, pages, pickers, predicates, readings, relational, replacement, requirement_tables, retrieval, scans, scoring, search, sessions, stateful, text, validation)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

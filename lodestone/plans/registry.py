@@ -119,6 +119,16 @@ FIXTURES = {
                     else concat('Kun ', area, case when l_orderkey % 2 = 0 then ' og MFA' else '' end, ' i ', l_orderkey % 4, ' timer', case when doc = 0 then '.' else ' !' end) end as text
         from (select *, l_partkey % 2000 as project, case when l_linenumber = 7 then 3 else l_linenumber % 3 end as doc, split_part('drift,logging,tilgang', ',', cast((l_orderkey + l_linenumber) % 3 + 1 as int)) as area,
                      split_part('Tilgang og logging,Tilgang oglogging,Bruker-administrasjon,Brukeradministrasjon,K-12', ',', cast(l_orderkey % 5 + 1 as int)) as label from {lineitem})""",
+    "analysis_facts": """
+        select doc_id, k as fact, case k when 0 then 'scale' when 1 then 'threshold' else 'timeline' end as category,
+               case k when 0 then concat('Dokumenterte volumer: ', substr(text, 1, 40), '; ', substr(text, 41, 40), ' ukjent verdi;', substr(text, 41, 40), ' ukjent  verdi. ; ', substr(text, 900, 30))
+                      when 1 then concat('Dokumenterte tekniske grenseverdier: ', substr(text, 150, 60), case when doc_id % 3 = 0 then ' | ' else '; ' end, 'RTO ', doc_id % 9, ' timer', case when doc_id % 3 = 0 then ' | ' else '; ' end, 'RTO ', doc_id % 7, ' timer...')
+                      else concat(replace(substr(text, 180, 60), ':', ' '), '; ', case when doc_id % 4 = 0 then '**' else 'oppstart i mai' end) end as text
+        from {documents} cross join (select 0 as k union all select 1 union all select 2)""",
+    "analysis_fields": """
+        select doc_id, split_part('profile,requirements,solution,positioning', ',', k + 1) as field, case k when 0 then 'scale' when 3 then 'timeline' else 'threshold' end as category,
+               case when k = 2 then null else concat(substr(text, 1, 200), case when doc_id % 5 = 0 then ' RTO: 4 timer' else '' end) end as text
+        from {documents} cross join (select 0 as k union all select 1 union all select 2 union all select 3)""",
     "list_items": """
         select list_id, row_number() over (partition by list_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as item,
                concat(split_part('Systemet,Løsningen,Tjenesten', ',', cast(l_partkey % 3 + 1 as int)), ' skal ', split_part('levere,støtte,vise,lagre', ',', cast(l_suppkey % 4 + 1 as int)), ' ', split_part('rapporter,varsler,meldinger,saker,dokumenter', ',', cast(l_orderkey % 5 + 1 as int)),
@@ -204,6 +214,8 @@ READS = {
     "table_texts": ["documents"],
     "list_items": ["lineitem", "orders"],
     "source_entries": ["lineitem"],
+    "analysis_facts": ["documents"],
+    "analysis_fields": ["documents"],
     "chunk_first": ["documents"],
     "chunk_rows": ["documents"],
     "chunk_requests": ["documents"],

@@ -64,10 +64,11 @@ def role_decisions(spark, d):
 def revoke_outcomes(spark, d):
     """For each access that is taken away, whether its holder still reaches the project, or any, by a group or as owner."""
     gone = fixture(spark, d, "memberships").where("principal_id % 3 = 0").select("principal_id", "project_id").distinct()
-    grants = fixture(spark, d, "group_members").join(fixture(spark, d, "group_grants"), "group_id").select("principal_id", "project_id")
-    other = grants.unionByName(fixture(spark, d, "projects").select(F.col("owner_id").alias("principal_id"), "project_id")).distinct()
-    same = other.withColumn("keeps_project", F.lit(True))
-    some = other.select("principal_id").distinct().withColumn("keeps_any", F.lit(True))
+    members, grants = fixture(spark, d, "group_members"), fixture(spark, d, "group_grants")
+    owned = fixture(spark, d, "projects").select(F.col("owner_id").alias("principal_id"), "project_id")
+    same = A.reached(gone, members, grants).unionByName(owned).distinct().withColumn("keeps_project", F.lit(True))
+    grouped = members.join(grants.select("group_id").distinct(), "group_id", "left_semi").select("principal_id")
+    some = grouped.unionByName(owned.select("principal_id")).distinct().withColumn("keeps_any", F.lit(True))
     return gone.join(same, ["principal_id", "project_id"], "left").join(some, "principal_id", "left").na.fill(False, ["keeps_project", "keeps_any"])
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.requirements import let
 from lodestone.sources.scratch import materialize
 
 
 def _runs(text: Column, n: Column) -> Column:
-    """The distinct runs of ``n`` characters, hashed; none if the text is shorter."""
+    """The distinct runs of ``n`` characters, hashed; none if the text is shorter. Characters are parted once, so that a long text costs no more a run than a short one."""
     places = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(text, i, n))))).otherwise(F.array().cast("array<bigint>"))
+    made = lambda chars: F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(chars, i, n))))
+    return F.when(F.length(text) >= n, let(F.split(text, ""), made)).otherwise(F.array().cast("array<bigint>"))
 
 
 def containments(needles: DataFrame, hays: DataFrame, on: list[str], needle: str, hay: str, text: str = "text", run: int = 12) -> DataFrame:

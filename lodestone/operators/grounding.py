@@ -77,7 +77,9 @@ def _exact(claims: DataFrame, documents: DataFrame, entries: DataFrame, found: D
     named = named.withColumns({"_docs": F.count("*").over(counts), "_own": F.count_if("_named").over(counts)})
     chosen = materialize(named.where(((F.col("_own") == 1) & F.col("_named")) | ((F.col("_own") != 1) & (F.col("_docs") == 1))).select(project, "claim", F.col("title").alias("_title")), "chosen")
     kept = needles.join(chosen.select(project, "claim"), [project, "claim"], "left_semi")
-    inside = containments(kept, found.select(project, "passage", F.col("key").alias("text")), [project], "claim", "passage")
+    # An excerpt is looked for in the passages of the document that it stands in, not in all of its project's.
+    near = found.join(chosen.select(project, F.col("_title").alias("title")).distinct(), [project, "title"], "left_semi")
+    inside = containments(kept, near.select(project, "passage", F.col("key").alias("text")), [project], "claim", "passage")
     met = inside.join(found, [project, "passage"]).join(chosen, [project, "claim"]).where(F.col("title") == F.col("_title")).join(claims.select(project, "claim", "_key", "_reference"), [project, "claim"])
     refers, longer = _refers(F.col("_reference"), compared(F.col("reference"))) | _refers(F.col("_reference"), compared(F.col("title"))), F.col("key") != F.col("_key")
     one = F.size(F.collect_set(F.when(F.col("structured"), F.col("reference"))).over(counts)) == 1
@@ -98,15 +100,20 @@ def _scored(claims: DataFrame, found: DataFrame, project: str) -> DataFrame:
     own = claims.withColumns({"_e": _tokens(F.col("_excerpt")), "_d": _tokens(F.concat_ws(" ", "title", "description"))})
     own = own.withColumns({"_need_e": F.least(F.lit(EXCERPT_HITS), F.greatest(F.lit(1), F.size("_e"))), "_need_d": F.least(F.lit(TEXT_HITS), F.greatest(F.lit(2), F.size("_d")))})
     own = materialize(own.select(project, "claim", "_e", "_d", "_need_e", "_need_d", "_reference"), "claims")
-    spoken = found.select(project, F.explode(F.array_distinct(F.split("key", " "))).alias("token")).groupBy(project, "token").agg(F.count("*").alias("_held"))
+    said = found.select(project, "passage", F.explode(F.array_distinct(F.split("key", " "))).alias("word"))
+    vocabulary = materialize(said.groupBy(project, "word").agg(F.count("*").alias("_held")), "vocabulary")
+    spoken = vocabulary.withColumnRenamed("word", "token")
     sides = [own.select(project, "claim", F.lit(k).alias("side"), F.col(f"_need_{k}").alias("need"), F.explode(f"_{k}").alias("token")) for k in ("e", "d")]
     each = sides[0].unionByName(sides[1]).groupBy(project, "claim", "side", "need", "token").agg(F.count("*").alias("times")).join(spoken, [project, "token"], "left")
     # Tokens may be passed over from the commonest on, as long as those passed over can't be hits enough.
     common = Window.partitionBy(project, "claim", "side").orderBy(F.desc(F.coalesce("_held", F.lit(0))), "token").rowsBetween(Window.unboundedPreceding, 0)
     sought = each.withColumn("_upto", F.sum("times").over(common)).where(F.col("_upto") >= F.col("need")).select(project, "claim", "token")
     sought = materialize(sought.distinct(), "sought")
-    held = containments(sought.select(project, "token", F.col("token").alias("text")).distinct(), found.select(project, "passage", F.col("key").alias("text")), [project], "token", "passage", run=5)
-    pairs = sought.join(held, [project, "token"]).select(project, "claim", "passage").distinct()
+    # A token has no space, so it stands in a passage if it stands in one of its words.
+    tokens, texts = sought.select(project, "token", F.col("token").alias("text")).distinct(), vocabulary.select(project, "word", F.col("word").alias("text"))
+    held = materialize(containments(tokens, texts, [project], "token", "word", run=5), "held")
+    named = materialize(sought.join(held, [project, "token"]).select(project, "claim", "word").distinct(), "named")
+    pairs = materialize(said.join(named, [project, "word"]).select(project, "claim", "passage").distinct(), "pairs")
     met = pairs.join(own, [project, "claim"]).join(found, [project, "passage"])
     hits = lambda c: F.size(F.filter(c, lambda t: F.contains(F.col("key"), t)))
     met = met.withColumns({"_he": hits("_e"), "_hd": hits("_d")}).where((F.col("_he") >= F.col("_need_e")) | (F.col("_hd") >= F.col("_need_d")))

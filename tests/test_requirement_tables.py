@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import requirements as R
+from lodestone.functions.language import page_text
 from lodestone.operators import explicit_tables as E
 from lodestone.operators.pages import page_list
+from lodestone.plans.registry import fixture
 
 # A table of 18 rows as its customer wrote it: identifier, category, requirement, instruction.
 ROWS = [
@@ -139,3 +141,16 @@ def test_signals_and_headings(spark):
     assert of(R.without_answer, "Kravet. Leverandørens besvarelse ja", "se svar i Leverandørens besvarelse ja", "uten") == ["Kravet.", "se svar i Leverandørens besvarelse ja", "uten"]
     assert of(R.is_numbered_heading, "7. Gjennomføring", "7) Gjennomføring", "7.1 Tjenesten skal", "7. Slutt!", "7. en to tre fire fem seks sju åtte ni", "Gjennomføring") == [True, False, False, False, False, False]
     assert of(R.clean_heading, "• Drift ID 2-04:", "Leverandørens besvarelse ID 2-04 – Drift og vakt") == ["Drift", "Drift og vakt"]
+
+
+def test_lines_without_chrome_are_only_tidied(spark):
+    """One look tells whether a line can have chrome; what it passes over is as the whole treatment leaves it."""
+    lines = ["  Det  skal\tleveres ", "RA - 12 B I L A G", "ra-ma", " Side 3 av 9", "se side 3 av 9 her", "KONFIDENSIELL", "a–b", "x\ny", "12 TIL SSA-D 2024", "VEDLEGG AB / 1", "Bra", "", "Side"]
+    found = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").orderBy("i").select(page_text(F.col("t"))).collect()]
+    assert found == ["Det skal leveres", "", "ra-ma", "", "se her", "", "a-b", "x y", "", "", "Bra", "", "Side"]
+
+
+def test_lines_are_numbered_once(spark, sf):
+    """The ten branches of the glyphs share one numbering of lines (before: each sorted the lines anew)."""
+    plan = fixture(spark, sf, "glyph_rows")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.language import page_text
+from lodestone.functions.requirements import let
 from lodestone.operators.containment import containments
 from lodestone.session import ship
 from lodestone.sources.scratch import materialize
@@ -133,10 +134,11 @@ def source_offsets(text: Column, values: Column) -> Column:
     def step(state: Column, value: Column) -> Column:
         def found(needle: Column) -> Column:
             lead = F.array_join(F.slice(F.split(needle, " "), 1, LEAD_WORDS), " ")
-            search = lambda x: F.nullif(F.call_function("locate", x, state["text"], state["cursor"] + 1), F.lit(0))
+            search = lambda x: let(F.call_function("locate", x, state["text"], state["cursor"] + 1), lambda p: F.when(p > 0, p))
             whole = F.when(needle != "", search(needle))
-            at = F.coalesce(whole, F.when((needle != "") & (F.length(lead) >= LEAD_CHARS), search(lead))) - 1
-            return F.struct(state["text"].alias("text"), F.coalesce(at + F.length(needle), state["cursor"]).alias("cursor"), F.concat(state["out"], F.array(at)).alias("out"))
+            first = F.coalesce(whole, F.when((needle != "") & (F.length(lead) >= LEAD_CHARS), search(lead))) - 1
+            made = lambda at: F.struct(state["text"].alias("text"), F.coalesce(at + F.length(needle), state["cursor"]).alias("cursor"), F.concat(state["out"], F.array(at)).alias("out"))
+            return let(first, made)  # each search is made once
 
         return F.element_at(F.transform(F.array(F.lower(page_text(value))), found), 1)
 

@@ -25,3 +25,19 @@ def test_pages_are_no_groups_of_their_own(spark):
     """Before: a Pandas frame a page."""
     plan = glyph_lines(spark.range(5).select(F.col("id").alias("page"), F.lit(1).alias("item_no"), *[F.lit(1.0).alias(c) for c in ("x", "y", "width")], F.lit("a").alias("text")), "page")
     assert "FlatMapGroups" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_place_is_searched_once(spark):
+    """A value is sought whole and by its beginning, once each (before: each search stood in the plan several times)."""
+    from lodestone.operators.alignment import source_offsets
+
+    df = spark.createDataFrame([("en to tre", ["to", "tre", "to"])], "t string, v array<string>").select(source_offsets(F.col("t"), F.col("v")).alias("o"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("locate(") <= 2 and df.first()["o"] == [3, 6, None]
+
+
+def test_sketch_and_exact_count_are_apart(spark, sf):
+    """Before: one aggregation of both, which keeps a sketch for every pair of type and user."""
+    from lodestone.plans.catalog import QUERIES
+
+    plan = QUERIES["approximate_users"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "user_id" in line.split("functions=")[0]]

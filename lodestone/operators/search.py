@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.requirements import let
 from lodestone.functions.text import comparable
 from lodestone.operators import retrieval as R
 from lodestone.session import map_arrow
@@ -20,7 +21,7 @@ KIND_BOOST = {
     "answer_cell": 2.0, "risk": 1.5, "commercial_term": 1.5, "architecture_signal": 1.5,
 }
 # Patterns of terms that a search must match exactly. Word limits are ASCII ones.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+EDGE = r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
 EXACT_TERMS = [
     r"[A-ZÆØÅ]{1,10}-?\d{1,5}(?:\.\d+)*",
     r"[A-ZÆØÅ]{2,12}(?:/[A-ZÆØÅ]{2,12})?",
@@ -95,12 +96,14 @@ def keyword_ranked(chunks: DataFrame, id_column: str, text: str, query: str, lim
 
 def exact_terms(text: Column, limit: int = 36) -> Column:
     """Terms to match exactly, in the order of the patterns, each once whatever its case."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(EDGE + p + EDGE), 0) for p in EXACT_TERMS)))
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?={p[: p.index(']') + 1]})" * p.startswith("[") + EDGE + p + EDGE), 0) for p in EXACT_TERMS)))
     fit = F.filter(found, lambda t: (F.length(t) >= 2) & (F.length(t) <= 80) & ~t.rlike(r"^\d+$") & ~t.rlike(PAGE_REFERENCE))
     tidy = F.filter(F.transform(fit, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
-    keys = F.transform(tidy, F.lower)
-    first = F.filter(F.transform(tidy, lambda t, i: F.struct(t.alias("t"), (F.array_position(keys, F.lower(t)) == i + 1).alias("first"))), lambda s: s["first"])
-    return F.slice(F.transform(first, lambda s: s["t"]), 1, limit)
+
+    def first(ts: Column, keys: Column) -> Column:
+        return F.transform(F.slice(F.array_distinct(keys), 1, limit), lambda k: F.get(ts, F.array_position(keys, k).cast("int") - 1))
+
+    return let(tidy, lambda ts: let(F.transform(ts, F.lower), lambda keys: first(ts, keys)))
 
 
 def structured_mode(question: Column, broad_terms: list[str], hints: Column) -> Column:

@@ -10,6 +10,7 @@ from lodestone.operators import documents as D
 from lodestone.operators import guards as G
 from lodestone.operators import pages as P
 from lodestone.operators import search as S
+from lodestone.plans.catalog import QUERIES
 from lodestone.sources.tables import table
 
 
@@ -86,3 +87,17 @@ def test_assessments(spark):
 def test_requirement_ids_have_one_form(spark):
     form = lambda x: one(spark, x, L.normalized_requirement_id(F.col("t")))[0]
     assert [form(x) for x in ("krav nr. 4 . 2", "id12 – 3a", "req - 7", "fun-a01")] == ["Krav 4.2", "ID 12-3a", "REQ-7", "FUN-A01"]
+
+
+def test_exact_terms_of_a_long_text(spark):
+    """The first 36 terms whatever their case, from a text of many; its patterns are searched once (before: once for each term found)."""
+    text = " ".join(f"K-{i % 4000} Ord-{i} ORD-{i % 50}" for i in range(20_000))
+    rows = spark.createDataFrame([(text,), (None,), ("ABC abc-d ABC-D 12 timer Side 3",)], "t string").select(S.exact_terms(F.col("t")).alias("x")).collect()
+    assert rows[0].x[:36] == [x for i in range(18) for x in (f"K-{i}", f"ORD-{i}")] and rows[1].x is None
+    assert rows[2].x == ["ABC", "abc-d", "12 timer"]
+
+
+def test_requirement_ids_are_found_once(spark, sf):
+    """Both columns read one list (before: the text was searched for each)."""
+    plan = QUERIES["requirement_ids"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1

@@ -106,9 +106,9 @@ def inventory_state(expected: DataFrame, actual: DataFrame, key: str, order: str
 
 def ledger_context(rows: DataFrame, key: str, order: list[str], label: str, text: str, most: int, chars: int = 420) -> DataFrame:
     """``key, context``: the first rows of each ledger as lines, long texts cut, with how many were left out."""
-    placed = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    line = F.concat(F.lit("- "), label, F.lit(": "), F.substring(text, 1, chars))
-    kept = placed.where(F.col("_k") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+    line = F.concat(F.lit("- "), label, F.lit(": "), F.substring(text, 1, chars)).alias("_l")  # only what is shown is shuffled and sorted
+    placed = rows.select(key, *[c for c in order if c != key], line).withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    kept = placed.where(F.col("_k") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col("_l").alias("l")))), lambda x: x["l"]), "\n").alias("context"))
     total = rows.groupBy(key).agg(F.count("*").alias("_n"))
     rest = F.when(F.col("_n") > most, F.concat(F.lit("\n… "), (F.col("_n") - most).cast("string"), F.lit(" til"))).otherwise("")
     return kept.join(total, key).select(key, F.concat("context", rest).alias("context"))

@@ -101,3 +101,9 @@ def test_requirement_ids_are_found_once(spark, sf):
     """Both columns read one list (before: the text was searched for each)."""
     plan = QUERIES["requirement_ids"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_ledger_contexts_carry_only_what_is_shown(spark, sf):
+    """Texts are cut before the rows are shuffled and sorted (before: after both)."""
+    plan = QUERIES["ledger_contexts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "420)" in plan.rsplit("Window [", 1)[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.sources.scans import glyph_lines
+from lodestone.sources.scans import glyph_lines, table_rows
 
 SCHEMA = "page long, item_no int, x double, y double, width double, text string"
 
@@ -41,3 +41,21 @@ def test_sketch_and_exact_count_are_apart(spark, sf):
 
     plan = QUERIES["approximate_users"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "user_id" in line.split("functions=")[0]]
+
+
+def test_a_layout_table_is_read_in_its_own_row(spark):
+    """Before: cells were windowed, grouped and joined with their names, and the JSON was parsed for both sides of that join."""
+    import json
+
+    cell = lambda text, row, col, head=False: {"text": text, "start_row_offset_idx": row, "start_col_offset_idx": col, "column_header": head}
+    tables = {
+        1: [cell(" a\n b", 0, 0), cell("A b", 0, 7), cell("", 0, 3), cell("x", 2, 7), cell("y", 2, 3), cell("z", 2, 7), cell("", 2, 0), cell(None, 4, 3), cell("w", 4, 0), cell("lost", None, 1)],
+        2: [cell("n", 1, 1, True), cell("m", 0, 1, True), cell("v", 0, 2), cell("u", 5, 1), cell("t", 3, 2)],
+        3: [cell("alone", 9, 4)],
+        4: [],
+    }
+    rows = [(k, json.dumps({"table_cells": v})) for k, v in tables.items()] + [(3, json.dumps({"table_cells": [cell("more", 11, 2)]})), (5, "{"), (6, None)]
+    df = table_rows(spark.createDataFrame(rows, "id long, j string").repartition(3), "id", "j")
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2, "Kolonne 2: y | A b 2: x z"), (1, 4, "a b: w"), (2, 3, "v: t"), (2, 5, "m n: u"), (3, 11, "Kolonne 1: more")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "Window" not in plan and "Join" not in plan

@@ -30,12 +30,12 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ from lodestone.sources.scratch import scratch_path
 
 SCHEMA = "part int, shard int, offset long, n_tokens long, vocabulary int, rules binary, lengths binary, sequence binary, doc_ids array<long>, doc_tokens array<long>"
 #: White space on which Python and the tokenizer might differ.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u200c\u200d\u2060\ufeff"
 #: Marks that part from letters before them as one run; an apostrophe may not.
 MARKS = string.punctuation.replace("'", "")
 WORD_END = "</w>"
@@ -86,7 +86,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.words: dict[str, bytes] = {}
+        self._forget()
         parts = json.loads(spec)
         self.by_words = (
             all(parts[k] == v for k, v in CUT_AT_SPACE.items())
@@ -98,43 +98,49 @@ class Encoder:
             parts["normalizer"], parts["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
             self.letters = Tokenizer.from_str(json.dumps(parts))
 
+    def _forget(self) -> None:
+        """Drops all kept words: their numbers, and their ids, which stand one word's behind another's."""
+        self.words: dict[str, int] = {}
+        self.ids, self.bounds = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spelled(self, cores: list[str], run: int = 256) -> list[bytes]:
-        """Ids of words of letters only, encoded in runs and told apart by the last token of each."""
+    def _spelled(self, cores: list[str], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only and where each word's end, encoded in runs and told apart by the last token of each."""
         runs = [" ".join(cores[i : i + run]) for i in range(0, len(cores), run)]
         raw = np.array([i for e in self.letters.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], np.uint32)
-        ends = (np.flatnonzero(self.ends[raw]) + 1).tolist()
-        if len(ends) != len(cores):
-            return self._direct(cores)
-        raw = raw.tobytes()
-        return [raw[4 * a : 4 * z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+        ends = np.flatnonzero(self.ends[raw]) + 1
+        return (raw, ends) if len(ends) == len(cores) else self._whole(cores)
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = self._direct(words)
+        return np.frombuffer(b"".join(coded), np.uint32), np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // 4
 
     def _learn(self, words: list[str]) -> None:
-        """A word of letters with marks behind it is the word and its marks, as the tokenizer parts letters from marks."""
-        split, letters, others = [], {}, {}
-        for word in words:
-            core = word.rstrip(MARKS)
-            if not core.isalpha():
-                others[word] = None
-                continue
-            if core not in self.words:
-                letters[core] = None
-            if len(core) < len(word):
-                split.append((word, core, marks := word[len(core) :]))
-                if marks not in self.words:
-                    others[marks] = None
-        if letters:
-            self.words.update(zip(letters, self._spelled(list(letters)), strict=True))
-        if others:
-            self.words.update(zip(others, self._direct(list(others)), strict=True))
-        for word, core, marks in split:
-            self.words[word] = self.words[core] + self.words[marks]
+        """Keeps the ids of words by number."""
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        for some, how in ((letters, self._spelled), (others, self._whole)):
+            if some:
+                ids, ends = how(some)
+                self.words.update(zip(some, range(len(self.words), len(self.words) + len(some)), strict=True))
+                self.bounds.append(self.bounds[-1][-1] + ends)
+                self.ids.append(ids)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Where each word's ids are kept; what is not known is learnt."""
+        numbers = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(numbers < 0)
+        if len(at):
+            new = [words[i] for i in at.tolist()]
+            self._learn(new)
+            numbers[at] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+        return numbers
 
     def _lowered(self, text: str) -> str | None:
         """A text whose words are encoded by themselves, in lower case; None if it must be encoded whole."""
-        if not self.by_words or "<|" in text or ODD_SPACE.search(text):
+        if not self.by_words or "<|" in text or any(c in text for c in ODD_SPACE):
             return None
         if text.isascii():
             return text.lower()
@@ -143,25 +149,35 @@ class Encoder:
         return None
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
-        """Ids of lowered texts: Arrow cuts them and numbers their distinct words, which are looked up once; ids are then gathered by number."""
+        """Ids of lowered texts: Arrow cuts them and numbers their distinct words, which are looked up once; ids are then gathered by number.
+
+        A word of letters with marks behind it is the word and its marks, as the tokenizer parts letters from marks.
+        """
         cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         numbered = cut.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        new = [w for w in words if w not in self.words]
-        if new:
-            if len(self.words) + 2 * len(new) > CACHE:
-                self.words.clear()
-                new = words
-            self.words[""] = b""  # stands before and behind white space at a text's ends
-            self._learn([w for w in new if w])
-        coded = [self.words[w] for w in words]
-        ids, sizes = np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        number = numbered.indices.to_numpy()
-        n = sizes[number]
-        ends = np.cumsum(n)
-        first = (np.cumsum(sizes) - sizes)[number] - (ends - n)
-        flat = ids[np.repeat(first, n) + np.arange(len(first) and ends[-1])].tobytes()
-        bounds = (4 * np.r_[0, ends][cut.offsets.to_numpy()]).tolist()
+        words = numbered.dictionary
+        if len(self.words) + len(words) > CACHE:
+            self._forget()
+        bare = pc.ascii_rtrim(words, MARKS)
+        marks = pc.subtract(pc.binary_length(words), pc.binary_length(bare)).to_numpy()
+        cores = bare.dictionary_encode()
+        core, spelled = cores.indices.to_numpy(), cores.dictionary.to_pylist()
+        alpha = np.fromiter(map(str.isalpha, spelled), bool, len(spelled))
+        apart = np.flatnonzero(alpha[core] & (marks > 0))
+        whole = np.flatnonzero(~alpha[core])
+        # Two pieces a word: its letters, or all of it, and its marks, or nothing. "" also stands before and behind white space at a text's ends.
+        pieces = np.full((len(words), 2), self._numbers([""])[0])
+        at = np.zeros(len(spelled), np.int64)
+        at[alpha] = self._numbers([w for w, a in zip(spelled, alpha.tolist(), strict=True) if a])
+        pieces[:, 0] = at[core]
+        pieces[whole, 0] = self._numbers(words.take(pa.array(whole)).to_pylist())
+        tails = pa.array([w[-n:] for w, n in zip(words.take(pa.array(apart)).to_pylist(), marks[apart].tolist(), strict=True)], pa.large_string()).dictionary_encode()
+        pieces[apart, 1] = self._numbers(tails.dictionary.to_pylist())[tails.indices.to_numpy()]
+        self.ids, self.bounds = [np.concatenate(self.ids)], [np.concatenate(self.bounds)]
+        ids, sizes = _gathered(self.ids[0], self.bounds[0], pieces.ravel())
+        ids, sizes = _gathered(ids, np.r_[0, np.cumsum(sizes.reshape(-1, 2).sum(1))], numbered.indices.to_numpy())
+        flat = ids.tobytes()
+        bounds = (4 * np.r_[0, np.cumsum(sizes)][cut.offsets.to_numpy()]).tolist()
         return [flat[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -172,46 +188,61 @@ class Encoder:
         return [next(whole) if s is None else next(parts) for s in low]
 
 
+def _gathered(values: np.ndarray, bounds: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` between ``bounds`` that ``number`` names, one behind another, and their sizes."""
+    sizes = np.diff(bounds)[number]
+    ends = np.cumsum(sizes)
+    return values[np.repeat(bounds[number] - (ends - sizes), sizes) + np.arange(len(ends) and ends[-1])], sizes
+
+
 @lru_cache(maxsize=1)
 def encoder(spec: str) -> Encoder:
     """One a Python worker, so that later tasks find the words of earlier ones."""
     return Encoder(spec)
 
 
-def _occurrences(keys: np.ndarray, limit: int, load: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys that occur ``limit`` times, and place and rank of each of their occurrences, in order of place.
-
-    load: occurrences by hash slot, so that only keys that can be frequent are sorted.
-    """
-    maybe = np.flatnonzero((load >= limit)[slot])
-    order = np.argsort(keys[maybe])
-    ordered = keys[maybe][order]
+def _occurrences(keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that occur ``limit`` times, and place and rank of each of their occurrences, in order of place."""
+    order = np.argsort(keys)
+    ordered = keys[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
     count = np.diff(np.r_[first, len(ordered)])
     often = count >= limit
-    at, rank = maybe[order[np.repeat(often, count)]], np.repeat(np.arange(often.sum()), count[often])
-    back = np.argsort(at)
-    return ordered[first[often]], at[back], rank[back]
+    rank = np.full(len(keys), -1, np.int32)
+    rank[order[np.repeat(often, count)]] = np.repeat(np.arange(often.sum(), dtype=np.int32), count[often])
+    at = np.flatnonzero(rank >= 0)
+    return ordered[first[often]], at, rank[at]
+
+
+def _slots(sequence: np.ndarray) -> np.ndarray:
+    """A hash slot below 2 ** 20 of every pair of neighbours."""
+    mixed = (sequence[:-1] * np.uint32(0x9E3779B1) + sequence[1:]) * np.uint32(0x85EBCA77)
+    return (mixed ^ mixed >> np.uint32(15)) * np.uint32(0xC2B2AE3D) >> np.uint32(12)
 
 
 def compress(ids: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (k, 2), expansion lengths (k) and the sequence left, all unsigned 32-bit.
 
-    Ends when no pair can be replaced ``least - 1`` times.
+    Ends when no pair can be replaced ``least - 1`` times. A round sorts only
+    pairs that can be frequent: by their hash slot's load, and once a round has
+    gone down to ``least``, those that were frequent then or hold a new symbol.
     """
     sequence = np.asarray(ids, np.uint32)
     rules: list[np.ndarray] = []
-    sizes, made, limit = np.ones(vocabulary, np.uint32), 0, None
+    sizes, made, limit, places = np.ones(vocabulary, np.uint32), 0, None, None
     while len(sequence) >= 2:
-        keys = sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
-        load = np.bincount(slot, minlength=1 << 20)
-        limit = max(least, int(load.max()) // 4) if limit is None else limit
-        chosen, at, rank = _occurrences(keys, limit, load, slot)
+        if places is None:
+            slot = _slots(sequence)
+            load = np.bincount(slot, minlength=1 << 20)
+            limit = max(least, int(load.max()) // 4) if limit is None else limit
+            places = np.flatnonzero((load >= limit)[slot])
+        chosen, at, rank = _occurrences(sequence[places].astype(np.uint64) << np.uint64(32) | sequence[places + 1], limit)
+        found = at = places[at]
         run = np.flatnonzero(np.r_[True, np.diff(at) != 1][: len(at)])
         take = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0  # neighbours overlap: every other one
         at, rank = at[take], rank[take]
         keep = np.bincount(rank, minlength=len(chosen)) >= least - 1
+        places = None
         if keep.any():
             symbol = vocabulary + made + np.cumsum(keep) - 1
             at, rank = at[keep[rank]], rank[keep[rank]]
@@ -224,23 +255,44 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarr
             sequence = sequence.copy()
             sequence[at] = symbol[rank]
             sequence = sequence[stays]
+            if limit == least:
+                moved = np.cumsum(stays) - 1
+                new = moved[at]
+                near = np.zeros(len(sequence) + 1, bool)  # one more, for the place before the first
+                near[moved[found[stays[found]]]] = near[new] = near[new - 1] = True
+                places = np.flatnonzero(near[: len(sequence) - 1])
         elif limit == least:
             break
         limit = max(least, limit // 4)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), sizes[vocabulary:], sequence
 
 
-def expand(sequence: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The ids that a sequence of symbols stands for."""
-    while True:
+def expand(sequence: np.ndarray, rules: np.ndarray, vocabulary: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that a sequence of symbols stands for. lengths: of the rules, as ``compress`` gives them; else counted here.
+
+    Every symbol is put at its own place, so a step handles only what is not an id yet.
+    """
+    if lengths is None:
+        sizes = [1] * vocabulary
+        for left, right in rules.tolist():
+            sizes.append(sizes[left] + sizes[right])
+        lengths = np.array(sizes[vocabulary:], np.int64)
+    size = np.ones(len(sequence), np.int64)
+    inner = sequence >= vocabulary
+    size[inner] = lengths[sequence[inner] - vocabulary]
+    ends = np.cumsum(size)
+    at = ends - size
+    out = np.empty(len(ends) and int(ends[-1]), np.uint32)
+    while len(sequence):
         inner = sequence >= vocabulary
-        if not inner.any():
-            return sequence
-        at = np.cumsum(1 + inner) - 1 - inner
-        out = np.repeat(sequence, 1 + inner)
-        pair = rules[sequence[inner] - vocabulary]
-        out[at[inner]], out[at[inner] + 1] = pair[:, 0], pair[:, 1]
-        sequence = out
+        out[at[~inner]] = sequence[~inner]
+        at, pair = at[inner], rules[sequence[inner] - vocabulary]
+        left = pair[:, 0]
+        behind = np.ones(len(at), np.int64)
+        deeper = left >= vocabulary
+        behind[deeper] = lengths[left[deeper] - vocabulary]
+        sequence, at = np.concatenate([left, pair[:, 1]]), np.concatenate([at, at + behind])
+    return out
 
 
 class Ranges:
@@ -250,9 +302,10 @@ class Ranges:
         self.vocabulary = row["vocabulary"]
         self.rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
         self.sequence = np.frombuffer(row["sequence"], np.uint32)
+        self.lengths = np.frombuffer(row["lengths"], np.uint32)
         size = np.ones(len(self.sequence), np.int64)
         inner = self.sequence >= self.vocabulary
-        size[inner] = np.frombuffer(row["lengths"], np.uint32)[self.sequence[inner] - self.vocabulary]
+        size[inner] = self.lengths[self.sequence[inner] - self.vocabulary]
         self.ends = np.cumsum(size)
 
     def __call__(self, start: int, stop: int) -> np.ndarray:
@@ -261,10 +314,10 @@ class Ranges:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
         skip = start - (int(self.ends[a - 1]) if a else 0)
-        return expand(self.sequence[a:b], self.rules, self.vocabulary)[skip : skip + stop - start]
+        return expand(self.sequence[a:b], self.rules, self.vocabulary, self.lengths)[skip : skip + stop - start]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], own: Encoder, chars: int = 1 << 22) -> Iterator[tuple]:
+def encoded(batches: Iterator[pa.RecordBatch], own: Encoder, chars: int = 1 << 23) -> Iterator[tuple]:
     """doc_id and ids of every row, encoded by runs of rows of about so many characters."""
     docs: list = []
     texts: list[str] = []

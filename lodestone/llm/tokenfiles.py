@@ -35,7 +35,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,8 @@ MARKS = string.punctuation.replace("'", "")
 WORD_END = "</w>"
 CACHE = 800_000
 PART_BYTES = 256 << 20
+#: A count that few of 2 ** 16 hash slots reach by chance with the pairs of a shard.
+CROWD = 128
 NORMAL = unicodedata.is_normalized
 #: The set-up for which a text may be cut at white space and letters told from marks. Fixed values.
 CUT_AT_SPACE = {
@@ -109,7 +111,7 @@ class Encoder:
     def _spelled(self, cores: list[str], run: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters only and where each word's end, encoded in runs and told apart by the last token of each."""
         runs = [" ".join(cores[i : i + run]) for i in range(0, len(cores), run)]
-        raw = np.array([i for e in self.letters.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], np.uint32)
+        raw = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
         ends = np.flatnonzero(self.ends[raw]) + 1
         return (raw, ends) if len(ends) == len(cores) else self._whole(cores)
 
@@ -161,7 +163,7 @@ class Encoder:
         bare = pc.ascii_rtrim(words, MARKS)
         marks = pc.subtract(pc.binary_length(words), pc.binary_length(bare)).to_numpy()
         cores = bare.dictionary_encode()
-        core, spelled = cores.indices.to_numpy(), cores.dictionary.to_pylist()
+        core, spelled = cores.indices.to_numpy(), _strings(cores.dictionary)
         alpha = np.fromiter(map(str.isalpha, spelled), bool, len(spelled))
         apart = np.flatnonzero(alpha[core] & (marks > 0))
         whole = np.flatnonzero(~alpha[core])
@@ -170,9 +172,9 @@ class Encoder:
         at = np.zeros(len(spelled), np.int64)
         at[alpha] = self._numbers([w for w, a in zip(spelled, alpha.tolist(), strict=True) if a])
         pieces[:, 0] = at[core]
-        pieces[whole, 0] = self._numbers(words.take(pa.array(whole)).to_pylist())
-        tails = pa.array([w[-n:] for w, n in zip(words.take(pa.array(apart)).to_pylist(), marks[apart].tolist(), strict=True)], pa.large_string()).dictionary_encode()
-        pieces[apart, 1] = self._numbers(tails.dictionary.to_pylist())[tails.indices.to_numpy()]
+        pieces[whole, 0] = self._numbers(_strings(words.take(pa.array(whole))))
+        tails = _tails(words, apart, marks[apart]).dictionary_encode()
+        pieces[apart, 1] = self._numbers(_strings(tails.dictionary))[tails.indices.to_numpy()]
         self.ids, self.bounds = [np.concatenate(self.ids)], [np.concatenate(self.bounds)]
         ids, sizes = _gathered(self.ids[0], self.bounds[0], pieces.ravel())
         ids, sizes = _gathered(ids, np.r_[0, np.cumsum(sizes.reshape(-1, 2).sum(1))], numbered.indices.to_numpy())
@@ -192,7 +194,24 @@ def _gathered(values: np.ndarray, bounds: np.ndarray, number: np.ndarray) -> tup
     """The runs of ``values`` between ``bounds`` that ``number`` names, one behind another, and their sizes."""
     sizes = np.diff(bounds)[number]
     ends = np.cumsum(sizes)
-    return values[np.repeat(bounds[number] - (ends - sizes), sizes) + np.arange(len(ends) and ends[-1])], sizes
+    at = np.repeat(bounds[number] - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return values[at], sizes
+
+
+def _strings(words: pa.LargeStringArray) -> list[str]:
+    """As ``to_pylist``, without a scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _tails(words: pa.LargeStringArray, number: np.ndarray, sizes: np.ndarray) -> pa.LargeStringArray:
+    """The last ``sizes`` bytes of the words that ``number`` names, cut out of the array's own buffer."""
+    _, offsets, data = words.buffers()
+    stops = np.frombuffer(offsets, np.int64)[words.offset + 1 :][number]
+    ends = np.cumsum(sizes)
+    at = np.repeat(stops - ends, sizes)
+    at += np.arange(len(at))
+    return pa.LargeStringArray.from_buffers(len(number), pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(np.frombuffer(data or b"", np.uint8)[at]))
 
 
 @lru_cache(maxsize=1)
@@ -214,10 +233,10 @@ def _occurrences(keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray,
     return ordered[first[often]], at, rank[at]
 
 
-def _slots(sequence: np.ndarray) -> np.ndarray:
-    """A hash slot below 2 ** 20 of every pair of neighbours."""
+def _slots(sequence: np.ndarray, bits: int) -> np.ndarray:
+    """A hash slot below 2 ** ``bits`` of every pair of neighbours."""
     mixed = (sequence[:-1] * np.uint32(0x9E3779B1) + sequence[1:]) * np.uint32(0x85EBCA77)
-    return (mixed ^ mixed >> np.uint32(15)) * np.uint32(0xC2B2AE3D) >> np.uint32(12)
+    return ((mixed ^ mixed >> np.uint32(15)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)).astype(np.intp)
 
 
 def compress(ids: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,8 +251,9 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarr
     sizes, made, limit, places = np.ones(vocabulary, np.uint32), 0, None, None
     while len(sequence) >= 2:
         if places is None:
-            slot = _slots(sequence)
-            load = np.bincount(slot, minlength=1 << 20)
+            bits = 20 if limit is None or limit < CROWD else 16  # so few slots stay in the processor's cache
+            slot = _slots(sequence, bits)
+            load = np.bincount(slot, minlength=1 << bits)
             limit = max(least, int(load.max()) // 4) if limit is None else limit
             places = np.flatnonzero((load >= limit)[slot])
         chosen, at, rank = _occurrences(sequence[places].astype(np.uint64) << np.uint64(32) | sequence[places + 1], limit)
@@ -252,11 +272,12 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarr
             made += len(pair)
             stays = np.ones(len(sequence), bool)
             stays[at + 1] = False
-            sequence = sequence.copy()
+            sequence = sequence.copy() if len(rules) == 1 else sequence  # the caller's, then an own one
             sequence[at] = symbol[rank]
             sequence = sequence[stays]
             if limit == least:
-                moved = np.cumsum(stays) - 1
+                moved = np.cumsum(stays, dtype=np.int32)
+                moved -= 1
                 new = moved[at]
                 near = np.zeros(len(sequence) + 1, bool)  # one more, for the place before the first
                 near[moved[found[stays[found]]]] = near[new] = near[new - 1] = True
@@ -296,9 +317,14 @@ def expand(sequence: np.ndarray, rules: np.ndarray, vocabulary: int, lengths: np
 
 
 class Ranges:
-    """Random access to the tokens of one shard."""
+    """Random access to the tokens of one shard.
+
+    ahead: expand every rule once, for many ranges. A round's rules stand for
+    runs that lie apart, each found three times at least, so that this is at
+    most a third of the shard's ids a round.
+    """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, ahead: bool = False):
         self.vocabulary = row["vocabulary"]
         self.rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
         self.sequence = np.frombuffer(row["sequence"], np.uint32)
@@ -307,6 +333,13 @@ class Ranges:
         inner = self.sequence >= self.vocabulary
         size[inner] = self.lengths[self.sequence[inner] - self.vocabulary]
         self.ends = np.cumsum(size)
+        self.spelt = self._spelt() if ahead else None
+
+    def _spelt(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of every symbol, one's behind another's, and their bounds."""
+        rules = expand(np.arange(len(self.rules), dtype=np.uint32) + np.uint32(self.vocabulary), self.rules, self.vocabulary, self.lengths)
+        ends = self.vocabulary + np.cumsum(self.lengths, dtype=np.int64)
+        return np.r_[np.arange(self.vocabulary, dtype=np.uint32), rules], np.r_[np.arange(self.vocabulary + 1), ends]
 
     def __call__(self, start: int, stop: int) -> np.ndarray:
         """Tokens start to stop; only the symbols that overlap the range are expanded."""
@@ -314,7 +347,9 @@ class Ranges:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
         skip = start - (int(self.ends[a - 1]) if a else 0)
-        return expand(self.sequence[a:b], self.rules, self.vocabulary, self.lengths)[skip : skip + stop - start]
+        own = self.sequence[a:b]
+        ids = _gathered(*self.spelt, own)[0] if self.spelt else expand(own, self.rules, self.vocabulary, self.lengths)
+        return ids[skip : skip + stop - start]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], own: Encoder, chars: int = 1 << 23) -> Iterator[tuple]:
@@ -382,7 +417,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, shar
 
 def _documents(row: dict, group_tokens: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
     """Index and ids of each document of a shard, decoded by ranges of about ``group_tokens``."""
-    at, stops = Ranges(row), np.cumsum(row["doc_tokens"]).tolist()
+    at, stops = Ranges(row, ahead=True), np.cumsum(row["doc_tokens"]).tolist()
     low = i = 0
     while i < len(stops):
         k = i + 1

@@ -6,9 +6,11 @@ import json
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodestone.llm import tokenfiles
 from lodestone.llm.tokenfiles import SCHEMA, Encoder, Ranges, compress, expand, fetch, write
 from lodestone.sources.scratch import scratch_path
 from lodestone.sources.tables import table
@@ -33,6 +35,33 @@ def test_any_range_is_decoded():
             assert (at(a, b) == ids[a:b]).all(), (len(ids), a, b)
 
 
+def test_rules_are_expanded_once_a_shard(monkeypatch):
+    """Before: once more for every range of a shard that is read whole."""
+    rng = np.random.default_rng(5)
+    phrases = [rng.integers(0, 50, n).astype(np.uint32) for n in (3, 5, 9)]
+    ids = np.concatenate([phrases[i] for i in rng.integers(0, 3, 400)])
+    sizes = [7, 0, 300, 1, 40, *[13] * 20]
+    sizes.append(len(ids) - sum(sizes))
+    row, calls = shard(ids, 60) | {"doc_tokens": sizes}, []
+    monkeypatch.setattr(tokenfiles, "expand", lambda *x: calls.append(1) or expand(*x))
+    for rows in (row, shard(np.array([4, 5], np.uint32), 60) | {"doc_tokens": [2]}):
+        found = list(tokenfiles._documents(rows, group_tokens=50))
+        assert [len(x) for _, x in found] == rows["doc_tokens"] and len(calls) == 1
+        calls.clear()
+    assert (np.concatenate([x for _, x in tokenfiles._documents(row, group_tokens=50)]) == ids).all()
+
+
+def test_marks_behind_words_are_cut_out():
+    words = pa.array(["av", "ord...", "ø!?", "", "æøå,", "slutt)"], pa.large_string())
+    for low in (0, 1, 2):
+        at = np.array([1, 2, 4, 5]) - low
+        at = at[at >= 0]
+        sizes = np.array([{"ord...": 3, "ø!?": 2}.get(words[int(i) + low].as_py(), 1) for i in at])
+        want = [words[int(i) + low].as_py()[-int(n) :] for i, n in zip(at, sizes, strict=True)]
+        assert tokenfiles._tails(words.slice(low), at, sizes).to_pylist() == want
+    assert tokenfiles._tails(words, np.zeros(0, np.int64), np.zeros(0, np.int64)).to_pylist() == []
+
+
 def test_no_pair_is_left_that_repeats():
     rng = np.random.default_rng(4)
     passage = rng.integers(0, 900, 300).astype(np.uint32)

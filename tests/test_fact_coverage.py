@@ -44,3 +44,11 @@ def test_fields_of_the_own_analysis_and_category(spark):
     found = missing_facts(facts, fields, ["id"])
     assert sorted((r.id, r.field, r.fact, r.added) for r in found.collect()) == [(1, "solution", 1, "Dokumenterte krav: RTO 4 timer."), (2, "profile", 0, "Dokumenterte volumer: 5 hus.")]
     assert missing_facts(facts.limit(0), fields, ["id"]).count() == 0 and missing_facts(facts, fields.limit(0), ["id"]).count() == 0
+
+
+def test_values_are_judged_once(spark):
+    """Before: the filter on what is left was pushed into the join and judged every value once more."""
+    found = missing_facts(spark.createDataFrame([(1, 0, "scale", "Dokumenterte volumer: 3 hus; 4 hus")], FACTS), spark.createDataFrame([(1, "profile", "scale", "4 hus")], FIELDS), ["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("array_intersect" in line for line in plan.splitlines()) == 1
+    assert [r.added for r in found.collect()] == ["Dokumenterte volumer: 3 hus."]

@@ -89,4 +89,4 @@ UNIQUE = r"""with recursive t as (
 @query(UNIQUE, ("list_items",))
 def unique_list_items(spark, d):
     """The items of every list that say nothing an earlier one, itself kept, has said."""
-    return S.unique_items(fixture(spark, d, "list_items"), ["list_id"], "item", "text").select("list_id", "item")
+    return S.kept_items(fixture(spark, d, "list_items"), ["list_id"], "item", "text")

@@ -14,6 +14,10 @@ from lodestone.sources.scratch import materialize
 
 #: Characters of a text that needs no identity, and of a beginning that stands for the whole; percent that it must be of the whole; letters of a stem.
 SHORT, PREFIX, RATIO, STEM = 160, 800, 80, 7
+#: Descriptions of each side from which on those of one key meet by scope.
+MANY = 1000
+OURS, THEIRS = "customer", "formal"
+WORDS = ["id", "text", "service", "heading"]
 # Words of a scope that tell nothing apart.
 GENERIC = ["dokument", "dokumentet", "krav", "kravene", "kravet", "leveranse", "leveransen", "leveransekrav", "tjeneste", "tjenesten"]
 # Words that change what is asked, by what they stand for.
@@ -112,27 +116,58 @@ def _shared(d: Column) -> Column:
     return F.filter(each, lambda s: F.size(s["words"]) > 0)
 
 
-def equivalents(ours: DataFrame, theirs: DataFrame, on: list[str]) -> DataFrame:
-    """``on, ours, theirs``: digests of descriptions that state the same requirement. Both sides have ``on, _digest, _d``, each description once.
+def _met(ours: DataFrame, theirs: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
+    """``ours, theirs`` that share a key ``_k``, once each. A key that many descriptions of both sides have brings only those together that have a scope in common."""
+    counts = ours.groupBy("_k").agg(F.count("*").alias("a")).join(theirs.groupBy("_k").agg(F.count("*").alias("b")), "_k")
+    counts = materialize(counts.select("_k", (F.least("a", "b") > MANY).alias("many")), "keys")
+    few, many = (counts.where(F.col("many") == m).select("_k") for m in (False, True))
+    met = ours.join(few, "_k").join(theirs, "_k").select("ours", "theirs")
+    if not many.isEmpty():
+        placed = lambda side, name: present.where(F.col("side") == name).join(side, F.col("_class") == F.col("ours" if name == OURS else "theirs")).join(many, "_k").drop("_class", "side")
+        met = met.unionByName(placed(ours, OURS).join(placed(theirs, THEIRS), [*on, "_k"]).select("ours", "theirs"))
+    return met.distinct()
 
-    Rows meet by their whole text, by its first 800 characters, or by labels in
-    common together with the text that is left without the labels' words. A
-    label by itself brings nothing together, so a service of thousands of rows
-    costs no pairs. The labels' words are those of ``ours``, whose spelling the
-    other side learns first.
+
+def equivalents(classes: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
+    """``ours, theirs``: classes of descriptions that state the same requirement, whatever their scopes. classes: ``_class, _d``; present: ``on, side, _class``, once each.
+
+    Descriptions meet by their whole text, by its first 800 characters, or by
+    labels in common together with the text that is left without the labels'
+    words. A label by itself brings nothing together, so a service of thousands
+    of rows costs no pairs. The labels' words are those of ours, whose spelling
+    the other side learns first. Two descriptions are compared once, in
+    however many scopes they meet.
     """
-    a = ours.select(*on, F.col("_digest").alias("ours"), F.col("_d").alias("a"))
-    b = theirs.select(*on, F.col("_digest").alias("theirs"), F.col("_d").alias("b"))
+    a, b = (materialize(classes.join(present.where(F.col("side") == name).select("_class").distinct(), "_class", "left_semi").select(F.col("_class").alias(as_), F.col("_d").alias(d)), as_) for name, as_, d in ((OURS, "ours", "a"), (THEIRS, "theirs", "b")))
     whole = lambda d: F.concat(F.array(F.xxhash64(F.lit("w"), d["compact"])), F.when(F.length(d["compact"]) >= PREFIX, F.array(F.xxhash64(F.lit("p"), F.left(d["compact"], F.lit(PREFIX))))).otherwise(F.array().cast("array<bigint>")))
-    by_text = a.select(*on, "ours", F.explode(whole(F.col("a"))).alias("_k")).join(b.select(*on, "theirs", F.explode(whole(F.col("b"))).alias("_k")), [*on, "_k"]).select(*on, "ours", "theirs")
-    own = a.select(*on, "ours", "a.canonical", F.explode(_shared(F.col("a"))).alias("_s")).select(*on, "ours", "_s.keys", "_s.words", F.xxhash64(_stripped(F.col("canonical"), F.col("_s.words"))).alias("_k"))
-    own = materialize(own, "labelled")
-    spelled = own.select(*on, "keys", "words").distinct()
-    other = b.select(*on, "theirs", "b.canonical", F.explode(_shared(F.col("b"))).alias("_s")).select(*on, "theirs", "canonical", F.col("_s.keys").alias("keys")).join(spelled, [*on, "keys"])
-    other = other.select(*on, "theirs", "keys", "words", F.xxhash64(_stripped(F.col("canonical"), F.col("words"))).alias("_k"))
-    by_label = own.join(other, [*on, "keys", "words", "_k"]).select(*on, "ours", "theirs")
-    met = by_text.unionByName(by_label).distinct().join(a, [*on, "ours"]).join(b, [*on, "theirs"])
-    return met.where(same_requirement(F.col("a"), F.col("b"))).select(*on, "ours", "theirs")
+    label = lambda keys, words, canonical: F.xxhash64(F.lit("l"), F.to_json(keys), F.to_json(words), _stripped(canonical, words))
+    own = a.select("ours", "a.canonical", F.explode(_shared(F.col("a"))).alias("_s")).select("ours", "canonical", "_s.keys", "_s.words")
+    spelled = materialize(own.select("keys", "words").distinct(), "spelled")
+    other = b.select("theirs", "b.canonical", F.explode(_shared(F.col("b"))).alias("_s")).select("theirs", "canonical", F.col("_s.keys").alias("keys")).join(spelled, "keys")
+    keyed = lambda side, of, d, by_label: materialize(side.select(of, F.explode(whole(F.col(d))).alias("_k")).unionByName(by_label.select(of, label(F.col("keys"), F.col("words"), F.col("canonical")).alias("_k"))).distinct(), "keyed")
+    met = materialize(_met(keyed(a, "ours", "a", own), keyed(b, "theirs", "b", other), present, on), "met")
+    both = met.join(a, "ours").join(b, "theirs")
+    return both.where(same_requirement(F.col("a"), F.col("b"))).select("ours", "theirs")
+
+
+def _alike(pairs: DataFrame, of: str, by: str, name: str) -> DataFrame:
+    """``of`` and ``name``, the smallest of those that pair with the same set of ``by``. Sets are told by their number and two digests."""
+    seen = F.struct(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(x), by)).alias(x) for x in ("x", "y")])
+    each = pairs.groupBy(of).agg(seen.alias("_set"))
+    return each.join(each.groupBy("_set").agg(F.min(of).alias(name)), "_set").select(of, name)
+
+
+def stated_sets(pairs: DataFrame, present: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``_class, set`` of ours, and ``on, set`` of the sets that a scope's formal rows state.
+
+    Classes of ours that the same formal ones state are one set, and formal
+    classes that state the same are one as well, so that a scope has no row for
+    every pair of its descriptions.
+    """
+    ours, theirs = materialize(_alike(pairs, "ours", "theirs", "set"), "sets"), materialize(_alike(pairs, "theirs", "ours", "of"), "sets")
+    links = materialize(pairs.join(ours, "ours").join(theirs, "theirs").select("of", "set").distinct(), "links")
+    formal = present.where(F.col("side") == THEIRS).join(theirs.withColumnRenamed("theirs", "_class"), "_class").select(*on, "of").distinct()
+    return ours.withColumnRenamed("ours", "_class"), materialize(formal.join(links, "of").select(*on, "set").distinct(), "stated")
 
 
 def same_requirement(a: Column, b: Column) -> Column:
@@ -157,20 +192,30 @@ def canonical_ledger(entries: DataFrame, on: list[str]) -> DataFrame:
 
     entries: ``on, doc, entry, side, id, service, heading, text``; side is
     ``customer``, ``formal`` or another, whose rows stay and drop nothing;
-    ``entry`` orders a document. Equal descriptions are compared once, however
-    many rows have them. A row without text raises an error, so that none is
-    lost unseen.
+    ``entry`` orders a document. Descriptions are made and compared once, however
+    many rows and scopes have them; rows are shuffled with their number, not
+    with their texts. A row without text raises an error, so that none is lost
+    unseen.
 
     Nulls and edges: null ids, services and headings are empty; repeated rows stand or fall together and keep their places; ties of ``entry``
     are ranked by id and text; texts of marks alone are like no other; an empty table gives an empty result.
     """
-    blank = entries.where(F.coalesce("text", F.lit("")).rlike(r"^[\s\p{Z}]*$"))
-    found = blank.select(F.concat_ws(":", F.col("doc").cast("string"), "id").alias("row")).agg(F.count("*").alias("n"), F.min("row").alias("first")).first()
-    if found["n"]:
+    mark = F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("-")) for c in WORDS]), 256))
+    # Numbered in the order in which id and text rank rows of one place.
+    words = entries.select(*WORDS).distinct().orderBy("id", "text").withColumn("_n", F.monotonically_increasing_id()).withColumn("_mark", mark)
+    words = materialize(words, "words")
+    blank = lambda df: df.where(F.coalesce("text", F.lit("")).rlike(r"^[\s\p{Z}]*$"))
+    if not blank(words).isEmpty():
+        found = blank(entries).select(F.concat_ws(":", F.col("doc").cast("string"), "id").alias("row")).agg(F.count("*").alias("n"), F.min("row").alias("first")).first()
         raise ValueError(f"{found['n']} requirement rows without text, such as {found['first']}")
-    rows = materialize(described(entries), "described")
-    side = lambda name: materialize(rows.where(F.col("side") == name).groupBy(*on, "_digest").agg(F.first("_d").alias("_d")), name)
-    stated = materialize(equivalents(side("customer"), side("formal"), on).select(*on, F.col("ours").alias("_digest"), F.lit("customer").alias("side")).distinct(), "stated")
-    kept = rows.join(stated, [*on, "_digest", "side"], "left_anti")
-    order = Window.partitionBy(*on, "doc").orderBy("entry", "id", "text")
-    return kept.withColumn("entry_order", F.row_number().over(order) - 1).select(*entries.columns, "entry_order")
+    known = materialize(described(words).select("_n", "_mark", "_d", "_digest"), "described")
+    classes = materialize(known.groupBy("_digest").agg(F.min("_n").alias("_class"), F.first("_d").alias("_d")), "classes")
+    numbers = materialize(known.select("_n", "_mark", "_digest").join(classes.select("_digest", "_class"), "_digest").drop("_digest"), "numbers")
+    rows = materialize(entries.withColumn("_mark", mark).drop(*WORDS).join(numbers, "_mark").drop("_mark"), "rows")
+    present = materialize(rows.where(F.col("side").isin(OURS, THEIRS)).select(*on, "side", "_class").distinct(), "present")
+    sets, stated = stated_sets(materialize(equivalents(classes.drop("_digest"), present, on), "pairs"), present, on)
+    ours = F.col("side").eqNullSafe(OURS)
+    kept = rows.where(~ours).unionByName(rows.where(ours).join(sets, "_class", "left").join(stated, [*on, "set"], "left_anti").select(*rows.columns))
+    order = Window.partitionBy(*on, "doc").orderBy("entry", "_n")
+    ranked = kept.withColumn("entry_order", F.row_number().over(order) - 1).drop("_class")
+    return ranked.join(words.drop("_mark"), "_n").select(*entries.columns, "entry_order")

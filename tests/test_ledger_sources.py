@@ -122,3 +122,23 @@ def test_every_pair_as_in_plain_python(spark):
         want += [(p, "customer", n, k) for k, n in enumerate(stays)] + [(p, "formal", n, n) for n in range(len(theirs[p::3]))]
         assert 0 < len(stays) < len(ours[p::2])
     assert kept(spark, rows) == want
+
+
+@pytest.mark.parametrize("many", [0, 1000])
+def test_descriptions_are_made_and_compared_once_for_all_scopes(spark, monkeypatch, many):
+    tables, write = {}, L.materialize
+
+    def noted(df, tag):
+        out = write(df, tag)
+        tables.setdefault(tag, []).append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(L, "materialize", noted)
+    monkeypatch.setattr(L, "MANY", many, raising=False)
+    text = lambda n: f"Leverandøren skal dokumentere punkt {n}"
+    rows = [(p, side, n, side, f"Drift - K-{n}", None, None, text(n)) for p in range(30) for side, step in (("customer", 1), ("formal", 2)) for n in range(0, 12, step) if side == "customer" or p < 20]
+    want = [(p, side, n, k) for p in range(30) for side in ("customer", "formal") for k, n in enumerate(range(0, 12, 2) if side == "formal" else [n for n in range(12) if n % 2 or p >= 20]) if side == "customer" or p < 20]
+    assert kept(spark, rows) == want
+    assert [n for _, n in tables["described"]] == [12]
+    assert [n for _, n in tables["pairs"]] == [6]
+    assert all("text" not in columns for columns, n in sum(tables.values(), []) if n > 100)

@@ -19,27 +19,42 @@ CONTAINED = 48  # characters from which a row may be matched by containment
 LEAD_WORDS, LEAD_CHARS = 12, 24
 
 
-def nearest_in_order(rows: list[int], entries: list[int]) -> list[tuple[int, int]]:
-    """Each row in turn takes the nearest free entry, the lower of two; all are alike. Both lists rise.
+class Free:
+    """Free entries, of which rows that rise take the nearest. Those below the row wait on a stack, those above in a queue, so that a step looks at two of them."""
+
+    def __init__(self) -> None:
+        self.entries: list[int] = []  # rising
+        self.below: list[int] = []
+        self.above = 0
+
+    def nearest(self, row: int) -> tuple[int, int] | None:
+        """``gap, entry`` of the nearest, the lower of two."""
+        upto = bisect.bisect_right(self.entries, row, self.above)
+        self.below.extend(self.entries[self.above : upto])
+        self.above = upto
+        down = [(row - self.below[-1], self.below[-1])] if self.below else []
+        up = [(self.entries[upto] - row, self.entries[upto])] if upto < len(self.entries) else []
+        return min(down + up, default=None)
+
+    def take(self, entry: int) -> None:
+        """Takes the entry that was the nearest."""
+        if self.below and self.below[-1] == entry:
+            self.below.pop()
+        else:
+            self.above += 1
 
-    Entries below the row wait on a stack, those above in a queue, so that a step looks at two of them.
-    """
-    below: list[int] = []
-    above = 0
+
+def nearest_in_order(rows: list[int], entries: list[int]) -> list[tuple[int, int]]:
+    """Each row in turn takes the nearest free entry, the lower of two; all are alike. Both lists rise."""
+    free = Free()
+    free.entries = entries
     out = []
     for row in rows:
-        upto = bisect.bisect_right(entries, row, above)
-        below.extend(entries[above:upto])
-        above = upto
-        down = below[-1] if below else None
-        up = entries[above] if above < len(entries) else None
-        if down is None and up is None:
+        found = free.nearest(row)
+        if not found:
             break
-        if up is None or (down is not None and row - down <= up - row):
-            out.append((row, below.pop()))
-        else:
-            out.append((row, up))
-            above += 1
+        free.take(found[1])
+        out.append((row, found[1]))
     return out
 
 
@@ -60,31 +75,59 @@ def _equal(rows: DataFrame, entries: DataFrame, doc: str) -> DataFrame:
     return single.unionByName(many)
 
 
-def first_come(pairs: DataFrame, doc: str) -> DataFrame:
-    """``doc, row, entry``: each row in turn takes its nearest free entry among its pairs, the lower of two.
+def fitting_texts(rows: DataFrame, entries: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    """``doc, row, kind`` of every kind of entries that a row fits, and ``doc, entry, kind``. Entries of one text are one kind.
 
-    Choices depend on all earlier ones of the document, so its pairs pass one
-    task in order; only the entries taken so far are kept there.
+    Which text lies in which is found once for two texts of a document, however many rows and entries have them.
+    """
+    own = materialize(rows.groupBy(doc, "text").agg(F.min("row").alias("own")), "texts")
+    kinds = materialize(entries.groupBy(doc, "text").agg(F.min("entry").alias("kind")), "kinds")
+    within = containments(kinds, own, [doc], "kind", "own").select(doc, "kind", "own")
+    around = containments(own, kinds, [doc], "own", "kind").select(doc, "kind", "own")
+    fits = materialize(within.unionByName(around).distinct(), "fits")
+    asked = rows.join(own.join(fits, [doc, "own"]).select(doc, "text", "kind"), [doc, "text"]).select(doc, "row", "kind")
+    offered = entries.join(kinds.join(fits.select(doc, "kind").distinct(), [doc, "kind"]), [doc, "text"]).select(doc, "entry", "kind")
+    return asked, offered
+
+
+def first_come(asked: DataFrame, offered: DataFrame, doc: str) -> DataFrame:
+    """``doc, row, entry``: each row in turn takes its nearest free entry among the kinds that it asks for, the lower of two.
+
+    asked: ``doc, row, kind``, offered: ``doc, entry, kind``. Choices depend on
+    all earlier ones of the document, so its rows pass one task in order; only
+    the places of its entries are kept there, and a row looks at two of a kind.
     """
-    kind = dict(pairs.dtypes)[doc]
-    placed = pairs.select(doc, "row", "entry", F.abs(F.col("entry") - F.col("row")).alias("gap"))
-    ordered = placed.repartition(doc).sortWithinPartitions(doc, "row", "gap", "entry")
+    key = dict(asked.dtypes)[doc]
+    either = offered.select(doc, F.lit(False).alias("asks"), F.col("entry").alias("place"), "kind").unionByName(asked.select(doc, F.lit(True).alias("asks"), F.col("row").alias("place"), "kind"))
+    ordered = either.repartition(doc).sortWithinPartitions(doc, "asks", "place", "kind")
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, done, taken = object(), None, set()
+        at, row, free, best = object(), None, {}, None
+
+        def settle(found: list[tuple]) -> None:
+            if best:
+                free[best[2]].take(best[1])
+                found.append((at, row, best[1]))
+
         for f in frames:
             found = []
-            for d, row, entry in zip(f[doc], f["row"], f["entry"], strict=True):
-                if d != at:
-                    at, done, taken = d, None, set()
-                if row != done and entry not in taken:
-                    done = row
-                    taken.add(entry)
-                    found.append((d, row, entry))
+            for d, asks, place, kind in zip(f[doc].tolist(), f["asks"].tolist(), f["place"].tolist(), f["kind"].tolist(), strict=True):
+                if d != at or place != row:
+                    settle(found)
+                    row, best = place, None
+                    if d != at:
+                        at, free = d, {}
+                if not asks:
+                    free.setdefault(kind, Free()).entries.append(place)
+                elif near := free[kind].nearest(place):
+                    best = min(best or (*near, kind), (*near, kind))
             yield pd.DataFrame(found, columns=[doc, "row", "entry"])
+        last: list[tuple] = []
+        settle(last)
+        yield pd.DataFrame(last, columns=[doc, "row", "entry"])
 
-    ship(pairs.sparkSession)
-    return ordered.mapInPandas(choose, f"{doc} {kind}, row int, entry int")
+    ship(asked.sparkSession)
+    return ordered.mapInPandas(choose, f"{doc} {key}, row int, entry int")
 
 
 def align(rows: DataFrame, entries: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
@@ -111,9 +154,7 @@ def align(rows: DataFrame, entries: DataFrame, doc: str) -> tuple[DataFrame, Dat
 
     matches.append(materialize(_equal(left(rows, "row"), left(entries, "entry"), doc), "unordered"))
     free_rows, free_entries = materialize(left(rows, "row").where(F.length("text") >= CONTAINED), "rows"), materialize(left(entries, "entry"), "entries")
-    within = containments(free_entries, free_rows, [doc], "entry", "row").select(doc, "row", "entry")
-    around = containments(free_rows, free_entries, [doc], "row", "entry").select(doc, "row", "entry")
-    matches.append(first_come(within.unionByName(around).distinct(), doc))
+    matches.append(first_come(*fitting_texts(free_rows, free_entries, doc), doc))
     kinds = zip(matches, ("ordered", "unordered", "fuzzy"), strict=True)
     found = None
     for m, kind in kinds:

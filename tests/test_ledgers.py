@@ -65,6 +65,25 @@ def test_alignment(spark):
         assert sorted(rest[c]) == over, c
 
 
+def test_copies_of_a_text_are_sought_once(spark, monkeypatch):
+    from lodestone.operators import containment
+
+    sizes, write = [], containment.materialize
+
+    def noted(df, tag):
+        out = write(df, tag)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(containment, "materialize", noted)
+    rng = random.Random(3)
+    own, other = [[rng.choice(words) for _ in range(120)] for words in ([LONG, LONG + " nå"], [LONG + " og mer", "og " + LONG, LONG[3:], "a"])]
+    found, _ = A.align(*(spark.createDataFrame([(1, i, t) for i, t in enumerate(side)], f"c int, {place} int, text string") for place, side in (("row", own), ("entry", other))), "c")
+    wanted, _ = aligned(own, other)
+    assert {r.row: (r.entry, r.kind) for r in found.where("entry is not null").collect()} == wanted
+    assert (sizes[0], sizes[3]) == (4, 2)  # the texts of both sides, not their copies
+
+
 def test_nearest_in_order():
     rng = random.Random(7)
     for _ in range(300):

@@ -145,3 +145,18 @@ def test_runs_of_a_long_text_cost_no_more(spark):
     needles = spark.createDataFrame([(0, 1, "😀 blå himmel og hav"), (0, 2, "å"), (0, 3, "mangler her helt")], "g int, needle int, text string")
     hays = spark.createDataFrame([(0, 7, "x" * 50 + "en 😀 blå himmel og hav til"), (0, 8, "blå"), (1, 9, "å")], "g int, hay int, text string")
     assert {tuple(r) for r in containments(needles, hays, ["g"], "needle", "hay").collect()} == {(0, 1, 7), (0, 2, 7), (0, 2, 8)}
+
+
+def test_excerpts_of_words_need_no_runs_of_whole_documents(spark, monkeypatch):
+    from lodestone.operators import grounding as G
+
+    sought, look = [], G.containments
+    monkeypatch.setattr(G, "containments", lambda needles, *a, **k: sought.append(needles.count()) or look(needles, *a, **k))
+    text = "Vi møtes 5.\nmai kl. 9 hver dag\ni uken. Ja\n\t\nog nei da altså"
+    docs = spark.createDataFrame([(1, 1, "En", text)], "p int, doc int, title string, text string")
+    none = spark.createDataFrame([], "p int, doc int, entry int, reference string, text string")
+    claims = spark.createDataFrame([(1, 1, "", "", "øtes 5. mai kl. 9 hver da", ""), (1, 2, "", "", "finnes ikke her i dag", "")], "p int, claim int, title string, description string, excerpt string, reference string")
+    assert [(r.claim, r.excerpt, r.how) for r in ground(claims, docs, none, "p").collect()] == [(1, "Vi møtes 5. mai kl. 9 hver dag", "exact")]
+    assert sought[0] == 0
+    said = {r.text for r in G.passages(docs, none, "p").collect()}
+    assert said == {"mai kl. 9 hver dag", "Vi møtes 5. mai kl. 9 hver dag", "Vi møtes 5. mai kl. 9 hver dag i uken.", "mai kl. 9 hver dag i uken.", "og nei da altså", "Ja og nei da altså"}
